@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.session import configure
 
-SECTIONS = ("rollup_queries", "quality_queries", "semantic_queries", "event_queries", "history_queries")
+SECTIONS = (
+    "rollup_queries", "quality_queries", "semantic_queries", "event_queries", "history_queries", "settlement_queries",
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 

@@ -176,6 +176,42 @@ SELECT k||'-'||n AS webhook_id,
  CASE k%3 WHEN 0 THEN 'PAYOUT-T'||k WHEN 1 THEN 'T'||k ELSE 'NONE'||k END AS transfer_ref,
  'PO'||k AS cf_payout_id, amount, 'U'||k AS bank_reference, 'reason '||(k%4) AS failure_reason
 FROM (SELECT o_orderkey AS k, o_orderstatus AS s, CAST(o_totalprice AS DECIMAL(18,2)) AS amount,
+  o_orderdate + (o_orderkey%24) * INTERVAL '1' HOUR AS t FROM orders), (SELECT unnest([0,1]) AS n)""",
+    "settlement_invoices": """
+SELECT 'INV'||l_orderkey||'-'||l_linenumber||'-'||l_partkey||'-'||l_suppkey AS invoice_id, 'PLATFORM' AS payer_party_id,
+ 'S'||l_suppkey AS payee_party_id, CASE l_suppkey%3 WHEN 0 THEN 'NET_7' WHEN 1 THEN 'NET_15' ELSE 'NET_30' END AS payment_cycle,
+ CAST(l_extendedprice AS DECIMAL(18,2)) AS gross_amount, CAST(l_shipdate AS DATE) AS approved_on,
+ CASE l_linestatus WHEN 'F' THEN 'APPROVED' ELSE 'PENDING' END AS status FROM lineitem""",
+    "contract_terms": """
+SELECT 'S'||s_suppkey AS payee_party_id, CAST(CASE WHEN s_suppkey%2=0 THEN 0.05 ELSE 0.0325 END AS DECIMAL(6,4)) AS commission_pct,
+ CAST(CASE WHEN s_suppkey%5=0 THEN 0.02 ELSE 0.01 END AS DECIMAL(6,4)) AS tds_rate FROM supplier WHERE s_suppkey%13<>0""",
+    "batches": """
+SELECT 'stl-'||payer_party_id||'-'||payee_party_id||'-'||payment_cycle AS batch_id, payer_party_id, payee_party_id,
+ payment_cycle, count(*) AS invoice_count, CAST(sum(gross_amount) AS DECIMAL(24,2)) AS gross_amount,
+ max(approved_on) + CASE payment_cycle WHEN 'NET_7' THEN 7 WHEN 'NET_15' THEN 15 ELSE 30 END AS due_date
+FROM settlement_invoices WHERE status='APPROVED' GROUP BY payer_party_id, payee_party_id, payment_cycle""",
+    "settled": """
+SELECT *, CAST(gross_amount - platform_commission - gst_on_commission - tds_withheld AS DECIMAL(24,2)) AS net_payable
+FROM (SELECT *, CAST(platform_commission * CAST(0.18 AS DECIMAL(3,2)) AS DECIMAL(24,2)) AS gst_on_commission FROM
+ (SELECT b.*, CAST(gross_amount * coalesce(commission_pct, CAST(0 AS DECIMAL(6,4))) AS DECIMAL(24,2)) AS platform_commission,
+  CAST(gross_amount * coalesce(tds_rate, CAST(0 AS DECIMAL(6,4))) AS DECIMAL(24,2)) AS tds_withheld
+  FROM batches b LEFT JOIN contract_terms t ON b.payee_party_id=t.payee_party_id))""",
+    "bank_entries": """
+SELECT CASE WHEN k%11=0 THEN 'X'||ref ELSE ref END AS bank_ref,
+ CAST(CASE WHEN k%5=0 THEN net_payable - 1 WHEN k%4=0 THEN half ELSE net_payable END AS DECIMAL(24,2)) AS amount,
+ due_date + CASE WHEN k%6=0 THEN 3 ELSE 0 END AS value_date FROM (SELECT *, 'UTR-'||batch_id AS ref,
+  CAST(substr(payee_party_id,2) AS BIGINT) AS k,
+  CAST((CAST(net_payable*100 AS HUGEINT) + 1) // 2 AS DECIMAL(24,0)) * CAST(0.01 AS DECIMAL(3,2)) AS half FROM settled) WHERE k%7<>0
+UNION ALL
+SELECT ref, CAST(net_payable - half AS DECIMAL(24,2)), due_date FROM (SELECT *, 'UTR-'||batch_id AS ref,
+  CAST(substr(payee_party_id,2) AS BIGINT) AS k,
+  CAST((CAST(net_payable*100 AS HUGEINT) + 1) // 2 AS DECIMAL(24,0)) * CAST(0.01 AS DECIMAL(3,2)) AS half FROM settled)
+WHERE k%7<>0 AND k%4=0 AND k%5<>0 AND k%11<>0""",
+    "refund_requests": """
+SELECT 'R-'||k||'-'||n AS refund_id, 'PT'||k AS transaction_id,
+ CAST(amount * CAST(CASE WHEN k%4=0 THEN 0.30 ELSE 0.60 END AS DECIMAL(4,2)) AS DECIMAL(18,2)) AS refund_amount,
+ t + ((k%70)*3 + n) * INTERVAL '1' DAY AS requested_at
+FROM (SELECT o_orderkey AS k, CAST(o_totalprice AS DECIMAL(18,2)) AS amount,
   o_orderdate + (o_orderkey%24) * INTERVAL '1' HOUR AS t FROM orders), (SELECT unnest([0,1]) AS n)""",
 }
 

@@ -149,12 +149,16 @@ def success_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def activity_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customer facts at event-time resolution, for the hourly rollups."""
+    """Facts at event-time resolution, for the hourly rollups."""
+    return activity_from(table(spark, sf_dir, "events"))
+
+
+def activity_from(events: DataFrame) -> DataFrame:
     number = F.col("event_id")
     amount = F.col("value").cast("decimal(18,2)")
     fees = (amount * F.lit("0.02").cast("decimal(4,2)")).cast("decimal(18,2)")
     kind = F.col("event_type")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         _text("E", number).alias("txn_id"),
         _text("U", F.col("user_id")).alias("customer_id"),
         _text("ORG", F.col("user_id") % 10).alias("org_id"),
@@ -401,3 +405,76 @@ def payout_webhook_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("transfer")).alias("data"),
     ))
     return rows.select(F.concat_ws("-", k.cast("string"), n.cast("string")).alias("webhook_id"), body.alias("body"))
+
+
+def settlement_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cycle = F.col("l_suppkey") % 3
+    number = [F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
+    return table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("INV"), F.concat_ws("-", *number)).alias("invoice_id"),
+        F.lit("PLATFORM").alias("payer_party_id"), _text("S", F.col("l_suppkey")).alias("payee_party_id"),
+        F.when(cycle == 0, "NET_7").when(cycle == 1, "NET_15").otherwise("NET_30").alias("payment_cycle"),
+        F.col("l_extendedprice").cast("decimal(18,2)").alias("gross_amount"),
+        F.to_date("l_shipdate").alias("approved_on"),
+        F.when(F.col("l_linestatus") == "F", "APPROVED").otherwise("PENDING").alias("status"),
+    )
+
+
+def contract_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").filter(key % 13 != 0).select(
+        _text("S", key).alias("payee_party_id"),
+        F.when(key % 2 == 0, F.lit("0.05")).otherwise(F.lit("0.0325")).cast("decimal(6,4)").alias("commission_pct"),
+        F.when(key % 5 == 0, F.lit("0.02")).otherwise(F.lit("0.01")).cast("decimal(6,4)").alias("tds_rate"),
+    )
+
+
+def bank_entries(settlements: DataFrame) -> DataFrame:
+    """Credits for settlements: some missing, some short, some in two parts, and some of unknown origin."""
+    key = F.regexp_extract("payee_party_id", "([0-9]+)", 1).cast("long")
+    half = (F.col("net_payable") / 2).cast("decimal(24,2)")
+    first = F.struct(
+        F.when(key % 11 == 0, F.concat(F.lit("X"), F.col("bank_ref"))).otherwise(F.col("bank_ref")).alias("bank_ref"),
+        F.when(key % 5 == 0, F.col("net_payable") - 1).when(key % 4 == 0, half).otherwise(F.col("net_payable"))
+        .cast("decimal(24,2)").alias("amount"),
+        F.date_add("due_date", F.when(key % 6 == 0, 3).otherwise(0)).alias("value_date"),
+    )
+    second = F.struct(
+        F.col("bank_ref"), (F.col("net_payable") - half).cast("decimal(24,2)").alias("amount"),
+        F.col("due_date").alias("value_date"),
+    )
+    two_parts = (key % 4 == 0) & (key % 5 != 0) & (key % 11 != 0)
+    parts = F.when(two_parts, F.array(first, second)).otherwise(F.array(first))
+    return settlements.filter(key % 7 != 0).select(F.inline(parts))
+
+
+def refund_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _order_columns()
+    key = o["key"]
+    share = F.when(key % 4 == 0, F.lit("0.30")).otherwise(F.lit("0.60")).cast("decimal(4,2)")
+    rows = table(spark, sf_dir, "orders").select(
+        key.alias("k"), o["when"].alias("t"), (o["amount"] * share).cast("decimal(18,2)").alias("refund_amount"),
+        F.explode(F.array(F.lit(0), F.lit(1))).alias("n"))
+    k, n = F.col("k"), F.col("n")
+    return rows.select(
+        F.concat_ws("-", F.lit("R"), k.cast("string"), n.cast("string")).alias("refund_id"),
+        _text("PT", k).alias("transaction_id"), "refund_amount",
+        (F.col("t") + F.make_dt_interval(((k % 70) * 3 + n).cast("int"))).alias("requested_at"))
+
+
+def billing_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("event_type")
+    return table(spark, sf_dir, "events").select(
+        _text("SUB", F.col("user_id")).alias("subscription_id"), F.to_date("ts").alias("cycle_start"),
+        F.col("ts").alias("attempted_at"), kind.isin("purchase", "signup").alias("succeeded"))
+
+
+def payment_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _order_columns()
+    key = o["key"]
+    return table(spark, sf_dir, "orders").select(
+        _text("PI", key).alias("intent_id"), _text("C", F.col("o_custkey")).alias("customer_id"),
+        o["amount"].alias("amount"),
+        F.when(o["status"] == "F", "CAPTURED").when(o["status"] == "P", "PROCESSING").otherwise("CREATED")
+        .alias("status"),
+        (o["when"] + F.make_dt_interval(F.lit(0), F.lit(0), (key % 60).cast("int"))).alias("expires_at"))
