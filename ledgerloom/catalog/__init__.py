@@ -12,6 +12,7 @@ from ledgerloom.session import configure
 
 SECTIONS = (
     "rollup_queries", "quality_queries", "semantic_queries", "event_queries", "history_queries", "settlement_queries",
+    "streaming_queries",
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
