@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import pytest
+
 from ledgerloom.operators.settlement import dunning_state
 from ledgerloom.streaming.dunning import STATE_PROVIDER, dunning_stream
 
@@ -17,8 +19,16 @@ def _attempts():
     return rows
 
 
-def test_timers_pause_and_cancel(spark, tmp_path):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
+@pytest.fixture
+def rocksdb(spark):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, STATE_PROVIDER)
+    yield
+    spark.conf.set(name, before)
+
+
+def test_timers_pause_and_cancel(spark, rocksdb, tmp_path):
     source = str(tmp_path / "in")
     batches = [_attempts()] + [
         [("clock", START.date(), START + dt.timedelta(days=d), True)] for d in (5, 12, 13, 40, 41)]
