@@ -83,15 +83,17 @@ def _apply(records: DataFrame, key: str, events: DataFrame, outcome: Column, ter
     point = F.struct("event_time", "webhook_id", "detail")
     reduced = events.filter(F.col(key).isNotNull()).groupBy(key, "event_type").agg(
         F.min(point).alias("first"), F.max(point).alias("last"), F.count(F.lit(1)).alias("n"))
-    described = reduced.join(records, key, "inner").withColumn("outcome", outcome)
+    seen = records.join(reduced, key, "left")
+    asked = seen.withColumn("outcome", F.when(F.col("event_type").isNotNull(), outcome))
     ends = F.col("outcome").isin(*terminal)
-    first_end = F.min(F.when(ends, F.struct("first", "outcome", "event_type"))).alias("final")
-    last_other = F.max(F.when(~ends, F.struct("last", "outcome", "event_type"))).alias("open")
-    decided = described.groupBy(key).agg(first_end, last_other, F.sum("n").alias("webhooks"))
+    # The join has already placed the rows by record, so this needs no further shuffle.
+    decided = asked.groupBy(*records.columns).agg(
+        F.min(F.when(ends, F.struct("first", "outcome", "event_type"))).alias("final"),
+        F.max(F.when(~ends, F.struct("last", "outcome", "event_type"))).alias("open"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("webhooks"))
     was_terminal = F.col("status").isin(*terminal)
     has_final, has_open = F.col("final").isNotNull(), F.col("open").isNotNull()
-    result = records.join(decided, key, "left")
-    return result.select(
+    return decided.select(
         *records.columns,
         F.when(was_terminal, F.col("status")).when(has_final, F.col("final.outcome"))
         .when(has_open, F.col("open.outcome")).otherwise(F.col("status")).alias("new_status"),
@@ -101,7 +103,7 @@ def _apply(records: DataFrame, key: str, events: DataFrame, outcome: Column, ter
         .when(has_open, F.col("open.last.event_time")).alias("decided_at"),
         F.when(~was_terminal & has_final, _failure_reason(F.col("final.event_type"), F.col("final.first.detail")))
         .alias("webhook_failure_reason"),
-        F.coalesce("webhooks", F.lit(0)).alias("webhooks"),
+        "webhooks",
     )
 
 

@@ -12,8 +12,25 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.periods import hour_of, year_month  # noqa: F401  (hour_of re-exported for queries)
 
 
+# Columns that tell rows of the large tables apart well enough to spread them.
+SPREAD_KEYS = {
+    "orders": ["o_orderkey"], "lineitem": ["l_orderkey", "l_linenumber", "l_partkey"], "events": ["event_id"],
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A sample table.
+
+    A file with one row group is read by one task, whatever follows in the
+    same stage included. A table with fewer splits than there are cores is
+    therefore spread over them first; one with more splits, as any large table
+    has, is left as it is read.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in SPREAD_KEYS and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores, *SPREAD_KEYS[name])
+    return df
 
 
 def _text(prefix: str, column: Column) -> Column:
