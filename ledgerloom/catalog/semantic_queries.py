@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ledgerloom.catalog.oracle_tables import avg6, rate2, with_tables
 from ledgerloom.operators import rollups
@@ -30,14 +27,6 @@ def _dimensions(daily: DataFrame, cube: cubes.Cube) -> DataFrame:
     return daily.select(*[column.alias(name) for name, column in cube.dimensions.items()], "txn_count", "total_amount")
 
 
-def _segment_totals(daily: DataFrame, cube: cubes.Cube) -> DataFrame:
-    parts = [
-        sem.cube_query(daily, cube, ["total_transactions", "total_amount"], segments=[name], scope=sem.ALL_ORGS)
-        .withColumn("segment", F.lit(name)) for name in cube.segments
-    ]
-    return reduce(DataFrame.unionByName, parts)
-
-
 def _rollup(name: str):
     source = org_daily if sem.ROLLUPS[name].subject == "org" else customer_daily
     return lambda s, d: sem.build_rollup(source(s, d), name)
@@ -61,8 +50,8 @@ QUERIES = {
     "customer_measures": lambda s, d: sem.cube_query(
         customer_daily(s, d), cubes.customer_cube(), ["unique_customers", *_ORG_MEASURES],
         ["counterparty_name", "txn_year"]),
-    "org_segments": lambda s, d: _segment_totals(org_daily(s, d), cubes.org_cube()),
-    "customer_segments": lambda s, d: _segment_totals(customer_daily(s, d), cubes.customer_cube()),
+    "org_segments": lambda s, d: sem.segment_totals(org_daily(s, d), cubes.org_cube(), sem.ALL_ORGS),
+    "customer_segments": lambda s, d: sem.segment_totals(customer_daily(s, d), cubes.customer_cube()),
     "cube_query": lambda s, d: sem.cube_query(
         org_daily(s, d), cubes.org_cube(), ["total_amount", "success_rate"], ["org_id", "amount_bucket"],
         filters={"transfer_type": ["WALLET_TO_WALLET", "WALLET_TO_ACCOUNT"]}, segments=["completed_only"],

@@ -32,8 +32,14 @@ def kept_records(records: DataFrame, limit: dt.datetime) -> DataFrame:
 
 
 def kept_children(children: DataFrame, transfers: DataFrame, limit: dt.datetime) -> DataFrame:
-    """Ledger or audit rows whose transfer stays; rows that belong to no transfer stay too."""
-    return children.join(expired_ids(transfers, limit), "transfer_id", "left_anti")
+    """Ledger or audit rows whose transfer stays; rows that belong to no transfer stay too.
+
+    Those without a transfer get keys of their own, or they would all meet in one task.
+    """
+    own = F.concat(F.lit("\u0000"), F.xxhash64(*children.columns).cast("string"))
+    keyed = children.withColumn("_key", F.coalesce(F.col("transfer_id"), own))
+    gone = expired_ids(transfers, limit).select(F.col("transfer_id").alias("_key"))
+    return keyed.join(gone, "_key", "left_anti").drop("_key")
 
 
 def purge_counts(transfers: DataFrame, ledger: DataFrame, audit: DataFrame, payments: DataFrame,

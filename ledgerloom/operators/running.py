@@ -1,10 +1,12 @@
 """Ordered calculations per key that stay parallel when one key holds most rows.
 
 A plain window per key sends the whole key to one task. Here the key is split
-into time buckets: each bucket is ordered on its own, one small row per bucket
-carries what the bucket passes on, and the two are joined. The bucket must be
-non-decreasing in the order columns (an hour of the first one, for example), so
-rows with equal order values never straddle buckets.
+into time buckets, each ordered on its own. What a bucket takes over from the
+earlier ones is a single value, found from one small row per bucket and put in
+front of the bucket's rows. All rows are shuffled once, by key and bucket.
+
+The bucket must be non-decreasing in the order columns (an hour of the first
+one, for example), so rows with equal order values never straddle buckets.
 """
 
 from __future__ import annotations
@@ -12,38 +14,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_BUCKET = "_bucket"
+_BUCKET, _VALUE, _REAL = "_bucket", "_value", "_real"
 
 
 def _ordered(columns: list[str], descending: bool) -> list[Column]:
     return [F.col(c).desc() if descending else F.col(c).asc() for c in columns]
 
 
-def _join_buckets(rows: DataFrame, carried: DataFrame, keys: list[str]) -> DataFrame:
-    names = [*keys, _BUCKET]
-    right = carried.select(*[F.col(c).alias(f"_r_{c}") for c in names],
-                           *[c for c in carried.columns if c not in names])
-    condition = F.lit(True)
-    for c in names:
-        condition = condition & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
-    return rows.join(right, condition, "left").drop(*[f"_r_{c}" for c in names])
+def _led_by(rows: DataFrame, carried: DataFrame) -> DataFrame:
+    """Rows of every bucket together with the row that carries the earlier buckets' value."""
+    return rows.withColumn(_REAL, F.lit(True)).unionByName(
+        carried.withColumn(_REAL, F.lit(False)), allowMissingColumns=True)
 
 
 def running_sum(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str,
                 bucket: Column, descending: bool = False) -> DataFrame:
     """Add ``out``: the sum of ``value`` over the key's rows up to and including this one."""
-    rows = df.withColumns({_BUCKET: bucket, "_value": value})
+    rows = df.withColumns({_BUCKET: bucket, _VALUE: value})
     across = Window.partitionBy(*keys).orderBy(*_ordered([_BUCKET], descending)).rowsBetween(
         Window.unboundedPreceding, -1)
     carried = (
-        rows.groupBy(*keys, _BUCKET).agg(F.sum("_value").alias("_total"))
-        .withColumn("_carried", F.sum("_total").over(across)).drop("_total")
+        rows.groupBy(*keys, _BUCKET).agg(F.sum(_VALUE).alias("_total"))
+        .select(*keys, _BUCKET, F.sum("_total").over(across).alias(_VALUE))
     )
-    within = Window.partitionBy(*keys, _BUCKET).orderBy(*_ordered(order, descending)).rowsBetween(
+    within = Window.partitionBy(*keys, _BUCKET).orderBy(F.col(_REAL), *_ordered(order, descending)).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    joined = _join_buckets(rows, carried, keys).withColumn("_local", F.sum("_value").over(within))
-    total = F.when(F.col("_carried").isNull(), F.col("_local")).otherwise(F.col("_local") + F.col("_carried"))
-    return joined.withColumn(out, total).drop(_BUCKET, "_value", "_local", "_carried")
+    summed = _led_by(rows, carried).withColumn(out, F.sum(_VALUE).over(within))
+    return summed.filter(_REAL).drop(_BUCKET, _VALUE, _REAL)
 
 
 def row_numbers(df: DataFrame, keys: list[str], order: list[str], out: str, bucket: Column,
@@ -55,13 +52,12 @@ def row_numbers(df: DataFrame, keys: list[str], order: list[str], out: str, buck
 def previous_value(df: DataFrame, keys: list[str], order: list[str], value: str, out: str,
                    bucket: Column) -> DataFrame:
     """Add ``out``: ``value`` of the key's preceding row, null on its first."""
-    rows = df.withColumn(_BUCKET, bucket)
+    rows = df.withColumns({_BUCKET: bucket, _VALUE: F.col(value)})
     across = Window.partitionBy(*keys).orderBy(_BUCKET)
     carried = (
-        rows.groupBy(*keys, _BUCKET).agg(F.max_by(value, F.struct(*order)).alias("_last"))
-        .withColumn("_carried", F.lag("_last").over(across)).drop("_last")
+        rows.groupBy(*keys, _BUCKET).agg(F.max_by(_VALUE, F.struct(*order)).alias("_last"))
+        .select(*keys, _BUCKET, F.lag("_last").over(across).alias(_VALUE))
     )
-    within = Window.partitionBy(*keys, _BUCKET).orderBy(*order)
-    joined = _join_buckets(rows, carried, keys)
-    previous = F.when(F.row_number().over(within) == 1, F.col("_carried")).otherwise(F.lag(value).over(within))
-    return joined.withColumn(out, previous).drop(_BUCKET, "_carried")
+    within = Window.partitionBy(*keys, _BUCKET).orderBy(_REAL, *order)
+    linked = _led_by(rows, carried).withColumn(out, F.lag(_VALUE).over(within))
+    return linked.filter(_REAL).drop(_BUCKET, _VALUE, _REAL)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.periods import GRAINS, relative_range
 from ledgerloom.plans.cubes import Cube, customer_cube, org_cube
+from ledgerloom.schemas import TOTAL
 
 MAX_ROWS = 50_000_000
 ALL_ORGS = "*"
@@ -82,6 +83,17 @@ def cube_query(
     return result if limit is None else result.limit(limit)
 
 
+def segment_totals(summary: DataFrame, cube: Cube, scope: str | None = None) -> DataFrame:
+    """Transactions and amount of every segment, in one pass over the summary."""
+    _require_scope(cube, scope)
+    rows = summary if scope in (None, ALL_ORGS) else summary.filter(F.col(cube.scope_member) == scope)
+    totals = rows.agg(*[
+        F.struct(F.lit(name).alias("segment"), F.sum(F.when(inside, F.col("txn_count"))).alias("total_transactions"),
+                 F.sum(F.when(inside, F.col("total_amount"))).cast(TOTAL).alias("total_amount")).alias(name)
+        for name, inside in cube.segments.items()])
+    return totals.select(F.inline(F.array(*cube.segments)))
+
+
 # ---- dashboard queries ----------------------------------------------------------------------------------------
 
 def kpi_tiles(summary: DataFrame, cube: Cube, **choice) -> DataFrame:
