@@ -43,6 +43,13 @@ def year_month(ts: Column | str) -> Column:
     return F.year(_c(ts)) * 100 + F.month(_c(ts))
 
 
+def in_zone(facts: DataFrame, zone: str, ts: str = "txn_date") -> DataFrame:
+    """Facts with their UTC times shown as local times of ``zone``, for summaries by local hour or day."""
+    local = F.convert_timezone(F.lit("UTC"), F.lit(zone), F.col(ts))
+    shifted = facts.withColumn(ts, local)
+    return shifted.withColumn("txn_year_month", year_month(ts)) if "txn_year_month" in facts.columns else shifted
+
+
 def ts_lit(value: dt.datetime | dt.date | str) -> Column:
     """A zone-free timestamp literal that is folded before it reaches the scan."""
     if isinstance(value, dt.datetime):

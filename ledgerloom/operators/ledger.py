@@ -58,6 +58,16 @@ def transfer_audit(audit: DataFrame, transfer_id: str) -> DataFrame:
     return audit.filter(F.col("transfer_id") == transfer_id).orderBy("created_at", "audit_id")
 
 
+def ordered_ledger(ledger: DataFrame) -> DataFrame:
+    """Every transfer's ledger rows with their place, oldest first."""
+    return row_numbers(ledger, ["transfer_id"], ORDER, "position", day_of("created_at"))
+
+
+def ordered_audit(audit: DataFrame) -> DataFrame:
+    """Every transfer's audit rows with their place, oldest first."""
+    return row_numbers(audit, ["transfer_id"], ["created_at", "audit_id"], "position", day_of("created_at"))
+
+
 def wallet_audit(audit: DataFrame, wallet_id: str, page: int = 0, size: int = 20) -> DataFrame:
     rows = audit.filter(F.col("wallet_id") == wallet_id).orderBy(F.desc("created_at"), F.desc("audit_id"))
     return rows.offset(page * size).limit(size)

@@ -106,6 +106,19 @@ def refresh_rollup(daily: DataFrame, name: str, path: str, first_day, last_day)
     replace_periods(built.filter(wanted), path, "period_partition", requested=wanted)
 
 
+def rebuild_rollup(daily: DataFrame, name: str, path: str) -> None:
+    """Build every partition, from the first to the last day of the summary."""
+    days = daily.agg(F.min("txn_date").alias("first"), F.max("txn_date").alias("last")).first()
+    if days["first"] is not None:
+        refresh_rollup(daily, name, path, days["first"], days["last"])
+
+
+def refresh_due(name: str, last_refresh, now) -> bool:
+    """Whether a stored rollup is older than its refresh interval."""
+    return as_datetime(now) - as_datetime(last_refresh) >= dt.timedelta(
+        minutes=semantic.ROLLUPS[name].refresh_minutes)
+
+
 def run_quality(spark: SparkSession, customer_facts: DataFrame, org_facts: DataFrame, customer_daily: DataFrame,
                 org_daily: DataFrame, marks_path: str, run_date, limits: float | dict[str, float] = 1.0) -> DataFrame:
     """All checks, each on its own."""

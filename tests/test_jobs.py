@@ -107,7 +107,7 @@ def test_refreshed_rollup_equals_a_full_build(spark, tmp_path, name):
         fact(dt.datetime(2023, 12, 20) + dt.timedelta(days=i), amount=f"{i}.00", org=f"O{i % 2}") for i in range(60)])
     daily = r.daily_rollup(long, "org")
     path = str(tmp_path / name)
-    jobs.refresh_rollup(daily, name, path, "2023-12-20", "2024-02-20")
+    jobs.rebuild_rollup(daily, name, path)
     assert _measures(spark.read.parquet(path)) == _measures(semantic.build_rollup(daily, name))
     changed = long.filter("not (to_date(txn_date) = '2024-01-30')")
     new_daily = r.daily_rollup(changed, "org")
@@ -126,6 +126,11 @@ def test_rollup_reaggregates_to_the_base(spark, name):
         semantic.cube_query(daily, org_cube(), **ask))
 
 
+def test_refresh_intervals():
+    assert jobs.refresh_due("org_daily_detail", "2024-01-01 00:00:00", "2024-01-01 00:30:00")
+    assert not jobs.refresh_due("org_party_monthly", "2024-01-01 00:00:00", "2024-01-01 00:30:00")
+
+
 def test_quality_job_turns_a_broken_check_into_an_error_row(spark, tmp_path):
     facts = _facts(spark)
     daily = r.daily_rollup(facts, "customer")

@@ -6,7 +6,7 @@ from decimal import Decimal
 from facts_fixture import fact, frame, plain
 from ledgerloom.operators import rollups as r
 from ledgerloom.operators.upsert import merge_rows, replace_rows_in_range
-from ledgerloom.functions.periods import ts_lit
+from ledgerloom.functions.periods import in_zone, ts_lit
 
 
 def test_null_and_empty_grain_values_share_one_group(spark):
@@ -86,6 +86,24 @@ def test_progress_keeps_the_mark_when_nothing_is_new(spark):
     assert (before.new_mark, before.new_rows) == (end, 2)
 
 
+def test_local_days_of_a_zone(spark):
+    facts = in_zone(frame(spark, [fact("2024-01-31 18:29:59"), fact("2024-01-31 18:30:00")]), "Asia/Kolkata")
+    days = r.daily_rollup(facts, "customer").collect()
+    assert {d.txn_date for d in days} == {dt.date(2024, 1, 31), dt.date(2024, 2, 1)}
+    assert {f.txn_year_month for f in facts.collect()} == {202401, 202402}
+
+
+def test_hours_do_not_depend_on_the_session_zone(spark):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        # This local hour does not exist in that zone.
+        hours = r.rollup(frame(spark, [fact("2024-03-10 02:30:00")]), "customer", "hour").collect()
+        assert [h.txn_hour for h in hours] == [dt.datetime(2024, 3, 10, 2)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 def test_single_week_digest(spark):
     rows = [fact("2024-01-01", customer="A"), fact("2024-01-07", customer="B"), fact("2024-01-08", customer="C")]
     daily = r.daily_rollup(frame(spark, rows), "customer")
