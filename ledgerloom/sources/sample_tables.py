@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ledgerloom.functions.periods import year_month
 
@@ -18,6 +19,10 @@ SPREAD_KEYS = {
 }
 
 
+# Schema and number of splits of tables already opened, per application.
+_opened: dict[tuple[str, str], tuple[StructType, int]] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A sample table.
 
@@ -26,9 +31,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     therefore spread over them first; one with more splits, as any large table
     has, is left as it is read.
     """
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    known = (spark.sparkContext.applicationId, path)
+    if known not in _opened:
+        found = spark.read.parquet(path)
+        _opened[known] = (found.schema, found.rdd.getNumPartitions())
+    schema, splits = _opened[known]
+    df = spark.read.schema(schema).parquet(path)
     cores = spark.sparkContext.defaultParallelism
-    if name in SPREAD_KEYS and df.rdd.getNumPartitions() < cores:
+    if name in SPREAD_KEYS and splits < cores:
         return df.repartition(cores, *SPREAD_KEYS[name])
     return df
 
