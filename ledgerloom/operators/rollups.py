@@ -30,16 +30,17 @@ def _period_columns(period: str, ts: str) -> list[Column]:
     return [F.year(ts).cast("smallint").alias("txn_year"), F.month(ts).cast("smallint").alias("txn_month")]
 
 
-def rollup(facts: DataFrame, subject: str, period: str, start=None, end=None) -> DataFrame:
+def rollup(facts: DataFrame, subject: str, period: str, start=None, end=None, dense: bool = False) -> DataFrame:
     """Summaries of the half-open time range, or of all facts.
 
-    Map tasks aggregate before the shuffle on the whole grain, so a payer that
-    holds a large part of all rows sends one row per task and grain.
+    Map tasks aggregate before the one shuffle on the whole grain, so a payer
+    that holds a large part of all rows sends one row per task and grain.
+    ``dense`` chooses a plan for data with many facts per summary row.
     """
-    return _summarise(in_range(facts, start, end), subject, period)
+    return _summarise(in_range(facts, start, end), subject, period, dense)
 
 
-def _summarise(facts: DataFrame, subject: str, period: str) -> DataFrame:
+def _summarise(facts: DataFrame, subject: str, period: str, dense: bool = False) -> DataFrame:
     subject_columns = ["customer_id"] if subject == "customer" else ["org_id", empty_for_null("division_id")]
     labels = ["counterparty_name", "counterparty_type"]
     base = facts.select(
@@ -47,7 +48,7 @@ def _summarise(facts: DataFrame, subject: str, period: str) -> DataFrame:
         *labels, "amount", "fees", "net_amount",
     )
     keys = grain_keys(subject, period)
-    if period == "month":
+    if dense:
         return _by_label_first(base, keys, labels)
     return base.groupBy(*keys).agg(
         *[F.max(c).alias(c) for c in labels],
@@ -66,8 +67,8 @@ def _by_label_first(base: DataFrame, keys: list[str], labels: list[str]) -> Data
 
     A maximum of strings makes Spark sort rows before it aggregates them. With
     the labels in the key of a first step, the bulk is aggregated by hashing,
-    and only its small result is sorted. At finer grains there is little to
-    gain and the second shuffle would cost more.
+    and only its small result is sorted. Where a summary row stands for few
+    facts the second shuffle costs more than that saves.
     """
     by_label = base.groupBy(*keys, *labels).agg(
         F.count(F.lit(1)).alias("n"), F.count("amount").alias("amounts"), F.sum("amount").alias("a"),
@@ -94,17 +95,17 @@ def daily_rollup(facts: DataFrame, subject: str, run_date=None) -> DataFrame:
     return rollup(facts, subject, "day", today - dt.timedelta(days=1), today)
 
 
-def monthly_rollup(facts: DataFrame, subject: str, run_date=None) -> DataFrame:
+def monthly_rollup(facts: DataFrame, subject: str, run_date=None, dense: bool = False) -> DataFrame:
     """Month to date through yesterday.
 
     The month is yesterday's month, so the run on the 1st completes the month
     that has just ended.
     """
     if run_date is None:
-        return rollup(facts, subject, "month")
+        return rollup(facts, subject, "month", dense=dense)
     today = as_datetime(run_date).date()
     first = (today - dt.timedelta(days=1)).replace(day=1)
-    return rollup(facts, subject, "month", first, today)
+    return rollup(facts, subject, "month", first, today, dense)
 
 
 def month_from_days(daily: DataFrame, subject: str) -> DataFrame:
