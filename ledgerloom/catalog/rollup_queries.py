@@ -87,7 +87,7 @@ QUERIES = {
     "customer_hourly_replace_partial": _split_run_partial,
     "upsert_daily_summary": _upsert_corrected_days,
     "marks_after_run": _marks_after_run,
-    "pipeline_marks": lambda s, d: mk.marks_for(
+    "stored_marks": lambda s, d: mk.marks_for(
         mk.advance_marks(mk.initial_marks(s, ("customer_hourly_rollup",)), _progress(s, d), RUN_AT)),
 }
 
@@ -129,7 +129,7 @@ SELECT s.pipeline_name, coalesce(p.new_mark, TIMESTAMP '2020-01-01') AS last_pro
  CASE WHEN p.pipeline_name IS NOT NULL THEN TIMESTAMP '{RUN_AT}' END AS last_run_at,
  CAST(coalesce(p.new_rows, 0) AS BIGINT) AS records_processed
 FROM seeds s LEFT JOIN progress p ON s.pipeline_name = p.pipeline_name""",
-    "pipeline_marks": f"""WITH progress AS ({_progress_sql()}), seeds AS ({_SEEDS})
+    "stored_marks": f"""WITH progress AS ({_progress_sql()}), seeds AS ({_SEEDS})
 SELECT s.pipeline_name, coalesce(p.new_mark, TIMESTAMP '2020-01-01') AS last_processed_at
 FROM seeds s LEFT JOIN progress p ON s.pipeline_name = p.pipeline_name AND p.pipeline_name = 'customer_hourly_rollup'""",
 }

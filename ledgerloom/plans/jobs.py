@@ -82,6 +82,14 @@ def run_monthly(source: DataFrame, subject: str, summary_path: str, marks_path:
     _advance(source.sparkSession, marks_path, f"{subject}_monthly_rollup", today, rows, run_date)
 
 
+def weekly_report(customer_daily: DataFrame, org_daily: DataFrame, run_date) -> DataFrame:
+    """Digest of the seven days before ``run_date`` for customers and organisations, one row."""
+    customers = rollups.weekly_digest(customer_daily, "customer", run_date)
+    orgs = rollups.weekly_digest(org_daily, "org", run_date).withColumnsRenamed(
+        {c: f"org_{c}" for c in ("total_txns", "gross_amount", "total_fees", "net_amount")})
+    return customers.join(orgs, "week_end", "full_outer")
+
+
 def refresh_rollup(daily: DataFrame, name: str, path: str, first_day, last_day) -> None:
     """Rebuild the partitions of a stored rollup that the changed days belong to.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -64,3 +65,9 @@ def shared_dir(spark: SparkSession) -> str:
 def fresh_dir(spark: SparkSession, purpose: str) -> str:
     """A path below the shared folder that no other run uses."""
     return f"{shared_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
+def staging_dir(spark: SparkSession, purpose: str, target: str) -> str:
+    """The one working folder of a table. Each publication overwrites it, so it never outgrows one run."""
+    digest = hashlib.sha256(target.rstrip("/").encode()).hexdigest()[:24]
+    return f"{shared_dir(spark)}/{purpose}-{digest}"

@@ -5,6 +5,7 @@ from decimal import Decimal
 
 from facts_fixture import fact, frame, plain
 from ledgerloom.operators import rollups as r
+from ledgerloom.plans.jobs import weekly_report
 from ledgerloom.operators.upsert import merge_rows, replace_rows_in_range
 from ledgerloom.functions.periods import in_zone, ts_lit
 
@@ -117,6 +118,8 @@ def test_single_week_digest(spark):
     daily = r.daily_rollup(frame(spark, rows), "customer")
     week = r.weekly_digest(daily, "customer", "2024-01-08").collect()
     assert [(w.week_end, w.unique_customers, w.total_txns) for w in week] == [(dt.date(2024, 1, 8), 2, 2)]
+    both = weekly_report(daily, r.daily_rollup(frame(spark, rows), "org"), "2024-01-08").first()
+    assert (both.unique_customers, both.unique_orgs, both.org_total_txns) == (2, 1, 2)
 
 
 def test_range_filters_reach_the_scan_and_prune_months(spark, tmp_path):
