@@ -491,8 +491,12 @@ def refund_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def billing_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attempts_from(table(spark, sf_dir, "events"))
+
+
+def attempts_from(events: DataFrame) -> DataFrame:
     kind = F.col("event_type")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         _text("SUB", F.col("user_id")).alias("subscription_id"), F.to_date("ts").alias("cycle_start"),
         F.col("ts").alias("attempted_at"), kind.isin("purchase", "signup").alias("succeeded"))
 
