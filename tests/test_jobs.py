@@ -72,6 +72,16 @@ def test_monthly_from_days_equals_monthly_from_facts(spark, tmp_path):
     assert _measures(a) == _measures(b) == _measures(r.rollup(facts, "org", "month"))
 
 
+def test_backfill_writes_few_files_per_period(spark, tmp_path):
+    rows = [fact(dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), customer=f"C{i % 50}") for i in range(480)]
+    daily = r.daily_rollup(frame(spark, rows).repartition(8), "customer")
+    path = tmp_path / "daily"
+    u.replace_periods(daily, str(path), "txn_date")
+    files = [p for p in path.glob("txn_date=*/*.parquet")]
+    assert len(files) == 20
+    assert _measures(spark.read.parquet(str(path))) == _measures(daily)
+
+
 def test_upsert_replaces_by_key_and_leaves_other_partitions_alone(spark, tmp_path):
     path = str(tmp_path / "t")
     schema = "k string, day date, v int"
