@@ -70,11 +70,13 @@ def cube_query(
     aggregates = [cube.measures[m].aggregate.alias(m) for m in measures]
     result = rows.groupBy(*keys).agg(*aggregates) if keys else rows.agg(*aggregates)
 
-    # The grand total is one value, read from the same rows without the grouping shuffle.
+    # The grand totals are one row, read from the same rows without the grouping shuffle.
     shares = [m for m in measures if cube.measures[m].share]
-    for m in shares:
-        total = rows.agg(cube.measures[m].aggregate.cast("double").alias("t")).scalar()
-        result = result.withColumn(m, F.col(m).cast("double") / F.nullif(total, F.lit(0.0)))
+    if shares:
+        totals = rows.agg(*[cube.measures[m].aggregate.cast("double").alias(m) for m in shares])
+        total = totals.select(F.struct(*shares).alias("t")).scalar()
+        result = result.withColumns({
+            m: F.col(m).cast("double") / F.nullif(total.getField(m), F.lit(0.0)) for m in shares})
 
     if order:
         named = [F.desc_nulls_last(c) if d == "desc" else F.asc_nulls_last(c) for c, d in order.items()]
