@@ -146,6 +146,10 @@ def sort_keys(order: str) -> list[Column]:
 
 
 def page_of(rows: DataFrame, order: str = "DATE_DESC", page: int = 0, size: int = 20) -> DataFrame:
+    """One page, for looking at the first few: a page costs as much as all pages before it.
+
+    Whole histories are paged by :func:`numbered_pages`, once for every page.
+    """
     if not 1 <= size <= MAX_PAGE_SIZE or page < 0:
         raise ValueError(f"page must be at least 0 and size between 1 and {MAX_PAGE_SIZE}")
     return rows.orderBy(*sort_keys(order)).offset(page * size).limit(size)
