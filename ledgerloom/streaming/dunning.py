@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -13,6 +15,9 @@ from ledgerloom.operators.settlement import CANCEL_AFTER_DAYS, PAUSE_AFTER_DAYS,
 
 OUTPUT = "subscription_id string, cycle_start date, state string, failures int, changed_at timestamp"
 _STATE = "failures int, paid boolean, last_failure timestamp"
+# Workers receive the processor itself, so they need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _DAY_MS = 24 * 3600 * 1000
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 

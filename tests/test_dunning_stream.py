@@ -1,11 +1,14 @@
 """The streaming dunning state agrees with the batch one, and timers move held cycles on."""
 
 import datetime as dt
+import subprocess
+import sys
 
 import pytest
+from pyspark import cloudpickle
 
 from ledgerloom.operators.settlement import dunning_state
-from ledgerloom.streaming.dunning import STATE_PROVIDER, dunning_stream
+from ledgerloom.streaming.dunning import STATE_PROVIDER, DunningProcessor, dunning_stream
 
 SCHEMA = "subscription_id string, cycle_start date, attempted_at timestamp_ntz, succeeded boolean"
 START = dt.datetime(2024, 1, 1, 9)
@@ -52,3 +55,13 @@ def test_timers_pause_and_cancel(spark, rocksdb, tmp_path):
     for day, expected in ((5, "HELD"), (12, "PAUSED"), (40, "CANCELLED")):
         state = {r.subscription_id: r.state for r in dunning_state(attempts, START + dt.timedelta(days=day)).collect()}
         assert state == {"held": expected, "retrying": "RETRYING", "paid": "PAID"}
+
+
+def test_workers_do_not_need_the_package(tmp_path):
+    body = tmp_path / "processor.pickle"
+    body.write_bytes(cloudpickle.dumps(DunningProcessor()))
+    code = ("import sys, pickle; found = pickle.load(open(sys.argv[1], 'rb')); "
+            "assert 'ledgerloom' not in sys.modules; print(type(found).__name__)")
+    done = subprocess.run([sys.executable, "-c", code, str(body)], cwd=tmp_path, capture_output=True, text=True,
+                          timeout=120)
+    assert done.stdout.strip() == "DunningProcessor", done.stderr
