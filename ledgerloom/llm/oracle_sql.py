@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import string
+
+from ledgerloom.llm import contamination as cn
 from ledgerloom.llm import quality_rules as qr
 
 _RATES = {
@@ -56,4 +59,21 @@ judged AS (SELECT m.*, n_words < {qr.MIN_WORDS} OR 100 * n_repeat_words > {qr.MA
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT beyond AS kept
 FROM judged"""
 
-ORACLE = {"op3_quality_rules": QUALITY_RULES}
+_LOWER = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+_LETTER_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+DECONTAMINATE = rf"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_LETTER_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_LETTER_WORDS} AS w FROM benchmark),
+item_windows AS (SELECT DISTINCT item_id, least(len(w), {cn.WINDOW}) AS n, list_slice(w, i, i + {cn.WINDOW - 1}) AS win
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - {cn.WINDOW - 2}, 2))) AS i FROM b WHERE len(w) > 0)),
+doc_windows AS (SELECT rid, i, n, list_slice(w, i, i + n - 1) AS win
+  FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM item_windows))),
+places AS (SELECT rid, i, n, item_id FROM doc_windows JOIN item_windows USING (n, win)),
+hit AS (SELECT rid, count(DISTINCT pos) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS pos FROM places) GROUP BY rid),
+named AS (SELECT rid, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256
+  FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS item FROM places) GROUP BY rid)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+ coalesce(items_sha256, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN named USING (rid)"""
+
+ORACLE = {"op2_decontaminate": DECONTAMINATE, "op3_quality_rules": QUALITY_RULES}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import mixing, oracle_sql, quality_rules
+from ledgerloom.llm import contamination, mixing, oracle_sql, quality_rules
 from ledgerloom.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,12 +20,18 @@ def op1_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(configure(spark), _table(spark, sf_dir, "documents"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.decontaminate(configure(spark), _table(spark, sf_dir, "documents"),
+                                       _table(spark, sf_dir, "benchmark"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(configure(spark), _table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
     "op1_mix_to_weights": op1_mix_to_weights,
+    "op2_decontaminate": op2_decontaminate,
     "op3_quality_rules": op3_quality_rules,
 }
 
