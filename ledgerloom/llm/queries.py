@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import contamination, mixing, oracle_sql, quality_rules, substring_dedup
+from ledgerloom.llm import contamination, mixing, ngram_join, oracle_sql, quality_rules, substring_dedup
 from ledgerloom.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,11 +33,16 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(configure(spark), _table(spark, sf_dir, "documents"))
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.group(configure(spark), _table(spark, sf_dir, "documents")).drop("links_found")
+
+
 QUERIES: dict[str, Query] = {
     "op1_mix_to_weights": op1_mix_to_weights,
     "op2_decontaminate": op2_decontaminate,
     "op3_quality_rules": op3_quality_rules,
     "op6_substring_dedup": op6_substring_dedup,
+    "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
 }
 
 ORACLE: dict[str, str] = oracle_sql.ORACLE
