@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import contamination, mixing, ngram_join, oracle_sql, quality_rules, substring_dedup
+from ledgerloom.llm import contamination, license_scan, mixing, ngram_join, oracle_sql, personal_data, quality_rules, substring_dedup
 from ledgerloom.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,11 +37,21 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.group(configure(spark), _table(spark, sf_dir, "documents")).drop("links_found")
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.find_personal_data(configure(spark), _table(spark, sf_dir, "documents"))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(_table(configure(spark), sf_dir, "documents")).drop("notices")
+
+
 QUERIES: dict[str, Query] = {
     "op1_mix_to_weights": op1_mix_to_weights,
     "op2_decontaminate": op2_decontaminate,
     "op3_quality_rules": op3_quality_rules,
     "op6_substring_dedup": op6_substring_dedup,
+    "op8_personal_data": op8_personal_data,
+    "op10_license_scan": op10_license_scan,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
 }
 
