@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import contamination, license_scan, mixing, ngram_join, oracle_sql, personal_data, quality_rules, substring_dedup
+from ledgerloom.llm import contamination, license_scan, mixing, ngram_join, oracle_sql, personal_data, quality_classifier, quality_rules, substring_dedup, toxicity
 from ledgerloom.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(configure(spark), _table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(configure(spark), _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(configure(spark), _table(spark, sf_dir, "documents"))
 
@@ -37,6 +41,10 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.group(configure(spark), _table(spark, sf_dir, "documents")).drop("links_found")
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.score(configure(spark), _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.find_personal_data(configure(spark), _table(spark, sf_dir, "documents"))
 
@@ -49,7 +57,9 @@ QUERIES: dict[str, Query] = {
     "op1_mix_to_weights": op1_mix_to_weights,
     "op2_decontaminate": op2_decontaminate,
     "op3_quality_rules": op3_quality_rules,
+    "op4_toxicity": op4_toxicity,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_personal_data": op8_personal_data,
     "op10_license_scan": op10_license_scan,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
