@@ -64,11 +64,11 @@ def phrase_places(spark: SparkSession, postings: DataFrame, windows: DataFrame)
         "window_id", "offset", "term", "length", F.coalesce("n", F.lit(0)).alias("n"))
         .withColumn("rank", F.row_number().over(by_rarity)), spark, "ranked-terms")
 
-    anchors = ranked.filter("rank = 1")
+    anchors = saved(ranked.filter("rank = 1").select("window_id", "length", "offset", "term").coalesce(1), spark, "anchors")
     found = postings.join(anchors, "term").select(
         *DOC, (F.col("at") - F.col("offset")).alias("start"), "window_id", "length").filter("start >= 0")
-    rare = saved(ranked.filter((F.col("rank") > 1) & (F.col("rank") <= RARE_TERMS)).select("term").distinct(),
-                 spark, "rare-terms")
+    rare = saved(ranked.filter((F.col("rank") > 1) & (F.col("rank") <= RARE_TERMS)).select("term").distinct()
+                 .coalesce(1), spark, "rare-terms")
     rare_lists = postings.join(rare, "term", "left_semi")
     for rank in range(2, RARE_TERMS + 1):
         nth = ranked.filter(F.col("rank") == rank).select("window_id", "term", "offset")
@@ -93,8 +93,8 @@ def phrase_places(spark: SparkSession, postings: DataFrame, windows: DataFrame)
 
 
 def _numbered(item_windows_: DataFrame) -> DataFrame:
-    """Windows by text: the same text in several items is looked up once."""
-    return item_windows_.withColumn("window_id", F.sha2(F.concat_ws(" ", "window"), 256))
+    """Windows by the hash of their words: the same text in several items is looked up once."""
+    return item_windows_.withColumn("window_id", F.xxhash64("window"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
