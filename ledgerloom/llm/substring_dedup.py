@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.bitmap import bitmap, may_hold
 from ledgerloom.llm.rolling import Runs, list_parts, slices
 from ledgerloom.llm.text import blank_words, saved, word_hashes
 
@@ -121,18 +122,16 @@ def _kept(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for doc_id, text, removed in zip(frame["doc_id"], frame["text"], frame["removed"]):
             words = _WORD.findall(text or "")
             spans: list[dict] = []
-            kept = words
-            if removed is not None:
-                kept, done = [], 0
-                for start, stop in sorted((r["start"], r["stop"]) for r in removed):
-                    if spans and start <= spans[-1]["stop"]:
-                        spans[-1]["stop"] = max(spans[-1]["stop"], stop)
-                    else:
-                        spans.append({"start": start, "stop": stop})
-                for span in spans:
-                    kept += words[done: span["start"]]
-                    done = span["stop"]
-                kept += words[done:]
+            for start, stop in sorted((r["start"], r["stop"]) for r in removed):
+                if spans and start <= spans[-1]["stop"]:
+                    spans[-1]["stop"] = max(spans[-1]["stop"], stop)
+                else:
+                    spans.append({"start": start, "stop": stop})
+            kept, done = [], 0
+            for span in spans:
+                kept += words[done: span["start"]]
+                done = span["stop"]
+            kept += words[done:]
             rows.append((doc_id, len(words), len(words) - len(kept),
                          hashlib.sha256(" ".join(kept).encode("utf-8", "surrogatepass")).hexdigest(), spans))
         out = pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept_sha256", "removed"])
@@ -156,12 +155,25 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_i
         F.coalesce(one_of_a_kind("prev"), F.lit(False)).alias("in_one")).filter("least < most").drop("most")
     places = edges.select("id", "copy", "at", "edge").join(repeated, "edge").groupBy("id", "copy").agg(
         F.sort_array(F.collect_set(F.struct("at", "least", "out_one", "in_one"))).alias("places"))
-    checks = saved(hashed.join(places, ["id", "copy"]).select("id", "copy", "words", "places")
+    # Only texts that have such a place are shuffled to them.
+    places = saved(places, spark, "repeated-places")
+    placed = keyed.filter(may_hold(bitmap(spark, places, "id", "copy"), F.col("id"), F.col("copy")))
+    checks = saved(placed.select("id", "copy", "text").join(places, ["id", "copy"])
+                   .select("id", "copy", word_hashes(blank_words(F.col("text"))).alias("words"), "places")
                    .mapInArrow(lambda it: _checks(it, window, edge), _CHECKS), spark, "repeat-checks")
 
     windows = checks.filter("window is not null")
     first = windows.groupBy("window").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most")
     later = windows.join(first, "window").filter("least < id").select("id", "copy", "start", "stop")
-    removed = (checks.filter("window is null").select("id", "copy", "start", "stop").unionByName(later)
-               .groupBy("id", "copy").agg(F.collect_set(F.struct("start", "stop")).alias("removed")))
-    return keyed.join(removed, ["id", "copy"], "left").select("doc_id", "text", "removed").mapInPandas(_kept, _RESULT)
+    removed = saved(checks.filter("window is null").select("id", "copy", "start", "stop").unionByName(later)
+                    .groupBy("id", "copy").agg(F.collect_set(F.struct("start", "stop")).alias("removed")), spark, "removed-spans")
+
+    cut = (keyed.filter(may_hold(bitmap(spark, removed, "id", "copy"), F.col("id"), F.col("copy"))).join(removed, ["id", "copy"])
+           .select("doc_id", "text", "removed").mapInPandas(_kept, _RESULT))
+    words = blank_words(F.col("text"))
+    whole = (keyed.select("id", "copy", "doc_id", F.coalesce(F.size(words), F.lit(0)).cast("long").alias("n_words"),
+                          F.sha2(F.coalesce(F.array_join(words, " "), F.lit("")), 256).alias("kept_sha256"))
+             .join(removed.select("id", "copy"), ["id", "copy"], "left_anti")
+             .select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256",
+                     F.expr("cast(array() as array<struct<start: int, stop: int>>)").alias("removed")))
+    return whole.unionByName(cut)
