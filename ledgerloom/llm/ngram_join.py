@@ -1,5 +1,8 @@
 """Exact Jaccard join of 5-word shingle sets in metric space, and the groups that its links form.
 
+First, sets without a chance go: the shingles with small hashes are the same sample for every set, and a set
+with too many of them in no other set cannot have a link. What is left is joined whole.
+
 1 - Jaccard is a metric. Documents with equal sets are one point. A linked pair always shares one of the
 first shingles of both sets (a fifth of each, in a common order, rarest first), so a pivot is chosen for
 each such shingle and draws the points that hold it: linked points always share a pivot's region. A
@@ -9,7 +12,7 @@ within reach of them, form the next region with a new pivot. After a few levels
 windows of distance. No link between different sets is lost: pairs that are not compared are either
 too far apart by the triangle inequality or both linked to the same pivot.
 
-The order of shingles comes from counts over all documents in 65,536 buckets, a table of fixed size; any order gives
+The order of shingles comes from counts over all those sets in 65,536 buckets, a table of fixed size; any order gives
 the same links, a good one keeps frequent shingles out of the prefixes. Shingles are 64-bit hashes.
 
 Defined results: null text and texts without words have an empty set and are linked with nothing; fewer than five
@@ -27,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.bitmap import bitmap, may_hold
 from ledgerloom.llm.components import components
 from ledgerloom.llm.rolling import Runs, list_parts, slices
 from ledgerloom.llm.text import blank_words, lower_az, saved, word_hashes
@@ -34,6 +38,7 @@ from ledgerloom.llm.text import blank_words, lower_az, saved, word_hashes
 SHINGLE = 5
 PERCENT = 80
 LEVELS = 3
+SAMPLE = 0.3  # share of the hash range that every set is sampled from; more than the share a linked set may lack
 BUCKETS = 1 << 16
 LAST_ID = (1 << 63) - 1
 RADIUS = 1 - PERCENT / 100
@@ -54,15 +59,6 @@ def _sets(words: np.ndarray, offsets: np.ndarray, shingle: int) -> Iterator[tupl
                 yield row, np.unique(runs.hashes(at, np.minimum(at + shingle, stop)))
 
 
-def _bucket_counts(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(BUCKETS, np.int64)
-    for batch in batches:
-        for _, found in _sets(*list_parts(batch.column(0)), shingle):
-            counts += np.bincount((found & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-    held = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(counts[held])], names=["bucket", "n"])
-
-
 def _ordered(found: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     """The set as sorted numbers in the common order: rank of the bucket, then the rest of the hash."""
     bucket = (found & np.uint64(BUCKETS - 1)).astype(np.int64)
@@ -77,34 +73,46 @@ def _digest(found: np.ndarray) -> int:
     return int((found.sum() ^ (folded.sum() << np.uint64(1)) ^ np.bitwise_xor.reduce(folded >> np.uint64(3))).astype(np.int64))
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], ranks: np.ndarray, shingle: int, percent: int) -> Iterator[pa.RecordBatch]:
+def _lists(columns: dict[str, pa.Array], name: str, lists: list[np.ndarray]) -> pa.RecordBatch:
+    lengths = np.concatenate(([0], np.cumsum([len(x) for x in lists])))
+    values = pa.array(np.concatenate(lists).view(np.int64) if lists else np.zeros(0, np.int64))
+    columns[name] = pa.ListArray.from_arrays(pa.array(lengths.astype(np.int32)), values)
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
+def _samples(batches: Iterator[pa.RecordBatch], shingle: int, below: int) -> Iterator[pa.RecordBatch]:
+    """Size, digest and the shingles with small hashes of each row's set."""
     for batch in batches:
-        n, digests, prefixes = [], [], []
+        n, digests, samples = [], [], []
         for _, found in _sets(*list_parts(batch.column(1)), shingle):
-            size = len(found)
-            n.append(size)
+            n.append(len(found))
             digests.append(_digest(found))
-            ordered = _ordered(found, ranks)
-            prefixes.append(ordered[: size - -(-percent * size // 100) + 1].view(np.int64) if size else ordered.view(np.int64))
-        lengths = np.concatenate(([0], np.cumsum([len(p) for p in prefixes])))
-        values = pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.int64()),
-             pa.ListArray.from_arrays(pa.array(lengths.astype(np.int32)), values)], names=["id", "n", "point", "prefix"])
+            samples.append(found[: np.searchsorted(found, np.uint64(below))])
+        yield _lists({"id": batch.column(0), "n": pa.array(n, pa.int64()), "point": pa.array(digests, pa.int64())}, "sample", samples)
 
 
 def _whole_sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         points, sets = [], []
-        for row, found in _sets(*list_parts(batch.column(1)), shingle):
-            if _digest(found) == batch.column(0)[row].as_py():
-                points.append(batch.column(0)[row].as_py())
-                sets.append(found.view(np.int64))
-        lengths = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
-        values = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(points, pa.int64()), pa.ListArray.from_arrays(pa.array(lengths.astype(np.int32)), values)],
-            names=["point", "set"])
+        for _, found in _sets(*list_parts(batch.column(0)), shingle):
+            points.append(_digest(found))
+            sets.append(found)
+        yield _lists({"point": pa.array(points, pa.int64())}, "set", sets)
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], ranks: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        values, offsets = list_parts(batch.column(1))
+        prefixes = []
+        for start, stop in zip(offsets, offsets[1:]):
+            ordered = _ordered(values[start:stop].view(np.uint64), ranks)
+            prefixes.append(ordered[: _may_miss(len(ordered), percent) + 1])
+        yield _lists({"point": batch.column(0)}, "prefix", prefixes)
+
+
+def _may_miss(n: int, percent: int) -> int:
+    """Shingles of a set of n that a linked set may lack."""
+    return n - -(-percent * n // 100)
 
 
 def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -165,27 +173,35 @@ def _links(spark: SparkSession, points: DataFrame, sets_of: DataFrame, shared: D
 def group(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
           percent: int = PERCENT, levels: int = LEVELS) -> DataFrame:
     """For each document: the size of its set, its group's smallest id and how many different sets it is linked to directly."""
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"),
-                        word_hashes(blank_words(lower_az(F.col(text_col)))).alias("words"))
-    counts = (texts.select("words").mapInArrow(lambda it: _bucket_counts(it, shingle), "bucket int, n long")
-              .groupBy("bucket").agg(F.sum("n").alias("n")).orderBy("n", "bucket").limit(BUCKETS).collect())
-    ranks = np.zeros(BUCKETS, np.uint64)
-    for rank, row in enumerate(counts):
-        ranks[row["bucket"]] = rank
-    sets = saved(texts.mapInArrow(lambda it: _prefixes(it, ranks, shingle, percent),
-                                  "id long, n long, point long, prefix array<long>"), spark, "prefixes")
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.col(text_col).alias("text"))
+    words = word_hashes(blank_words(lower_az(F.col("text")))).alias("words")
+    below = int(SAMPLE * 2**64)
+    sets = saved(texts.select("id", words).mapInArrow(
+        lambda it: _samples(it, shingle, below), "id long, n long, point long, sample array<long>"), spark, "set-samples")
     filled = sets.filter("n > 0")
     points = saved(filled.groupBy("point").agg(F.min("id").alias("id"), F.max("n").alias("n")), spark, "points")
 
+    # A linked set holds all but a few of a point's shingles, so a point with more lonely ones in its sample has no link.
+    lonely = (filled.select("point", F.explode("sample").alias("key")).groupBy("key")
+              .agg(F.min("point").alias("point"), F.max("point").alias("other")).filter("point = other")
+              .groupBy("point").agg(F.count(F.lit(1)).alias("lonely")))
+    may_miss = F.col("n") - F.ceil(F.col("n") * percent / 100)
+    alive = saved(points.join(lonely, "point", "left").filter(F.coalesce("lonely", F.lit(0)) <= may_miss)
+                  .select("point", "id"), spark, "alive-points")
+    whole = saved(texts.filter(may_hold(bitmap(spark, alive, "id"), F.col("id"))).select(words)
+                  .mapInArrow(lambda it: _whole_sets(it, shingle), "point long, set array<long>")
+                  .join(alive.select("point"), "point", "left_semi").dropDuplicates(["point"]), spark, "whole-sets")
+
+    counts = (whole.select(F.explode("set").alias("shingle")).groupBy(F.col("shingle").bitwiseAND(BUCKETS - 1).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+              .orderBy("n", "bucket").limit(BUCKETS).collect())
+    ranks = np.zeros(BUCKETS, np.uint64)
+    for rank, row in enumerate(counts):
+        ranks[row["bucket"]] = rank
     # One exchange by shingle serves the count and the join.
-    entries = (filled.groupBy("point").agg(F.first("prefix").alias("prefix"))
+    entries = (whole.mapInArrow(lambda it: _prefixes(it, ranks, percent), "point long, prefix array<long>")
                .select("point", F.explode("prefix").alias("key")).repartition("key"))
     holders = entries.groupBy("key").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1")
     shared = saved(entries.join(holders, "key"), spark, "shared-shingles")
-
-    wanted = shared.select("point").distinct().join(points.select("point", "id"), "point")
-    whole = saved(texts.join(wanted, "id").select("point", "words").mapInArrow(
-        lambda it: _whole_sets(it, shingle), "point long, set array<long>").dropDuplicates(["point"]), spark, "whole-sets")
     links = saved(_links(spark, points, whole, shared, percent, levels), spark, "found-links")
 
     degree = (links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
