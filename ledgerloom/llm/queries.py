@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerloom.llm import contamination, license_scan, mixing, ngram_join, oracle_sql, personal_data, quality_classifier, quality_rules, substring_dedup, toxicity
+from ledgerloom.llm import contamination, license_scan, line_dedup, mixing, ngram_join, oracle_sql, personal_data, quality_classifier, quality_rules, substring_dedup, toxicity
 from ledgerloom.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +34,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(configure(spark), _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.dedup_lines(configure(spark), _table(spark, sf_dir, "documents"))
+    return cleaned.select("doc.doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(configure(spark), _table(spark, sf_dir, "documents"))
 
@@ -58,6 +64,7 @@ QUERIES: dict[str, Query] = {
     "op2_decontaminate": op2_decontaminate,
     "op3_quality_rules": op3_quality_rules,
     "op4_toxicity": op4_toxicity,
+    "op5_line_dedup": op5_line_dedup,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_personal_data": op8_personal_data,
