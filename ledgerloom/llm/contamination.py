@@ -100,7 +100,7 @@ def _numbered(item_windows_: DataFrame) -> DataFrame:
 def decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
                   text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
                   window: int = WINDOW) -> DataFrame:
-    """For each document: words, words inside windows of items, and the items whose windows occur."""
+    """For each document: words, words inside windows of items, the items whose windows occur, and the hash of its text (``copy``)."""
     by_item = saved(_numbered(item_windows(items, item_col, item_text_col, window)), spark, "item-windows")
     distinct_windows = by_item.groupBy("window_id").agg(F.first("window").alias("window"))
     vocabulary = (distinct_windows.select(F.explode("window").alias("word")).distinct()
@@ -128,4 +128,4 @@ def decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame, *, id_
                 "e.doc_id", "e.n_words", F.coalesce("h.n_hit", F.lit(0)).cast("long").alias("n_hit"),
                 F.coalesce("i.n_items", F.lit(0)).cast("long").alias("n_items"),
                 F.coalesce("i.items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"),
-                F.col("h.n_hit").isNotNull().alias("contaminated")))
+                F.col("h.n_hit").isNotNull().alias("contaminated"), "e.copy"))

@@ -84,11 +84,11 @@ def _samples(batches: Iterator[pa.RecordBatch], shingle: int, below: int) -> Ite
     """Size, digest and the shingles with small hashes of each row's set."""
     for batch in batches:
         n, digests, samples = [], [], []
-        for _, found in _sets(*list_parts(batch.column(1)), shingle):
+        for _, found in _sets(*list_parts(batch.column(2)), shingle):
             n.append(len(found))
             digests.append(_digest(found))
             samples.append(found[: np.searchsorted(found, np.uint64(below))])
-        yield _lists({"id": batch.column(0), "n": pa.array(n, pa.int64()), "point": pa.array(digests, pa.int64())}, "sample", samples)
+        yield _lists({"id": batch.column(0), "copy": batch.column(1), "n": pa.array(n, pa.int64()), "point": pa.array(digests, pa.int64())}, "sample", samples)
 
 
 def _whole_sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
@@ -172,12 +172,13 @@ def _links(spark: SparkSession, points: DataFrame, sets_of: DataFrame, shared: D
 
 def group(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
           percent: int = PERCENT, levels: int = LEVELS) -> DataFrame:
-    """For each document: the size of its set, its group's smallest id and how many different sets it is linked to directly."""
+    """For each document: the size of its set, its group's smallest id the links to other sets that were found on the way,
+    and the hash of its text (``copy``)."""
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.col(text_col).alias("text"))
     words = word_hashes(blank_words(lower_az(F.col("text")))).alias("words")
     below = int(SAMPLE * 2**64)
-    sets = saved(texts.select("id", words).mapInArrow(
-        lambda it: _samples(it, shingle, below), "id long, n long, point long, sample array<long>"), spark, "set-samples")
+    sets = saved(texts.select("id", F.xxhash64("text").alias("copy"), words).mapInArrow(
+        lambda it: _samples(it, shingle, below), "id long, copy long, n long, point long, sample array<long>"), spark, "set-samples")
     filled = sets.filter("n > 0")
     points = saved(filled.groupBy("point").agg(F.min("id").alias("id"), F.max("n").alias("n")), spark, "points")
 
@@ -212,7 +213,7 @@ def group(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_
         labels.join(least, "component").select(F.col("node").alias("point"), "least"), "point", "left")
         .join(degree.withColumnRenamed("a", "point"), "point", "left")
         .select("point", F.coalesce("least", "own").alias("least"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
-    named = sets.select("id", "n", "point").join(grouped, "point", "left")
+    named = sets.select("id", "copy", "n", "point").join(grouped, "point", "left")
     component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("least"))
 
     def shown(value: Column) -> Column:
@@ -220,4 +221,4 @@ def group(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_
 
     return named.select(shown(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"),
                         shown(component).alias("component_id"),
-                        F.when(F.col("n") == 0, F.lit(0)).otherwise(F.col("n_links")).alias("links_found"))
+                        F.when(F.col("n") == 0, F.lit(0)).otherwise(F.col("n_links")).alias("links_found"), "copy")

@@ -56,10 +56,10 @@ def measure(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     lines = F.filter(F.split(text, "\n"), lambda l: F.length(F.btrim(l, F.lit(BLANKS))) > 0)
     df = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"),
                      F.col(text_col).alias("__text"))
-    df = df.select("doc_id", "lang", "source", blank_words(text).alias("__words"), lines.alias("__lines"),
+    df = df.select("doc_id", F.xxhash64("__text").alias("copy"), "lang", "source", blank_words(text).alias("__words"), lines.alias("__lines"),
                    F.length(F.translate(text, BLANKS, "")).cast("long").alias("word_chars"),
                    (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"))
-    df = df.select("doc_id", "lang", "source", F.size("__words").cast("long").alias("n_words"), "word_chars", "n_symbols",
+    df = df.select("doc_id", "copy", "lang", "source", F.size("__words").cast("long").alias("n_words"), "word_chars", "n_symbols",
                    F.size("__lines").cast("long").alias("n_lines"),
                    (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
                    word_hashes(F.col("__words")).alias("__hashes"))
@@ -68,7 +68,7 @@ def measure(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     pairs = F.array_sort(F.transform("__windows", lambda h, i: F.struct(h.alias("hash"), i.alias("at"))))
     df = df.withColumn("__ordered", F.when(repeated, pairs).otherwise(
         F.expr("cast(array() as array<struct<hash: bigint, at: int>>)")))
-    return df.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines",
+    return df.select("doc_id", "copy", "lang", "source", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines",
                      _repeat_words("__windows", "__ordered", REPEAT_WINDOW).alias("n_repeat_words"))
 
 
@@ -133,7 +133,7 @@ def base_failed() -> Column:
 def judge(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
           lang_col: str = "lang", source_col: str = "source", min_group: int = MIN_GROUP,
           fence: int = FENCE) -> DataFrame:
-    """The measures of each document, ``base_failed`` and ``kept``."""
+    """The measures of each document, ``base_failed`` and ``kept``; ``copy`` is the hash of its text."""
     measured = saved(measure(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, source_col=source_col),
                      spark, "quality-measures")
     limits = saved(fences(sketches(measured), min_group, fence), spark, "quality-fences")
@@ -148,4 +148,4 @@ def judge(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_
         beyond = beyond | (rates[name] < F.col(f"f.low_{name}"))
     kept = F.when(base_failed(), F.lit(False)).otherwise(~F.coalesce(beyond, F.lit(False)))
     return joined.select("m.doc_id", *(f"m.{c}" for c in MEASURES), base_failed().alias("base_failed"),
-                         kept.alias("kept"))
+                         kept.alias("kept"), "m.copy")

@@ -23,11 +23,11 @@ def op1_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.decontaminate(configure(spark), _table(spark, sf_dir, "documents"),
-                                       _table(spark, sf_dir, "benchmark"))
+                                       _table(spark, sf_dir, "benchmark")).drop("copy")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(configure(spark), _table(spark, sf_dir, "documents"))
+    return quality_rules.judge(configure(spark), _table(spark, sf_dir, "documents")).drop("copy")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.group(configure(spark), _table(spark, sf_dir, "documents")).drop("links_found")
+    return ngram_join.group(configure(spark), _table(spark, sf_dir, "documents")).drop("links_found", "copy")
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
