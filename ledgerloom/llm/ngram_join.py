@@ -8,11 +8,11 @@ first shingles of both sets (a fifth of each, in a common order, rarest first),
 each such shingle and draws the points that hold it: linked points always share a pivot's region. A
 region compares its points with the pivot alone. Points within the radius of the pivot are linked to it, and
 so to each other; the others, and the boundary points that the triangle inequality leaves
-within reach of them, form the next region with a new pivot. After a few levels the rest is compared within its
-windows of distance. No link between different sets is lost: pairs that are not compared are either
+within reach of them, form the next region with a new pivot. After a few levels the points that are left and are not yet
+in one group are compared within their windows of distance. No link between different sets is lost: pairs that are not compared are either
 too far apart by the triangle inequality or both linked to the same pivot.
 
-The order of shingles comes from counts over all those sets in 65,536 buckets, a table of fixed size; any order gives
+The order of shingles comes from counts over all those sets in 262,144 buckets, a table of fixed size; any order gives
 the same links, a good one keeps frequent shingles out of the prefixes. Shingles are 64-bit hashes.
 
 Defined results: null text and texts without words have an empty set and are linked with nothing; fewer than five
@@ -24,6 +24,7 @@ and text columns are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,8 @@ SHINGLE = 5
 PERCENT = 80
 LEVELS = 3
 SAMPLE = 0.3  # share of the hash range that every set is sampled from; more than the share a linked set may lack
-BUCKETS = 1 << 16
+BUCKET_BITS = 18
+BUCKETS = 1 << BUCKET_BITS
 LAST_ID = (1 << 63) - 1
 RADIUS = 1 - PERCENT / 100
 SLACK = 1e-9  # windows are compared in floating point, links in whole numbers
@@ -62,7 +64,7 @@ def _sets(words: np.ndarray, offsets: np.ndarray, shingle: int) -> Iterator[tupl
 def _ordered(found: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     """The set as sorted numbers in the common order: rank of the bucket, then the rest of the hash."""
     bucket = (found & np.uint64(BUCKETS - 1)).astype(np.int64)
-    return np.sort((ranks[bucket] << np.uint64(48)) | (found >> np.uint64(16)))
+    return np.sort((ranks[bucket] << np.uint64(64 - BUCKET_BITS)) | (found >> np.uint64(BUCKET_BITS)))
 
 
 def _digest(found: np.ndarray) -> int:
@@ -129,9 +131,11 @@ def _linked(percent: int) -> Column:
     return F.col("shared") * 100 >= F.col("union") * percent
 
 
-def _links(spark: SparkSession, points: DataFrame, sets_of: DataFrame, shared: DataFrame, percent: int,
-           levels: int) -> DataFrame:
-    """Links (a, b) between points; ``shared`` has the shingles (key) that two or more points hold in their prefix."""
+def _pivot_links(spark: SparkSession, sets_of: DataFrame, shared: DataFrame, percent: int, levels: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) to pivots, and what the last level leaves: points of a region, some of which still seek.
+
+    ``shared`` has the shingles (key) that two or more points hold in their prefix.
+    """
     central = shared.groupBy("point").agg(F.sum("holders").alias("central"))
     drawn = shared.select("key", "point").join(central, "point")
     pivots = drawn.groupBy("key").agg(F.max(F.struct("central", "point"))["point"].alias("pivot"))
@@ -139,7 +143,7 @@ def _links(spark: SparkSession, points: DataFrame, sets_of: DataFrame, shared: D
         F.col("pivot").alias("region"), "pivot", "point", "central", F.lit(True).alias("seeks")).distinct(), spark, "regions")
     found = []
     for level in range(levels):
-        pairs = state.select("region", F.col("pivot").alias("other"), "point", "central", "seeks")
+        pairs = state.filter("point <> pivot").select("region", F.col("pivot").alias("other"), "point", "central", "seeks")
         measured = saved(_measured(pairs, sets_of), spark, "distances")
         found.append(measured.filter(_linked(percent)).select(F.col("point").alias("a"), F.col("other").alias("b")))
         seeking = F.col("seeks") & ~_linked(percent)
@@ -149,25 +153,36 @@ def _links(spark: SparkSession, points: DataFrame, sets_of: DataFrame, shared: D
         within = F.col("distance").between(F.col("low") - RADIUS - SLACK, F.col("high") + RADIUS + SLACK)
         state = saved(measured.withColumn("seeks", seeking).join(reach, "region").filter(within).select(
             "region", "pivot", "point", "central", "seeks", "distance"), spark, "regions")
-        if level < levels - 1:
-            state = state.filter("point <> pivot")
-        if state.isEmpty():
-            break
-    else:
-        size = points.select("point", "n")
-        left = state.filter("seeks").select("region", F.col("point").alias("other"), F.col("distance").alias("other_distance"))
-        near = F.abs(F.col("distance") - F.col("other_distance")) <= RADIUS + SLACK
-        rest = (state.select("region", "point", "seeks", "distance").join(left, "region")
-                .filter(near & (F.col("point") != F.col("other")) & (~F.col("seeks") | (F.col("point") < F.col("other"))))
-                .select("point", "other").distinct()
-                .join(size, "point").join(size.select(F.col("point").alias("other"), F.col("n").alias("m")), "other")
-                .filter((F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)))
-        found.append(_measured(rest.select("point", "other"), sets_of).filter(_linked(percent))
-                     .select(F.col("point").alias("a"), F.col("other").alias("b")))
-    links = found[0]
-    for more in found[1:]:
-        links = links.unionByName(more)
-    return links
+    return reduce(DataFrame.unionByName, found), state
+
+
+def _rest_links(state: DataFrame, points: DataFrame, labels: DataFrame, sets_of: DataFrame, shared: DataFrame,
+                percent: int) -> DataFrame:
+    """Links between the points that the last level leaves in a region, where they join different components.
+
+    Before whole sets are compared, the shingles that two prefixes share must allow the similarity: beyond
+    the prefixes, the sets have at most the rest of the larger one in common.
+    """
+    size = points.select("point", "n")
+    labelled = (state.select("region", "point", "seeks", "distance").join(size, "point")
+                .join(labels.withColumnRenamed("node", "point"), "point", "left")
+                .withColumn("component", F.coalesce("component", "point")))
+    several = (labelled.groupBy("region").agg(F.min("component").alias("x"), F.max("component").alias("y"))
+               .filter("x <> y").select("region"))
+    labelled = labelled.join(several, "region")
+    seekers = labelled.filter("seeks").select("region", F.col("point").alias("other"), F.col("distance").alias("other_distance"),
+                                              F.col("component").alias("other_component"), F.col("n").alias("m"))
+    apart = (F.col("component") != F.col("other_component")) & (~F.col("seeks") | (F.col("point") < F.col("other")))
+    near = F.abs(F.col("distance") - F.col("other_distance")) <= RADIUS + SLACK
+    alike = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
+    pairs = labelled.join(seekers, "region").filter(apart & near & alike).select("point", "other", "n", "m").distinct()
+    keys = shared.select("point", "key")
+    common = (pairs.join(keys, "point").join(keys.select(F.col("point").alias("other"), "key"), ["other", "key"])
+              .groupBy("point", "other", "n", "m").agg(F.count(F.lit(1)).alias("common")))
+    beyond = F.greatest(*(F.ceil(F.col(c) * percent / 100) - 1 for c in ("n", "m")))
+    enough = F.ceil((F.col("n") + F.col("m")) * percent / (100 + percent))
+    likely = common.filter(F.col("common") + beyond >= enough).select("point", "other")
+    return _measured(likely, sets_of).filter(_linked(percent)).select(F.col("point").alias("a"), F.col("other").alias("b"))
 
 
 def group(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
@@ -194,20 +209,25 @@ def group(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_
                   .join(alive.select("point"), "point", "left_semi").dropDuplicates(["point"]), spark, "whole-sets")
 
     counts = (whole.select(F.explode("set").alias("shingle")).groupBy(F.col("shingle").bitwiseAND(BUCKETS - 1).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-              .orderBy("n", "bucket").limit(BUCKETS).collect())
+              .toArrow().sort_by([("n", "ascending"), ("bucket", "ascending")]))
     ranks = np.zeros(BUCKETS, np.uint64)
-    for rank, row in enumerate(counts):
-        ranks[row["bucket"]] = rank
+    ranks[counts["bucket"].to_numpy()] = np.arange(len(counts), dtype=np.uint64)
     # One exchange by shingle serves the count and the join.
     entries = (whole.mapInArrow(lambda it: _prefixes(it, ranks, percent), "point long, prefix array<long>")
                .select("point", F.explode("prefix").alias("key")).repartition("key"))
     holders = entries.groupBy("key").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1")
     shared = saved(entries.join(holders, "key"), spark, "shared-shingles")
-    links = saved(_links(spark, points, whole, shared, percent, levels), spark, "found-links")
+    links, left = _pivot_links(spark, whole, shared, percent, levels)
+    links = saved(links, spark, "pivot-links")
+    labels = saved(components(spark, links), spark, "components")
+    rest = saved(_rest_links(left, points, labels, whole, shared, percent), spark, "rest-links")
+    if not rest.isEmpty():
+        joined = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest)
+        labels = saved(components(spark, joined), spark, "components")
+    links = links.unionByName(rest)
 
     degree = (links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
               .groupBy("a").agg(F.count(F.lit(1)).alias("n_links")))
-    labels = saved(components(spark, links), spark, "components")
     least = labels.join(points, labels["node"] == points["point"]).groupBy("component").agg(F.min("id").alias("least"))
     grouped = (points.select("point", F.col("id").alias("own")).join(
         labels.join(least, "component").select(F.col("node").alias("point"), "least"), "point", "left")
