@@ -118,18 +118,24 @@ _ST_MATCH = f"""(SELECT w.* EXCLUDE (transfer_id), coalesce(a.transaction_id, b.
  LEFT JOIN payment_transactions a ON a.order_id=w.order_id LEFT JOIN payment_transactions b ON b.cf_order_id=w.order_id)"""
 
 
+_DETAIL = """CASE WHEN coalesce(error_description, error_code) IS NOT NULL
+ THEN coalesce(error_description, '')||' ['||coalesce(error_code, '')||']' ELSE payment_message END"""
+
+
 def _applied(records: str, key: str, events: str, outcome: str, terminal: str, reason: str) -> str:
     return f"""
 WITH ev AS (SELECT e.*, {outcome} AS outcome FROM ({events}) e JOIN {records} r ON e.{key}=r.{key}),
- finals AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY event_time, webhook_id) AS rn
+ finals AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY event_time NULLS LAST, webhook_id) AS rn
   FROM ev WHERE outcome IN ({terminal})) WHERE rn=1),
- opens AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY event_time DESC, webhook_id DESC) AS rn
+ opens AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY event_time DESC NULLS LAST, webhook_id DESC) AS rn
   FROM ev WHERE outcome NOT IN ({terminal})) WHERE rn=1),
  seen AS (SELECT {key}, count(*) AS webhooks FROM ev GROUP BY 1)
 SELECT r.*, CASE WHEN r.status IN ({terminal}) THEN r.status ELSE coalesce(f.outcome, o.outcome, r.status) END AS new_status,
  CASE WHEN r.status NOT IN ({terminal}) THEN coalesce(f.webhook_id, o.webhook_id) END AS decided_by,
- CASE WHEN r.status NOT IN ({terminal}) THEN coalesce(f.event_time, o.event_time) END AS decided_at,
+ CASE WHEN r.status NOT IN ({terminal}) THEN CASE WHEN f.outcome IS NOT NULL THEN f.event_time ELSE o.event_time END END AS decided_at,
  CASE WHEN r.status NOT IN ({terminal}) THEN {reason} END AS webhook_failure_reason,
+ CASE WHEN r.status NOT IN ({terminal}) AND f.outcome IN ('COMPLETED', 'SUCCESS') THEN f.bank_reference END AS webhook_bank_reference,
+ CASE WHEN r.status IN ({terminal}) THEN NULL WHEN f.outcome IS NOT NULL THEN f.cf_payment_id ELSE o.cf_payment_id END AS webhook_payment_id,
  coalesce(s.webhooks, 0) AS webhooks
 FROM {records} r LEFT JOIN finals f ON r.{key}=f.{key} LEFT JOIN opens o ON r.{key}=o.{key}
  LEFT JOIN seen s ON r.{key}=s.{key}"""
@@ -158,8 +164,9 @@ ORACLE = {
     "match_payout_webhooks": with_tables(f"SELECT webhook_id, transfer_ref, transfer_id FROM {_PO_MATCH}"),
     "apply_webhooks": with_tables(_applied(
         "(SELECT transfer_id, transfer_type, status FROM wallet_transfers)", "transfer_id",
-        f"""SELECT transfer_id, event_type, event_time, 'pg-'||webhook_id AS webhook_id, payment_message AS detail FROM {_PG_MATCH}
- UNION ALL SELECT transfer_id, event_type, event_time, 'po-'||webhook_id, failure_reason FROM {_PO_MATCH}""",
+        f"""SELECT transfer_id, event_type, event_time, 'pg-'||webhook_id AS webhook_id, {_DETAIL} AS detail,
+ bank_reference, cf_payment_id FROM {_PG_MATCH}
+ UNION ALL SELECT transfer_id, event_type, event_time, 'po-'||webhook_id, failure_reason, bank_reference, NULL FROM {_PO_MATCH}""",
         """CASE WHEN event_type='PAYMENT_SUCCESS_WEBHOOK' THEN CASE transfer_type WHEN 'ACCOUNT_TO_WALLET' THEN 'COMPLETED'
   WHEN 'ACCOUNT_TO_ACCOUNT' THEN 'PAYOUT_INITIATED' END
  WHEN event_type IN ('PAYMENT_FAILED_WEBHOOK','PAYMENT_USER_DROPPED_WEBHOOK') THEN 'FAILED'
@@ -171,7 +178,7 @@ ORACLE = {
  WHEN 'TRANSFER_FAILED' THEN 'Payout failed: '||f.detail WHEN 'TRANSFER_REVERSED' THEN 'Payout reversed by bank' END""")),
     "apply_standalone_webhooks": with_tables(_applied(
         "(SELECT transaction_id, status FROM payment_transactions)", "transaction_id",
-        f"SELECT transaction_id, event_type, event_time, webhook_id, payment_message AS detail FROM {_ST_MATCH}",
+        f"SELECT transaction_id, event_type, event_time, webhook_id, {_DETAIL} AS detail, bank_reference, cf_payment_id FROM {_ST_MATCH}",
         """CASE event_type WHEN 'PAYMENT_SUCCESS_WEBHOOK' THEN 'SUCCESS' WHEN 'PAYMENT_FAILED_WEBHOOK' THEN 'FAILED'
  WHEN 'PAYMENT_USER_DROPPED_WEBHOOK' THEN 'CANCELLED' ELSE 'PROCESSING' END""",
         "'SUCCESS','FAILED','EXPIRED','CANCELLED','REFUNDED'",

@@ -213,16 +213,6 @@ WHERE source_wallet_id IN (SELECT wallet_id FROM enterprise_wallets WHERE divisi
     "user_history_pages": _pages("customer_id", "individual_wallets",
                                  "customer_id, transfer_id, amount, initiated_at", 20),
     "org_history_pages": _pages("org_id", "enterprise_wallets", "org_id, transfer_id, status, initiated_at", 50),
-    "transfers_by_source_pages": lambda s, d: h.numbered_pages(
-        st.wallet_transfers(s, d).filter(F.col("source_wallet_id").isNotNull()), "source_wallet_id").select(
-        "source_wallet_id", "transfer_id", "position", "page"),
-    "transfers_by_destination_pages": lambda s, d: h.numbered_pages(
-        st.wallet_transfers(s, d).filter(F.col("destination_wallet_id").isNotNull()), "destination_wallet_id").select(
-        "destination_wallet_id", "transfer_id", "position", "page"),
-    "transfers_by_status_pages": lambda s, d: h.numbered_pages(st.wallet_transfers(s, d), "status").select(
-        "status", "transfer_id", "position", "page"),
-    "transfer_ledger": lambda s, d: lg.ordered_ledger(st.transfer_legs(s, d)),
-    "transfer_audit": lambda s, d: lg.ordered_audit(st.audit_steps(s, d)),
     **{f"transfers_by_{label}_pages": with_tables(f"""SELECT {column}, transfer_id, position, (position - 1) // 20 AS page
 FROM (SELECT *, row_number() OVER (PARTITION BY {column} ORDER BY initiated_at DESC, transfer_id DESC) AS position
  FROM wallet_transfers WHERE {column} IS NOT NULL)""") for label, column in (

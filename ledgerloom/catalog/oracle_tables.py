@@ -159,14 +159,15 @@ SELECT k||'-'||n AS webhook_id,
  CASE WHEN n=1 AND k%5=0 THEN 'PAYMENT_FAILED_WEBHOOK' WHEN s='F' THEN 'PAYMENT_SUCCESS_WEBHOOK'
   WHEN s='P' AND k%2=0 THEN 'PAYMENT_FAILED_WEBHOOK' WHEN s='P' THEN 'PAYMENT_USER_DROPPED_WEBHOOK'
   ELSE 'PAYMENT_PENDING_WEBHOOK' END AS event_type,
- t + (n*7+1) * INTERVAL '1' MINUTE AS event_time,
+ CASE WHEN k%41<>0 OR n<>0 THEN t + (n*7+1) * INTERVAL '1' MINUTE END AS event_time,
+ CASE WHEN k%7=0 THEN 'E'||(k%5) END AS error_code, CASE WHEN k%7=0 THEN 'error '||(k%3) END AS error_description,
  CASE k%3 WHEN 0 THEN 'K'||k WHEN 1 THEN 'T'||k ELSE CASE WHEN k%2=0 THEN 'ORD'||k ELSE 'CFO'||k END END AS order_id,
  amount, 'CF'||k AS cf_payment_id, 'message '||(k%9) AS payment_message, 'B'||k AS bank_reference,
  (k+n)%97=0 AS broken
 FROM (SELECT o_orderkey AS k, o_orderstatus AS s, CAST(o_totalprice AS DECIMAL(18,2)) AS amount,
   o_orderdate + (o_orderkey%24) * INTERVAL '1' HOUR AS t FROM orders), (SELECT unnest([0,1]) AS n)""",
     "pg_webhooks": """
-SELECT webhook_id, event_type, event_time, order_id, amount, cf_payment_id, payment_message, bank_reference
+SELECT webhook_id, event_type, event_time, order_id, amount, cf_payment_id, payment_message, bank_reference, error_code, error_description
 FROM pg_webhooks_all WHERE NOT broken""",
     "payout_webhooks": """
 SELECT k||'-'||n AS webhook_id,
@@ -186,26 +187,29 @@ SELECT 'INV'||l_orderkey||'-'||l_linenumber||'-'||l_partkey||'-'||l_suppkey AS i
 SELECT 'S'||s_suppkey AS payee_party_id, CAST(CASE WHEN s_suppkey%2=0 THEN 0.05 ELSE 0.0325 END AS DECIMAL(6,4)) AS commission_pct,
  CAST(CASE WHEN s_suppkey%5=0 THEN 0.02 ELSE 0.01 END AS DECIMAL(6,4)) AS tds_rate FROM supplier WHERE s_suppkey%13<>0""",
     "batches": """
-SELECT 'stl-'||payer_party_id||'-'||payee_party_id||'-'||payment_cycle AS batch_id, payer_party_id, payee_party_id,
- payment_cycle, count(*) AS invoice_count, CAST(sum(gross_amount) AS DECIMAL(24,2)) AS gross_amount,
+SELECT 'stl-'||payer_party_id||'-'||payee_party_id||'-'||payment_cycle||'-'||strftime(cycle_end, '%Y-%m-%d') AS batch_id,
+ payer_party_id, payee_party_id, payment_cycle, cycle_end, count(*) AS invoice_count, CAST(sum(gross_amount) AS DECIMAL(24,2)) AS gross_amount,
  max(approved_on) + CASE payment_cycle WHEN 'NET_7' THEN 7 WHEN 'NET_15' THEN 15 ELSE 30 END AS due_date
-FROM settlement_invoices WHERE status='APPROVED' GROUP BY payer_party_id, payee_party_id, payment_cycle""",
+FROM (SELECT *, date_trunc('day', DATE '1970-01-01' + CAST((date_diff('day', DATE '1970-01-01', approved_on) // days + 1) * days AS INTEGER))::DATE AS cycle_end
+ FROM (SELECT *, CASE payment_cycle WHEN 'NET_7' THEN 7 WHEN 'NET_15' THEN 15 ELSE 30 END AS days FROM settlement_invoices))
+WHERE status='APPROVED' GROUP BY payer_party_id, payee_party_id, payment_cycle, cycle_end""",
     "settled": """
 SELECT *, CAST(gross_amount - platform_commission - gst_on_commission - tds_withheld AS DECIMAL(24,2)) AS net_payable
 FROM (SELECT *, CAST(platform_commission * CAST(0.18 AS DECIMAL(3,2)) AS DECIMAL(24,2)) AS gst_on_commission FROM
- (SELECT b.*, CAST(gross_amount * coalesce(commission_pct, CAST(0 AS DECIMAL(6,4))) AS DECIMAL(24,2)) AS platform_commission,
-  CAST(gross_amount * coalesce(tds_rate, CAST(0 AS DECIMAL(6,4))) AS DECIMAL(24,2)) AS tds_withheld
+ (SELECT b.*, CAST(gross_amount * commission_pct AS DECIMAL(24,2)) AS platform_commission,
+  CAST(gross_amount * tds_rate AS DECIMAL(24,2)) AS tds_withheld,
+  CASE WHEN commission_pct IS NULL OR tds_rate IS NULL THEN 'HELD' ELSE 'READY' END AS status
   FROM batches b LEFT JOIN contract_terms t ON b.payee_party_id=t.payee_party_id))""",
     "bank_entries": """
 SELECT CASE WHEN k%11=0 THEN 'X'||ref ELSE ref END AS bank_ref,
  CAST(CASE WHEN k%5=0 THEN net_payable - 1 WHEN k%4=0 THEN half ELSE net_payable END AS DECIMAL(24,2)) AS amount,
  due_date + CASE WHEN k%6=0 THEN 3 ELSE 0 END AS value_date FROM (SELECT *, 'UTR-'||batch_id AS ref,
   CAST(substr(payee_party_id,2) AS BIGINT) AS k,
-  CAST((CAST(net_payable*100 AS HUGEINT) + 1) // 2 AS DECIMAL(24,0)) * CAST(0.01 AS DECIMAL(3,2)) AS half FROM settled) WHERE k%7<>0
+  CAST((CAST(net_payable*100 AS HUGEINT) + 1) // 2 AS DECIMAL(24,0)) * CAST(0.01 AS DECIMAL(3,2)) AS half FROM settled WHERE status='READY') WHERE k%7<>0
 UNION ALL
 SELECT ref, CAST(net_payable - half AS DECIMAL(24,2)), due_date FROM (SELECT *, 'UTR-'||batch_id AS ref,
   CAST(substr(payee_party_id,2) AS BIGINT) AS k,
-  CAST((CAST(net_payable*100 AS HUGEINT) + 1) // 2 AS DECIMAL(24,0)) * CAST(0.01 AS DECIMAL(3,2)) AS half FROM settled)
+  CAST((CAST(net_payable*100 AS HUGEINT) + 1) // 2 AS DECIMAL(24,0)) * CAST(0.01 AS DECIMAL(3,2)) AS half FROM settled WHERE status='READY')
 WHERE k%7<>0 AND k%4=0 AND k%5<>0 AND k%11<>0""",
     "refund_requests": """
 SELECT 'R-'||k||'-'||n AS refund_id, 'PT'||k AS transaction_id,

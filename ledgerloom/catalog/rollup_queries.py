@@ -24,8 +24,9 @@ def _split_run(spark: SparkSession, sf_dir: str, subject: str) -> DataFrame:
     """Hourly summaries built by two runs around the mark."""
     facts = st.activity_facts(spark, sf_dir)
     first = rollups.incremental_hours(facts, subject, "2020-01-01", SPLIT_MARK)
-    second = rollups.incremental_hours(facts, subject, SPLIT_MARK, RUN_AT)
-    return replace_rows_in_range(first, second, "txn_hour", ts_lit(SPLIT_HOUR), ts_lit(RUN_AT))
+    end = rollups.new_progress(facts, SPLIT_MARK).first().new_mark
+    second = rollups.incremental_hours(facts, subject, SPLIT_MARK, end)
+    return replace_rows_in_range(first, second, "txn_hour", ts_lit(SPLIT_HOUR), ts_lit(end))
 
 
 def _split_run_partial(spark: SparkSession, sf_dir: str) -> DataFrame:

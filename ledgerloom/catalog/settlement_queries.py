@@ -18,7 +18,7 @@ def _settled(s, d) -> DataFrame:
 
 
 def _reconciled(s, d) -> DataFrame:
-    settlements = _settled(s, d).withColumn("bank_ref", F.concat(F.lit("UTR-"), "batch_id"))
+    settlements = _settled(s, d).filter("status = 'READY'").withColumn("bank_ref", F.concat(F.lit("UTR-"), "batch_id"))
     return se.reconcile(settlements, st.bank_entries(settlements))
 
 
@@ -40,8 +40,10 @@ QUERIES = {
 
 ORACLE = {
     "settlement_batches": with_tables("SELECT * FROM batches"),
-    "settlement_lines": with_tables("""SELECT 'stl-'||payer_party_id||'-'||payee_party_id||'-'||payment_cycle AS batch_id,
- invoice_id FROM settlement_invoices WHERE status='APPROVED'"""),
+    "settlement_lines": with_tables("""SELECT 'stl-'||payer_party_id||'-'||payee_party_id||'-'||payment_cycle||'-'||
+ strftime(DATE '1970-01-01' + CAST((date_diff('day', DATE '1970-01-01', approved_on) // days + 1) * days AS INTEGER), '%Y-%m-%d') AS batch_id,
+ invoice_id FROM (SELECT *, CASE payment_cycle WHEN 'NET_7' THEN 7 WHEN 'NET_15' THEN 15 ELSE 30 END AS days
+  FROM settlement_invoices) WHERE status='APPROVED'"""),
     "settlement_deductions": with_tables("SELECT * FROM settled"),
     "settlement_due": with_tables("""SELECT invoice_id, payment_cycle, approved_on,
  approved_on + CASE payment_cycle WHEN 'NET_7' THEN 7 WHEN 'NET_15' THEN 15 ELSE 30 END AS due_date
@@ -50,7 +52,7 @@ FROM settlement_invoices WHERE status='APPROVED'"""),
  CASE WHEN batch_id IS NULL THEN 'UNMATCHED_BANK' WHEN credited IS NULL THEN 'UNMATCHED_SETTLEMENT'
   WHEN credited = net_payable THEN 'MATCHED' ELSE 'PARTIAL' END AS reconciliation,
  coalesce(value_date > due_date, false) AS delayed
-FROM (SELECT *, 'UTR-'||batch_id AS bank_ref FROM settled) s FULL JOIN
+FROM (SELECT *, 'UTR-'||batch_id AS bank_ref FROM settled WHERE status='READY') s FULL JOIN
  (SELECT bank_ref, CAST(sum(amount) AS DECIMAL(24,2)) AS credited, max(value_date) AS value_date, count(*) AS credits
   FROM bank_entries GROUP BY 1) c ON s.bank_ref = c.bank_ref"""),
     "refund_eligibility": with_tables("""SELECT refund_id, transaction_id, refund_amount, payment_method,
@@ -58,9 +60,11 @@ FROM (SELECT *, 'UTR-'||batch_id AS bank_ref FROM settled) s FULL JOIN
  CASE WHEN p.transaction_id IS NULL THEN 'not paid'
   WHEN (p.payment_method='CARD' AND date_diff('day', p.updated_at, r.requested_at) > 180)
    OR (p.payment_method='UPI' AND date_diff('day', p.updated_at, r.requested_at) > 30) THEN 'window over'
-  WHEN t.total > p.amount THEN 'exceeds payment' END AS reason
-FROM refund_requests r LEFT JOIN (SELECT * FROM payment_transactions WHERE status='SUCCESS') p ON r.transaction_id=p.transaction_id
- LEFT JOIN (SELECT transaction_id, sum(refund_amount) AS total FROM refund_requests GROUP BY 1) t ON t.transaction_id=r.transaction_id)"""),
+  WHEN sum(CASE WHEN (p.payment_method='CARD' AND date_diff('day', p.updated_at, r.requested_at) > 180)
+    OR (p.payment_method='UPI' AND date_diff('day', p.updated_at, r.requested_at) > 30) THEN 0 ELSE r.refund_amount END)
+   OVER (PARTITION BY r.transaction_id ORDER BY r.requested_at, r.refund_id ROWS UNBOUNDED PRECEDING) > p.amount
+  THEN 'exceeds payment' END AS reason
+FROM refund_requests r LEFT JOIN (SELECT * FROM payment_transactions WHERE status='SUCCESS') p ON r.transaction_id=p.transaction_id)"""),
     "dunning_state": f"""SELECT subscription_id, cycle_start, failures, state,
  CASE WHEN state='RETRYING' THEN ff + CASE failures WHEN 1 THEN 24 WHEN 2 THEN 48 ELSE 72 END * INTERVAL '1' HOUR END AS next_retry_at,
  CASE WHEN ok = 0 AND failures > 3 THEN lf END AS held_at

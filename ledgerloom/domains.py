@@ -1,21 +1,10 @@
 """Closed sets of values carried by the payment tables."""
 
 # Fixed values.
-TRANSFER_TYPES = ("WALLET_TO_WALLET", "WALLET_TO_ACCOUNT", "ACCOUNT_TO_WALLET", "ACCOUNT_TO_ACCOUNT")
-
-# Fixed values.
-TRANSFER_STATUSES = (
-    "INITIATED", "PENDING_PAYMENT", "COLLECTING", "DEBITED",
-    "PAYOUT_INITIATED", "COMPLETED", "FAILED", "REVERSED",
-)
 TERMINAL_TRANSFER_STATUSES = ("COMPLETED", "FAILED", "REVERSED")
 FAILED_STATUSES = ("FAILED", "REVERSED")
 
 # Fixed values.
-GATEWAY_STATUSES = (
-    "INITIATED", "PENDING_PAYMENT", "PROCESSING", "SUCCESS", "FAILED", "EXPIRED",
-    "CANCELLED", "REFUNDED", "IN_PROGRESS", "ERROR", "COMPLETED",
-)
 TERMINAL_GATEWAY_STATUSES = ("SUCCESS", "FAILED", "EXPIRED", "CANCELLED", "REFUNDED")
 
 # States a transfer of each type passes through, in order, and the states it may end in.

@@ -14,8 +14,7 @@ from ledgerloom.functions.periods import as_datetime, day_of, history_window, mo
 from ledgerloom.operators.running import row_numbers
 from ledgerloom.schemas import TOTAL
 
-MAX_PAGE_SIZE = 100
-
+# Columns of an item.
 ITEM_COLUMNS = [
     "transfer_id", "transfer_type", "status", "source_wallet_id", "source_wallet_type", "source_account_number",
     "source_account_name", "destination_wallet_id", "destination_wallet_type", "destination_account_number",
@@ -150,8 +149,8 @@ def page_of(rows: DataFrame, order: str = "DATE_DESC", page: int = 0, size: int
 
     Whole histories are paged by :func:`numbered_pages`, once for every page.
     """
-    if not 1 <= size <= MAX_PAGE_SIZE or page < 0:
-        raise ValueError(f"page must be at least 0 and size between 1 and {MAX_PAGE_SIZE}")
+    if size < 1 or page < 0:
+        raise ValueError("page must be at least 0 and size at least 1")
     return rows.orderBy(*sort_keys(order)).offset(page * size).limit(size)
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from decimal import Decimal
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.periods import ts_lit
@@ -32,8 +32,15 @@ def _choose(column: str, values: dict, kind: str) -> Column:
                   F.when(F.lit(False), empty)).otherwise(empty)
 
 
+def cycle_end(approved_on: str = "approved_on") -> Column:
+    """The day on which the payment cycle that an invoice falls into is closed; cycles are counted from 1970-01-01."""
+    days = _choose("payment_cycle", CYCLE_DAYS, "int")
+    return F.date_from_unix_date(((F.floor(F.unix_date(approved_on) / days) + 1) * days).cast("int"))
+
+
 def batch_id() -> Column:
-    return F.concat_ws("-", F.lit("stl"), *BATCH_KEYS)
+    """Later invoices of the same pair fall into a later cycle, never into a batch that may have been paid."""
+    return F.concat_ws("-", F.lit("stl"), *BATCH_KEYS, F.col("cycle_end").cast("string"))
 
 
 def due_date(approved_on: str = "approved_on") -> Column:
@@ -46,27 +53,31 @@ def batch_lines(invoices: DataFrame) -> DataFrame:
     The invoice list of a batch is this table: as an array it would put all
     invoices of a large partner into one row of one task.
     """
-    approved = invoices.filter(F.col("status") == "APPROVED")
-    return approved.select(batch_id().alias("batch_id"), "invoice_id", *BATCH_KEYS, "gross_amount", "approved_on",
+    approved = invoices.filter(F.col("status") == "APPROVED").withColumn("cycle_end", cycle_end())
+    return approved.select(batch_id().alias("batch_id"), "invoice_id", *BATCH_KEYS, "cycle_end", "gross_amount", "approved_on",
                            due_date().alias("due_date"))
 
 
 def settlement_batches(invoices: DataFrame) -> DataFrame:
-    """One batch per payer, payee and cycle; due when its last invoice is."""
-    return batch_lines(invoices).groupBy("batch_id", *BATCH_KEYS).agg(
+    """One batch per payer, payee and closed cycle; due when its last invoice is."""
+    return batch_lines(invoices).groupBy("batch_id", *BATCH_KEYS, "cycle_end").agg(
         F.count(F.lit(1)).alias("invoice_count"), F.sum("gross_amount").cast(TOTAL).alias("gross_amount"),
         F.max("due_date").alias("due_date"),
     )
 
 
 def with_deductions(batches: DataFrame, terms: DataFrame) -> DataFrame:
-    """Commission, tax on it, tax withheld and what remains, from the payee's contract terms."""
+    """Commission, tax on it, tax withheld and what remains, from the payee's contract terms.
+
+    Without complete terms nothing can be deducted: the amounts stay null and the batch is held.
+    """
     joined = batches.join(terms, "payee_party_id", "left")
-    zero = F.lit(0).cast("decimal(6,4)")
-    commission = (F.col("gross_amount") * F.coalesce("commission_pct", zero)).cast(TOTAL)
+    held = F.col("commission_pct").isNull() | F.col("tds_rate").isNull()
+    joined = joined.withColumn("status", F.when(held, "HELD").otherwise("READY"))
+    commission = (F.col("gross_amount") * F.col("commission_pct")).cast(TOTAL)
     with_commission = joined.withColumn("platform_commission", commission)
     gst = (F.col("platform_commission") * F.lit(GST_ON_COMMISSION)).cast(TOTAL)
-    tds = (F.col("gross_amount") * F.coalesce("tds_rate", zero)).cast(TOTAL)
+    tds = (F.col("gross_amount") * F.col("tds_rate")).cast(TOTAL)
     deducted = with_commission.withColumns({"gst_on_commission": gst, "tds_withheld": tds})
     net = F.col("gross_amount") - F.col("platform_commission") - F.col("gst_on_commission") - F.col("tds_withheld")
     return deducted.withColumn("net_payable", net.cast(TOTAL)).drop("commission_pct", "tds_rate")
@@ -89,19 +100,23 @@ def reconcile(settlements: DataFrame, bank_entries: DataFrame) -> DataFrame:
 
 
 def refund_eligibility(refunds: DataFrame, payments: DataFrame) -> DataFrame:
-    """Whether each refund request is inside its method's window and all requests fit the paid amount.
+    """Whether each refund request is inside its method's window and still fits the paid amount.
 
-    Methods without a configured window have no time limit.
+    Requests of a payment count in the order in which they were made; those outside the
+    window do not count. Methods without a configured window have no time limit.
     """
-    totals = refunds.groupBy("transaction_id").agg(F.sum("refund_amount").cast(TOTAL).alias("refund_total"))
-    paid = payments.filter(F.col("status") == "SUCCESS").join(totals, "transaction_id").select(
+    paid = payments.filter(F.col("status") == "SUCCESS").select(
         "transaction_id", "payment_method", F.col("amount").cast(TOTAL).alias("paid_amount"),
-        F.col("updated_at").alias("paid_at"), "refund_total")
+        F.col("updated_at").alias("paid_at"))
     days = F.date_diff(F.to_date("requested_at"), F.to_date("paid_at"))
     window = _choose("payment_method", REFUND_DAYS, "int")
     joined = refunds.join(paid, "transaction_id", "left")
     in_window = window.isNull() | (days <= window)
-    fits = F.col("refund_total") <= F.col("paid_amount")
+    so_far = Window.partitionBy("transaction_id").orderBy("requested_at", "refund_id").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    asked = F.sum(F.when(F.coalesce(in_window, F.lit(True)), F.col("refund_amount")).otherwise(0)).over(so_far)
+    joined = joined.withColumn("asked", asked)
+    fits = F.col("asked") <= F.col("paid_amount")
     reason = (
         F.when(F.col("paid_at").isNull(), "not paid").when(~in_window, "window over").when(~fits, "exceeds payment")
     )

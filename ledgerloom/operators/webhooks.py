@@ -10,29 +10,37 @@ from ledgerloom.functions.keys import spread_nulls
 from ledgerloom.functions.labels import without_payout_prefix
 
 
+# Outcomes that carry the bank's reference.
+SUCCESSFUL = ("COMPLETED", "SUCCESS")
+
+
 def _lookup(rows: DataFrame, reference: Column, targets: DataFrame, key: str, found: str, out: str) -> DataFrame:
     side = targets.filter(F.col(key).isNotNull()).select(F.col(key).alias("_target"), F.col(found).alias(out))
     return rows.withColumn("_ref", reference).join(side, F.col("_ref") == F.col("_target"), "left").drop(
         "_ref", "_target")
 
 
-def match_pg_webhooks(webhooks: DataFrame, transfers: DataFrame) -> DataFrame:
-    """Add ``transfer_id``: by idempotency key, else by the transfer's own id; null means a standalone payment.
+def _by_directory(webhooks: DataFrame, records: DataFrame, keys: tuple[str, str], found: str) -> DataFrame:
+    """Add ``found`` of the record that ``order_id`` refers to, by the first key, else by the second.
 
-    Two equi-joins instead of one join on "either", which would not hash.
+    Both keys of every record form one directory, read once; where a reference stands under both, the first key wins.
     """
-    reference = spread_nulls("order_id", "webhook_id")
-    by_key = _lookup(webhooks, reference, transfers, "idempotency_key", "transfer_id", "_by_key")
-    both = _lookup(by_key, reference, transfers, "transfer_id", "transfer_id", "_by_id")
-    return both.withColumn("transfer_id", F.coalesce("_by_key", "_by_id")).drop("_by_key", "_by_id")
+    entries = records.select(F.explode(F.array(*(
+        F.struct(F.col(key).alias("_target"), F.lit(rank).alias("rank"), F.col(found).alias("found"))
+        for rank, key in enumerate(keys)))).alias("e")).select("e.*").filter(F.col("_target").isNotNull())
+    directory = entries.groupBy("_target").agg(F.min(F.struct("rank", "found"))["found"].alias(found))
+    referring = webhooks.withColumn("_ref", spread_nulls("order_id", "webhook_id"))
+    return referring.join(directory, F.col("_ref") == F.col("_target"), "left").drop("_ref", "_target")
+
+
+def match_pg_webhooks(webhooks: DataFrame, transfers: DataFrame) -> DataFrame:
+    """Add ``transfer_id``: by idempotency key, else by the transfer's own id; null means a standalone payment."""
+    return _by_directory(webhooks, transfers, ("idempotency_key", "transfer_id"), "transfer_id")
 
 
 def match_standalone_webhooks(webhooks: DataFrame, payments: DataFrame) -> DataFrame:
     """Add ``transaction_id``: by order id, else by the gateway's order id."""
-    reference = spread_nulls("order_id", "webhook_id")
-    by_order = _lookup(webhooks, reference, payments, "order_id", "transaction_id", "_by_order")
-    both = _lookup(by_order, reference, payments, "cf_order_id", "transaction_id", "_by_gateway")
-    return both.withColumn("transaction_id", F.coalesce("_by_order", "_by_gateway")).drop("_by_order", "_by_gateway")
+    return _by_directory(webhooks, payments, ("order_id", "cf_order_id"), "transaction_id")
 
 
 def match_payout_webhooks(webhooks: DataFrame, transfers: DataFrame) -> DataFrame:
@@ -78,11 +86,14 @@ def _apply(records: DataFrame, key: str, events: DataFrame, outcome: Column, ter
     """Final state per record: the first terminal outcome in event order, else the last other outcome.
 
     Events are first reduced to their earliest and latest per record and
-    type, so repeated webhooks of one record never meet in one task.
+    type, so repeated webhooks of one record never meet in one task. An event
+    without a readable time decides only when no other does.
     """
-    point = F.struct("event_time", "webhook_id", "detail")
+    about = ("event_time", "webhook_id", "detail", "bank_reference", "cf_payment_id")
+    timed = F.col("event_time").isNotNull()
     reduced = events.filter(F.col(key).isNotNull()).groupBy(key, "event_type").agg(
-        F.min(point).alias("first"), F.max(point).alias("last"), F.count(F.lit(1)).alias("n"))
+        F.min(F.struct((~timed).alias("untimed"), *about)).alias("first"),
+        F.max(F.struct(timed.alias("timed"), *about)).alias("last"), F.count(F.lit(1)).alias("n"))
     seen = records.join(reduced, key, "left")
     asked = seen.withColumn("outcome", F.when(F.col("event_type").isNotNull(), outcome))
     ends = F.col("outcome").isin(*terminal)
@@ -103,23 +114,37 @@ def _apply(records: DataFrame, key: str, events: DataFrame, outcome: Column, ter
         .when(has_open, F.col("open.last.event_time")).alias("decided_at"),
         F.when(~was_terminal & has_final, _failure_reason(F.col("final.event_type"), F.col("final.first.detail")))
         .alias("webhook_failure_reason"),
+        F.when(~was_terminal & F.col("final.outcome").isin(*SUCCESSFUL), F.col("final.first.bank_reference"))
+        .alias("webhook_bank_reference"),
+        F.when(was_terminal, F.lit(None)).when(has_final, F.col("final.first.cf_payment_id"))
+        .when(has_open, F.col("open.last.cf_payment_id")).alias("webhook_payment_id"),
         "webhooks",
     )
 
 
+def payment_detail() -> Column:
+    """What went wrong with a payment: the error's description and code, or the payment's message without an error."""
+    return F.when(
+        F.coalesce("error_description", "error_code").isNotNull(),
+        F.concat(F.coalesce("error_description", F.lit("")), F.lit(" ["), F.coalesce("error_code", F.lit("")), F.lit("]")),
+    ).otherwise(F.col("payment_message"))
+
+
 def apply_to_transfers(transfers: DataFrame, pg_matched: DataFrame, payout_matched: DataFrame) -> DataFrame:
     events = pg_matched.select("transfer_id", "event_type", "event_time", F.concat(F.lit("pg-"), "webhook_id")
-                               .alias("webhook_id"), F.col("payment_message").alias("detail")).unionByName(
+                               .alias("webhook_id"), payment_detail().alias("detail"), "bank_reference", "cf_payment_id").unionByName(
         payout_matched.select("transfer_id", "event_type", "event_time", F.concat(F.lit("po-"), "webhook_id")
-                              .alias("webhook_id"), F.col("failure_reason").alias("detail")))
+                              .alias("webhook_id"), F.col("failure_reason").alias("detail"), "bank_reference",
+                              F.lit(None).cast("string").alias("cf_payment_id")))
     records = transfers.select("transfer_id", "transfer_type", "status")
     return _apply(records, "transfer_id", events, transfer_outcome(), TERMINAL_TRANSFER_STATUSES)
 
 
 def apply_to_payments(payments: DataFrame, matched: DataFrame) -> DataFrame:
     dropped = F.col("event_type") == "PAYMENT_USER_DROPPED_WEBHOOK"
-    detail = F.when(dropped, "User dropped payment on checkout page").otherwise(F.col("payment_message"))
-    events = matched.select("transaction_id", "event_type", "event_time", "webhook_id", detail.alias("detail"))
+    detail = F.when(dropped, "User dropped payment on checkout page").otherwise(payment_detail())
+    events = matched.select("transaction_id", "event_type", "event_time", "webhook_id", detail.alias("detail"),
+                            "bank_reference", "cf_payment_id")
     records = payments.select("transaction_id", "status")
     return _apply(records, "transaction_id", events, payment_outcome(), TERMINAL_GATEWAY_STATUSES)
 

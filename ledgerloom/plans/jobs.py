@@ -14,6 +14,8 @@ from ledgerloom.operators.upsert import read_if_present, replace_periods, replac
 from ledgerloom.plans import semantic
 from ledgerloom.sources import marks as mk
 
+LOOKBACK_HOURS = 24  # late rows up to this age are counted by the next run
+
 
 def _stored_marks(spark: SparkSession, path: str) -> DataFrame:
     if read_if_present(spark, path) is None:
@@ -35,10 +37,11 @@ def _advance(spark: SparkSession, path: str, pipeline: str, mark, rows: int, run
 
 
 def run_hourly(facts: DataFrame, subject: str, summary_path: str, marks_path: str, run_at,
-               lookback_hours: int = 0) -> int:
+               lookback_hours: int = LOOKBACK_HOURS) -> int:
     """Fold facts above the mark into the hourly summary; returns how many there were.
 
-    The new mark is fixed first, and everything after reads only up to it, so
+    The hours before the mark are recomputed as well, so rows that arrive late by up to
+    ``lookback_hours`` are counted. The new mark is fixed first, and everything after reads only up to it, so
     rows that arrive meanwhile are left for the next run.
     """
     spark = facts.sparkSession

@@ -13,13 +13,16 @@ from ledgerloom.functions.periods import GRAINS, relative_range
 from ledgerloom.plans.cubes import Cube, customer_cube, org_cube
 from ledgerloom.schemas import TOTAL
 
-MAX_ROWS = 50_000_000
 ALL_ORGS = "*"
 
 
-def _require_scope(cube: Cube, scope: str | None) -> None:
-    if cube.scope_member and scope is None:
+def in_scope(summary: DataFrame, cube: Cube, scope: str | None) -> DataFrame:
+    """The rows the caller may see. A cube without a scope member ignores the scope."""
+    if not cube.scope_member:
+        return summary
+    if scope is None:
         raise PermissionError(f"{cube.name} needs the caller's {cube.scope_member}")
+    return summary if scope == ALL_ORGS else summary.filter(F.col(cube.scope_member) == scope)
 
 
 def cube_query(
@@ -46,16 +49,11 @@ def cube_query(
     cube.check(measures, "measures")
     cube.check([*dimensions, *filters], "dimensions")
     cube.check(segments, "segments")
-    _require_scope(cube, scope)
-    if limit is not None and limit > MAX_ROWS:
-        raise ValueError(f"at most {MAX_ROWS} rows per query")
     missing = {n for m in measures for n in cube.measures[m].needs} - set(summary.columns)
     if missing:
         raise ValueError(f"the chosen source has no {sorted(missing)}")
 
-    rows = summary
-    if cube.scope_member and scope != ALL_ORGS:
-        rows = rows.filter(F.col(cube.scope_member) == scope)
+    rows = in_scope(summary, cube, scope)
     if date_range is not None:
         low, high = relative_range(date_range, as_of)
         rows = rows.filter((F.col(cube.time_member) >= F.lit(low)) & (F.col(cube.time_member) < F.lit(high)))
@@ -87,9 +85,7 @@ def cube_query(
 
 def segment_totals(summary: DataFrame, cube: Cube, scope: str | None = None) -> DataFrame:
     """Transactions and amount of every segment, in one pass over the summary."""
-    _require_scope(cube, scope)
-    rows = summary if scope in (None, ALL_ORGS) else summary.filter(F.col(cube.scope_member) == scope)
-    totals = rows.agg(*[
+    totals = in_scope(summary, cube, scope).agg(*[
         F.struct(F.lit(name).alias("segment"), F.sum(F.when(inside, F.col("txn_count"))).alias("total_transactions"),
                  F.sum(F.when(inside, F.col("total_amount"))).cast(TOTAL).alias("total_amount")).alias(name)
         for name, inside in cube.segments.items()])
@@ -153,25 +149,23 @@ class Rollup:
     refresh_minutes: int = 60
 
 
-_FIVE = ("total_transactions", "total_amount", "total_net_amount", "total_fees", "completed_amount")
-
 # The stored rollups.
 ROLLUPS = {
-    "org_party_monthly": Rollup("org", _FIVE, (
+    "org_party_monthly": Rollup("org", ("total_transactions", "total_amount", "total_net_amount", "total_fees", "completed_amount"), (
         "org_id", "division_id", "counterparty_id", "counterparty_name", "counterparty_type", "status",
         "transfer_type"), "month"),
-    "org_weekly_trend": Rollup("org", _FIVE[:4], ("org_id", "division_id", "transfer_type", "status"), "week"),
-    "org_monthly_summary": Rollup("org", _FIVE, ("org_id", "division_id", "transfer_type", "status"), "month"),
-    "org_daily_detail": Rollup("org", _FIVE[:3], (
+    "org_weekly_trend": Rollup("org", ("total_transactions", "total_amount", "total_net_amount", "total_fees"), ("org_id", "division_id", "transfer_type", "status"), "week"),
+    "org_monthly_summary": Rollup("org", ("total_transactions", "total_amount", "total_net_amount", "total_fees", "completed_amount"), ("org_id", "division_id", "transfer_type", "status"), "month"),
+    "org_daily_detail": Rollup("org", ("total_transactions", "total_amount", "total_net_amount"), (
         "org_id", "division_id", "counterparty_id", "counterparty_name", "status", "transfer_type"), "day",
         refresh_minutes=30),
-    "org_status_quarterly": Rollup("org", _FIVE[:2], ("org_id", "division_id", "status", "transfer_type"),
+    "org_status_quarterly": Rollup("org", ("total_transactions", "total_amount"), ("org_id", "division_id", "status", "transfer_type"),
                                    "quarter", "year"),
-    "cust_party_monthly": Rollup("customer", _FIVE, (
+    "cust_party_monthly": Rollup("customer", ("total_transactions", "total_amount", "total_net_amount", "total_fees", "completed_amount"), (
         "customer_id", "counterparty_id", "counterparty_name", "counterparty_type", "status", "transfer_type"),
         "month"),
-    "cust_weekly_trend": Rollup("customer", _FIVE[:3], ("customer_id", "transfer_type", "status"), "week"),
-    "cust_daily_detail": Rollup("customer", _FIVE[:3], (
+    "cust_weekly_trend": Rollup("customer", ("total_transactions", "total_amount", "total_net_amount"), ("customer_id", "transfer_type", "status"), "week"),
+    "cust_daily_detail": Rollup("customer", ("total_transactions", "total_amount", "total_net_amount"), (
         "customer_id", "counterparty_id", "counterparty_name", "status", "transfer_type"), "day",
         refresh_minutes=30),
 }

@@ -8,40 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from ledgerloom.functions.periods import year_month
 
 
-# Columns that tell rows of the large tables apart well enough to spread them.
-SPREAD_KEYS = {
-    "orders": ["o_orderkey"], "lineitem": ["l_orderkey", "l_linenumber", "l_partkey"], "events": ["event_id"],
-}
-
-
-# Schema and number of splits of tables already opened, per application.
-_opened: dict[tuple[str, str], tuple[StructType, int]] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A sample table.
-
-    A file with one row group is read by one task, whatever follows in the
-    same stage included. A table with fewer splits than there are cores is
-    therefore spread over them first; one with more splits, as any large table
-    has, is left as it is read.
-    """
-    path = f"{sf_dir}/{name}.parquet"
-    known = (spark.sparkContext.applicationId, path)
-    if known not in _opened:
-        found = spark.read.parquet(path)
-        _opened[known] = (found.schema, found.rdd.getNumPartitions())
-    schema, splits = _opened[known]
-    df = spark.read.schema(schema).parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    if name in SPREAD_KEYS and splits < cores:
-        return df.repartition(cores, *SPREAD_KEYS[name])
-    return df
+    """A sample table, as it is read."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _text(prefix: str, column: Column) -> Column:
@@ -371,7 +344,11 @@ def audit_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pg_webhook_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw gateway callbacks, two per order; one in 97 is cut off and cannot be parsed."""
+    """Raw gateway callbacks, two per order.
+
+    One in 97 is cut off and cannot be parsed, the first of every 41st order has no
+    readable time, and those of every seventh order carry error details.
+    """
     o = _order_columns()
     key = o["key"]
     kind = (
@@ -391,7 +368,7 @@ def pg_webhook_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     stamp = F.date_format(F.col("t") + F.make_dt_interval(F.lit(0), F.lit(0), n * 7 + 1), "yyyy-MM-dd'T'HH:mm:ss")
     body = F.to_json(F.struct(
         F.when((n == 1) & (k % 5 == 0), "PAYMENT_FAILED_WEBHOOK").otherwise(F.col("kind")).alias("type"),
-        stamp.alias("event_time"),
+        F.when((k % 41 == 0) & (n == 0), "unknown").otherwise(stamp).alias("event_time"),
         F.struct(
             F.struct(F.col("order_id"), F.col("amount").alias("order_amount"), F.lit("INR").alias("order_currency"))
             .alias("order"),
@@ -399,6 +376,8 @@ def pg_webhook_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.col("amount").alias("payment_amount"), F.lit("INR").alias("payment_currency"),
                      _text("message ", k % 9).alias("payment_message"), _text("B", k).alias("bank_reference"))
             .alias("payment"),
+            F.when(k % 7 == 0, F.struct(_text("E", k % 5).alias("error_code"), _text("error ", k % 3).alias("error_description")))
+            .alias("error_details"),
             F.lit("ignored").alias("unknown_field"),
         ).alias("data"),
     ))

@@ -45,9 +45,9 @@ def test_lookback_picks_up_a_late_row(spark, tmp_path):
     path, marks = str(tmp_path / "hourly"), str(tmp_path / "marks")
     jobs.run_hourly(facts, "customer", path, marks, "2024-01-08")
     late = facts.unionByName(frame(spark, [fact(START + dt.timedelta(hours=12, minutes=1), customer="LATE")]))
-    jobs.run_hourly(late, "customer", path, marks, "2024-01-08")
+    jobs.run_hourly(late, "customer", path, marks, "2024-01-08", lookback_hours=0)
     assert spark.read.parquet(path).filter("customer_id = 'LATE'").count() == 0
-    jobs.run_hourly(late, "customer", path, marks, "2024-01-08", lookback_hours=24)
+    jobs.run_hourly(late, "customer", path, marks, "2024-01-08")
     assert _measures(spark.read.parquet(path)) == _measures(r.rollup(late, "customer", "hour"))
 
 

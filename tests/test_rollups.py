@@ -36,14 +36,6 @@ def test_month_run_on_the_first_completes_the_month_before(spark):
     assert [(d.txn_year, d.txn_month, d.txn_count) for d in done] == [(2024, 1, 1)]
 
 
-def test_dense_plan_gives_the_same_rows(spark):
-    rows = [fact("2024-01-01", amount=f"{i}.01", name=("A", "B", None)[i % 3], party_type=("WALLET", None)[i % 2])
-            for i in range(9)]
-    for period in ("hour", "day", "month"):
-        facts = frame(spark, rows)
-        assert plain(r.rollup(facts, "org", period, dense=True)) == plain(r.rollup(facts, "org", period))
-
-
 def test_daily_run_takes_only_yesterday(spark):
     rows = [fact("2024-01-30 23:59:59"), fact("2024-01-31 00:00:00"), fact("2024-02-01 00:00:00")]
     done = r.daily_rollup(frame(spark, rows), "customer", "2024-02-01").collect()
