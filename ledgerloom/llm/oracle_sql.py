@@ -5,7 +5,10 @@ from __future__ import annotations
 import string
 
 from ledgerloom.llm import contamination as cn
+from ledgerloom.llm import mixing as mx
+from ledgerloom.llm import ngram_join as ng
 from ledgerloom.llm import quality_rules as qr
+from ledgerloom.llm import substring_dedup as sd
 
 _RATES = {
     "symbols": "n_symbols * 1000 // n_words", "dup_lines": "n_dup_lines * 1000 // n_lines",
@@ -76,4 +79,65 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
  coalesce(items_sha256, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM d LEFT JOIN hit USING (rid) LEFT JOIN named USING (rid)"""
 
-ORACLE = {"op2_decontaminate": DECONTAMINATE, "op3_quality_rules": QUALITY_RULES}
+_BLANK_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_LAST = (1 << 63) - 1
+
+
+def _digest(*parts: str) -> str:
+    return "md5(concat_ws(':', '7', " + ", ".join(f"coalesce(CAST({p} AS VARCHAR), '')" for p in parts) + "))"
+
+
+def _modulo(digest: str, n: str) -> str:
+    return f"CAST('0x' || substr({digest}, 1, 15) AS BIGINT) % {n}"
+
+
+MIX = f"""WITH d AS (SELECT doc_id, source, CAST(len({_BLANK_WORDS}) AS BIGINT) AS size FROM documents),
+totals AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS source_rows FROM d GROUP BY source),
+ranked AS (SELECT *, CAST([{", ".join(map(str, mx.WEIGHTS))}][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mx.WEIGHTS)} + 1] AS DOUBLE) AS weight,
+  CAST(source_size * {mx.MAX_REPEATS} AS DOUBLE) AS most FROM totals),
+levels AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum(weight) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM ranked),
+targets AS (SELECT *, least(most, max(level) OVER () * weight) AS target FROM levels),
+blocks AS (SELECT *, CAST(coalesce(least(greatest(floor((SELECT min(target) FROM targets WHERE target > 0) * {mx.PRECISION}), 1), {mx.MAX_BLOCK}), 1) AS BIGINT) AS block FROM targets),
+source_seats AS (SELECT source, count(*) AS quota FROM (SELECT source, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, source NULLS LAST, k) AS r, seats
+  FROM (SELECT *, unnest(range(0, source_size * {mx.MAX_REPEATS} // block)) AS k FROM
+   (SELECT *, CAST((SELECT sum(source_size) FROM totals) // block AS BIGINT) AS seats FROM blocks)))
+  WHERE r <= seats GROUP BY source),
+sources AS (SELECT b.*, coalesce(quota, 0) AS source_quota, CAST(ceil(source_rows / {mx.SHARD_ROWS}) AS BIGINT) AS shards
+  FROM blocks b LEFT JOIN source_seats q ON b.source IS NOT DISTINCT FROM q.source),
+dealt AS (SELECT d.*, source_size, target, block, source_quota, {_digest("doc_id")} AS digest, {_modulo(_digest("doc_id"), "shards")} AS shard
+  FROM d JOIN sources s ON d.source IS NOT DISTINCT FROM s.source),
+shards AS (SELECT source, shard, block, source_quota, CAST(sum(size) AS BIGINT) AS words, CAST(ceil(sum(size) / block) AS BIGINT) AS blocks FROM dealt GROUP BY source, shard, block, source_quota),
+shard_seats AS (SELECT source, shard, count(*) AS quota FROM (SELECT source, shard, source_quota,
+  row_number() OVER (PARTITION BY source ORDER BY words / (2 * k + 1) DESC, shard, k) AS r
+  FROM (SELECT *, unnest(range(0, least(blocks * {mx.MAX_REPEATS}, source_quota))) AS k FROM shards)) WHERE r <= source_quota GROUP BY ALL),
+placed AS (SELECT p.*, sum(size) OVER (PARTITION BY p.source, p.shard ORDER BY digest, doc_id, size ROWS UNBOUNDED PRECEDING) AS stop,
+  s.words, s.blocks, coalesce(q.quota, 0) AS quota, {_modulo(_digest("p.source", "p.shard"), "s.blocks")} AS first
+  FROM dealt p LEFT JOIN shards s ON p.source IS NOT DISTINCT FROM s.source AND p.shard = s.shard AND s.words > 0
+  LEFT JOIN shard_seats q ON p.source IS NOT DISTINCT FROM q.source AND p.shard = q.shard)
+SELECT doc_id, source, size, source_size, target, CAST(coalesce(quota // blocks * size
+ + greatest(least(stop, (first + quota % blocks) * block, words) - greatest(stop - size, first * block), 0)
+ + greatest(least(stop, greatest(first + quota % blocks - blocks, 0) * block) - (stop - size), 0), 0) AS BIGINT) AS taken FROM placed"""
+
+SUBSTRING_DEDUP = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(doc_id, {_LAST}) AS id, {_BLANK_WORDS} AS w FROM documents),
+windows AS (SELECT rid, id, i, array_to_string(list_slice(w, i, i + {sd.WINDOW - 1}), ' ') AS win
+  FROM (SELECT rid, id, w, unnest(range(1, len(w) - {sd.WINDOW - 2})) AS i FROM d)),
+firsts AS (SELECT win, min(id) AS least FROM windows GROUP BY win HAVING min(id) < max(id)),
+gone AS (SELECT DISTINCT rid, unnest(range(i, i + {sd.WINDOW})) AS pos FROM windows JOIN firsts USING (win) WHERE least < id),
+kept AS (SELECT rid, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS t
+  FROM (SELECT rid, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM d) ANTI JOIN gone USING (rid, pos) GROUP BY rid)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (rid)"""
+
+NGRAM_JOIN = rf"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (SELECT DISTINCT rid, list_slice(w, i, i + {ng.SHINGLE - 1}) AS s
+  FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - {ng.SHINGLE - 2}, 2))) AS i FROM d WHERE len(w) > 0)),
+sizes AS (SELECT rid, count(*) AS n FROM shingles GROUP BY rid),
+pairs AS (SELECT a.rid AS a, b.rid AS b, count(*) AS common FROM shingles a JOIN shingles b ON a.s = b.s AND a.rid <> b.rid GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN sizes x ON x.rid = a JOIN sizes y ON y.rid = b WHERE 100 * common >= {ng.PERCENT} * (x.n + y.n - common)),
+reach AS (SELECT rid AS a, rid AS b FROM d UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, min(o.doc_id) AS component_id
+FROM d JOIN reach r ON r.a = d.rid JOIN d o ON o.rid = r.b LEFT JOIN sizes s ON s.rid = d.rid GROUP BY d.rid, d.doc_id, n"""
+
+ORACLE = {"op1_mix_to_weights": MIX, "op2_decontaminate": DECONTAMINATE, "op3_quality_rules": QUALITY_RULES,
+          "op6_substring_dedup": SUBSTRING_DEDUP, "op9_ngram_jaccard_join": NGRAM_JOIN}

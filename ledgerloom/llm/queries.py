@@ -40,7 +40,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.remove_repeats(configure(spark), _table(spark, sf_dir, "documents"))
+    return substring_dedup.remove_repeats(configure(spark), _table(spark, sf_dir, "documents")).drop("removed")
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
