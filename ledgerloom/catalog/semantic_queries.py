@@ -42,6 +42,8 @@ _ORG_MEASURES = ["total_transactions", "unique_counterparties", "total_amount",
                  "completed_amount", "avg_transaction_amount", "max_single_txn", "min_single_txn",
                  "total_amount_pct", "total_txn_pct", "success_rate", "failure_rate", "fee_rate"]
 
+SCOPE = "ORG8"  # the organisation whose user asks
+
 QUERIES = {
     "org_dimensions": lambda s, d: _dimensions(org_daily(s, d), cubes.org_cube()),
     "customer_dimensions": lambda s, d: _dimensions(customer_daily(s, d), cubes.customer_cube()),
@@ -66,6 +68,9 @@ QUERIES = {
     "status_donut": _all_orgs(sem.status_donut),
     "top_parties": _all_orgs(sem.top_parties),
     "drill_down": _all_orgs(sem.drill_down),
+    "drill_down_division": lambda s, d: sem.drill_down(
+        org_daily(s, d), cubes.org_division_view(), {"org_id": SCOPE}, scope=SCOPE),
+    "top_parties_in_scope": lambda s, d: sem.top_parties(org_daily(s, d), cubes.org_division_view(), scope=SCOPE),
     "weekly_trend_from_rollup": _trend_from_rollup,
     "share_of_total": lambda s, d: sem.cube_query(
         customer_daily(s, d), cubes.customer_cube(), ["total_amount", "total_amount_pct", "total_txn_pct"],
@@ -172,6 +177,11 @@ FROM org_daily GROUP BY 1"""),
 FROM org_daily GROUP BY counterparty_id, {_NAME} ORDER BY total_amount DESC, 1, 2 LIMIT 10"""),
     "drill_down": with_tables(f"""SELECT org_id, {_sum('total_amount')} AS total_amount, {_COUNT} AS total_transactions,
  {_SUCCESS} AS success_rate FROM org_daily GROUP BY 1"""),
+    "drill_down_division": with_tables(f"""SELECT org_id, {_DIVISION} AS division_id, {_sum('total_amount')} AS total_amount,
+ {_COUNT} AS total_transactions, {_SUCCESS} AS success_rate FROM org_daily WHERE org_id = '{SCOPE}' GROUP BY 1, 2"""),
+    "top_parties_in_scope": with_tables(f"""SELECT counterparty_id, {_NAME} AS counterparty_name,
+ {_sum('total_amount')} AS total_amount, {_COUNT} AS total_transactions, {_SUCCESS} AS success_rate
+FROM org_daily WHERE org_id = '{SCOPE}' GROUP BY counterparty_id, {_NAME} ORDER BY total_amount DESC, 1, 2 LIMIT 10"""),
     "weekly_trend_from_rollup": with_tables(_TREND),
     "share_of_total": with_tables(f"""SELECT counterparty_id, {_sum('total_amount')} AS total_amount,
  CAST(sum(total_amount) AS DOUBLE) / (SELECT CAST(sum(total_amount) AS DOUBLE) FROM customer_daily) AS total_amount_pct,

@@ -119,12 +119,11 @@ def history_window(as_of, period: str = "LAST_MONTH", start=None, end=None) -> t
 def relative_range(words: tuple[str, str] | list[str] | str, as_of) -> tuple[dt.date, dt.date]:
     """Resolve a semantic date range to a half-open pair of dates.
 
-    Either explicit dates (both inclusive) or a start phrase with ``now``.
+    Both ends are dates or phrases of one vocabulary; the last day named is included.
     """
     today = as_datetime(as_of).date()
-    tomorrow = today + dt.timedelta(days=1)
     first, last = (words, words) if isinstance(words, str) else words
-    return _range_start(first, today), (tomorrow if last == "now" else _range_end(last, today))
+    return _range_start(first, today), _range_end(last, today)
 
 
 def _shift(day: dt.date, months: int) -> dt.date:
@@ -147,7 +146,11 @@ def _range_start(words: str, today: dt.date) -> dt.date:
 def _range_end(words: str, today: dt.date) -> dt.date:
     month = today.replace(day=1)
     quarter = month.replace(month=3 * ((month.month - 1) // 3) + 1)
-    ends = {"last month": month, "last quarter": quarter, "last year": dt.date(today.year, 1, 1)}
+    ends = {"last month": month, "last quarter": quarter, "last year": dt.date(today.year, 1, 1),
+            "this month": _shift(month, -1), "now": today + dt.timedelta(days=1)}
     if words in ends:
         return ends[words]
+    count, _, unit = words.partition(" ")
+    if unit in ("months ago", "month ago"):
+        return _shift(today, int(count)) + dt.timedelta(days=1)
     return dt.date.fromisoformat(words) + dt.timedelta(days=1)

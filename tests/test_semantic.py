@@ -87,6 +87,8 @@ def test_relative_ranges():
     assert relative_range("last month", as_of) == (day(2024, 4, 1), day(2024, 5, 1))
     assert relative_range(("last quarter", "now"), as_of) == (day(2024, 1, 1), day(2024, 5, 16))
     assert relative_range(("6 months ago", "now"), as_of) == (day(2023, 11, 15), day(2024, 5, 16))
+    assert relative_range("this month", as_of) == (day(2024, 5, 1), day(2024, 6, 1))
+    assert relative_range(("6 months ago", "3 months ago"), as_of) == (day(2023, 11, 15), day(2024, 2, 16))
     assert relative_range("last year", as_of) == (day(2023, 1, 1), day(2024, 1, 1))
     assert relative_range(("2024-01-01", "2024-03-31"), as_of) == (day(2024, 1, 1), day(2024, 4, 1))
 
