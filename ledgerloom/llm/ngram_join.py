@@ -62,9 +62,9 @@ def _sets(words: np.ndarray, offsets: np.ndarray, shingle: int) -> Iterator[tupl
 
 
 def _ordered(found: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-    """The set as sorted numbers in the common order: rank of the bucket, then the rest of the hash."""
+    """The set as sorted numbers in the common order: rank of the bucket, then the rest of the hash; 63 bits, so that signed order is the same."""
     bucket = (found & np.uint64(BUCKETS - 1)).astype(np.int64)
-    return np.sort((ranks[bucket] << np.uint64(64 - BUCKET_BITS)) | (found >> np.uint64(BUCKET_BITS)))
+    return np.sort((ranks[bucket] << np.uint64(63 - BUCKET_BITS)) | (found >> np.uint64(BUCKET_BITS + 1)))
 
 
 def _digest(found: np.ndarray) -> int:
@@ -156,7 +156,7 @@ def _pivot_links(spark: SparkSession, sets_of: DataFrame, shared: DataFrame, per
     return reduce(DataFrame.unionByName, found), state
 
 
-def _rest_links(state: DataFrame, points: DataFrame, labels: DataFrame, sets_of: DataFrame, shared: DataFrame,
+def _rest_links(state: DataFrame, points: DataFrame, labels: DataFrame, sets_of: DataFrame, prefixes: DataFrame,
                 percent: int) -> DataFrame:
     """Links between the points that the last level leaves in a region, where they join different components.
 
@@ -176,12 +176,13 @@ def _rest_links(state: DataFrame, points: DataFrame, labels: DataFrame, sets_of:
     near = F.abs(F.col("distance") - F.col("other_distance")) <= RADIUS + SLACK
     alike = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
     pairs = labelled.join(seekers, "region").filter(apart & near & alike).select("point", "other", "n", "m").distinct()
-    keys = shared.select("point", "key")
-    common = (pairs.join(keys, "point").join(keys.select(F.col("point").alias("other"), "key"), ["other", "key"])
-              .groupBy("point", "other", "n", "m").agg(F.count(F.lit(1)).alias("common")))
-    beyond = F.greatest(*(F.ceil(F.col(c) * percent / 100) - 1 for c in ("n", "m")))
+    both = pairs.join(prefixes, "point").join(
+        prefixes.select(F.col("point").alias("other"), F.col("prefix").alias("other_prefix")), "other")
+    # Common shingles beyond the end of the prefix that ends first are all in the rest of that set.
+    ends_first = F.element_at("prefix", -1) <= F.element_at("other_prefix", -1)
+    beyond = F.when(ends_first, F.col("n") - F.size("prefix")).otherwise(F.col("m") - F.size("other_prefix"))
     enough = F.ceil((F.col("n") + F.col("m")) * percent / (100 + percent))
-    likely = common.filter(F.col("common") + beyond >= enough).select("point", "other")
+    likely = both.filter(F.size(F.array_intersect("prefix", "other_prefix")) + beyond >= enough).select("point", "other")
     return _measured(likely, sets_of).filter(_linked(percent)).select(F.col("point").alias("a"), F.col("other").alias("b"))
 
 
@@ -213,14 +214,14 @@ def group(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_
     ranks = np.zeros(BUCKETS, np.uint64)
     ranks[counts["bucket"].to_numpy()] = np.arange(len(counts), dtype=np.uint64)
     # One exchange by shingle serves the count and the join.
-    entries = (whole.mapInArrow(lambda it: _prefixes(it, ranks, percent), "point long, prefix array<long>")
-               .select("point", F.explode("prefix").alias("key")).repartition("key"))
+    prefixes = saved(whole.mapInArrow(lambda it: _prefixes(it, ranks, percent), "point long, prefix array<long>"), spark, "prefixes")
+    entries = (prefixes.select("point", F.explode("prefix").alias("key")).repartition("key"))
     holders = entries.groupBy("key").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1")
     shared = saved(entries.join(holders, "key"), spark, "shared-shingles")
     links, left = _pivot_links(spark, whole, shared, percent, levels)
     links = saved(links, spark, "pivot-links")
     labels = saved(components(spark, links), spark, "components")
-    rest = saved(_rest_links(left, points, labels, whole, shared, percent), spark, "rest-links")
+    rest = saved(_rest_links(left, points, labels, whole, prefixes, percent), spark, "rest-links")
     if not rest.isEmpty():
         joined = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest)
         labels = saved(components(spark, joined), spark, "components")
