@@ -110,10 +110,12 @@ def repeated_lines(spark: SparkSession, texts: DataFrame, percent: int = PERCENT
         *COORDINATE, F.size("keys").alias("n"), F.xxhash64("keys").alias("set"), _prefix(percent).alias("prefix")), spark, "lines")
     firsts = saved(lines.groupBy("set").agg(F.min(F.struct(*COORDINATE)).alias("first"), F.max("n").alias("n")), spark, "line-classes")
 
-    entries = lines.select(F.posexplode("prefix").alias("pos", "key"), "set", "n").repartition("key")
-    held = (entries.groupBy("key").agg(F.min("set").alias("a"), F.max("set").alias("b")).filter("a <> b")
-            .select("key").hint("shuffle_hash"))
-    shared = saved(entries.join(held, "key").distinct(), spark, "shared-pairs")
+    # First which pairs two sets or more hold, from the narrowest rows; then the places of those pairs only.
+    held = saved(lines.select(F.explode("prefix").alias("key"), "set").repartition("key").groupBy("key").agg(
+        F.min("set").alias("a"), F.max("set").alias("b")).filter("a <> b").select("key"), spark, "held-pairs")
+    entries = lines.select(F.posexplode("prefix").alias("pos", "key"), "set", "n").filter(
+        may_hold(bitmap(spark, held, "key"), F.col("key")))
+    shared = saved(entries.join(held.hint("shuffle_hash"), "key").distinct(), spark, "shared-pairs")
     placed = saved(shared.join(firsts.select("set", "first"), "set"), spark, "shared-pairs")
 
     def earlier(columns: DataFrame) -> DataFrame:
