@@ -7,10 +7,11 @@ with too many of them in no other set cannot have a link. What is left is joined
 first shingles of both sets (a fifth of each, in a common order, rarest first), so a pivot is chosen for
 each such shingle and draws the points that hold it: linked points always share a pivot's region. A
 region compares its points with the pivot alone. Points within the radius of the pivot are linked to it, and
-so to each other; the others, and the boundary points that the triangle inequality leaves
-within reach of them, form the next region with a new pivot. After a few levels the points that are left and are not yet
-in one group are compared within their windows of distance. No link between different sets is lost: pairs that are not compared are either
-too far apart by the triangle inequality or both linked to the same pivot.
+so to each other: the pivot takes them. The others still seek; they, and the taken points that the triangle inequality
+leaves within reach of a seeker or of a point that another pivot took, form the next region with a new pivot. After a few
+levels, or when none seeks, the points that are left and are not yet in one group are compared within their windows of
+distance from each pivot of their region. No group is lost: pairs that are not compared are either too far apart by the
+triangle inequality or in one group already.
 
 The order of shingles comes from counts over all those sets in 262,144 buckets, a table of fixed size; any order gives
 the same links, a good one keeps frequent shingles out of the prefixes. Shingles are 64-bit hashes.
@@ -132,50 +133,60 @@ def _linked(percent: int) -> Column:
 
 
 def _pivot_links(spark: SparkSession, sets_of: DataFrame, shared: DataFrame, percent: int, levels: int) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) to pivots, and what the last level leaves: points of a region, some of which still seek.
+    """Links (a, b) to pivots, and what the levels leave: points of a region, with their distances from its pivots.
 
     ``shared`` has the shingles (key) that two or more points hold in their prefix.
     """
     central = shared.groupBy("point").agg(F.sum("holders").alias("central"))
     drawn = shared.select("key", "point").join(central, "point")
     pivots = drawn.groupBy("key").agg(F.max(F.struct("central", "point"))["point"].alias("pivot"))
+    # ``taker`` is the pivot that a point was first linked to; a point without one seeks.
     state = saved(drawn.join(pivots, "key").filter("point <> pivot").select(
-        F.col("pivot").alias("region"), "pivot", "point", "central", F.lit(True).alias("seeks")).distinct(), spark, "regions")
-    found = []
+        F.col("pivot").alias("region"), "pivot", "point", "central", F.lit(None).cast("long").alias("taker"),
+        F.lit(None).cast("array<double>").alias("distances")).distinct(), spark, "regions")
+    found, left = [], []
+    seeks = F.col("taker").isNull()
     for level in range(levels):
-        pairs = state.filter("point <> pivot").select("region", F.col("pivot").alias("other"), "point", "central", "seeks")
+        pairs = state.filter("point <> pivot").select("region", F.col("pivot").alias("other"), "point", "central", "taker", "distances")
         measured = saved(_measured(pairs, sets_of), spark, "distances")
         found.append(measured.filter(_linked(percent)).select(F.col("point").alias("a"), F.col("other").alias("b")))
-        seeking = F.col("seeks") & ~_linked(percent)
-        reach = measured.filter(seeking).groupBy("region").agg(
+        judged = measured.withColumns({
+            "taker": F.coalesce("taker", F.when(_linked(percent), F.col("other"))),
+            "distances": F.concat(F.coalesce("distances", F.expr("cast(array() as array<double>)")), F.array("distance"))})
+        # A region has at most one class for each level and one of seekers.
+        classes = judged.groupBy("region", "taker").agg(
             F.min("distance").alias("low"), F.max("distance").alias("high"),
-            F.max(F.struct("central", "point"))["point"].alias("pivot"))
-        within = F.col("distance").between(F.col("low") - RADIUS - SLACK, F.col("high") + RADIUS + SLACK)
-        state = saved(measured.withColumn("seeks", seeking).join(reach, "region").filter(within).select(
-            "region", "pivot", "point", "central", "seeks", "distance"), spark, "regions")
-    return reduce(DataFrame.unionByName, found), state
+            F.max(F.when(seeks, F.struct("central", "point"))).alias("next"))
+        reach = classes.groupBy("region").agg(
+            F.collect_list(F.struct("taker", "low", "high")).alias("classes"), F.max("next")["point"].alias("pivot"))
+        within = F.exists("classes", lambda c: (seeks | c["taker"].isNull() | (c["taker"] != F.col("taker")))
+                          & F.col("distance").between(c["low"] - RADIUS - SLACK, c["high"] + RADIUS + SLACK))
+        state = saved(judged.join(reach, "region").filter(within).select(
+            "region", "pivot", "point", "central", "taker", "distances"), spark, "regions")
+        left.append(state.filter("pivot is null") if level < levels - 1 else state)
+    return reduce(DataFrame.unionByName, found), reduce(DataFrame.unionByName, left)
 
 
-def _rest_links(state: DataFrame, points: DataFrame, labels: DataFrame, sets_of: DataFrame, prefixes: DataFrame,
-                percent: int) -> DataFrame:
-    """Links between the points that the last level leaves in a region, where they join different components.
+def _rest_links(spark: SparkSession, state: DataFrame, points: DataFrame, labels: DataFrame, sets_of: DataFrame,
+                prefixes: DataFrame, percent: int) -> DataFrame:
+    """Links between the points that the levels leave in a region, where they join different components.
 
     Before whole sets are compared, the shingles that two prefixes share must allow the similarity: beyond
     the prefixes, the sets have at most the rest of the larger one in common.
     """
     size = points.select("point", "n")
-    labelled = (state.select("region", "point", "seeks", "distance").join(size, "point")
-                .join(labels.withColumnRenamed("node", "point"), "point", "left")
-                .withColumn("component", F.coalesce("component", "point")))
+    labelled = saved(state.select("region", "point", "distances").join(size, "point")
+                     .join(labels.withColumnRenamed("node", "point"), "point", "left")
+                     .withColumn("component", F.coalesce("component", "point")), spark, "rest-points")
     several = (labelled.groupBy("region").agg(F.min("component").alias("x"), F.max("component").alias("y"))
                .filter("x <> y").select("region"))
     labelled = labelled.join(several, "region")
-    seekers = labelled.filter("seeks").select("region", F.col("point").alias("other"), F.col("distance").alias("other_distance"),
-                                              F.col("component").alias("other_component"), F.col("n").alias("m"))
-    apart = (F.col("component") != F.col("other_component")) & (~F.col("seeks") | (F.col("point") < F.col("other")))
-    near = F.abs(F.col("distance") - F.col("other_distance")) <= RADIUS + SLACK
+    others = labelled.select("region", F.col("point").alias("other"), F.col("distances").alias("other_distances"),
+                             F.col("component").alias("other_component"), F.col("n").alias("m"))
+    apart = (F.col("component") != F.col("other_component")) & (F.col("point") < F.col("other"))
+    near = F.forall(F.zip_with("distances", "other_distances", lambda x, y: F.abs(x - y)), lambda d: d <= RADIUS + SLACK)
     alike = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
-    pairs = labelled.join(seekers, "region").filter(apart & near & alike).select("point", "other", "n", "m").distinct()
+    pairs = labelled.join(others, "region").filter(apart & alike & near).select("point", "other", "n", "m").distinct()
     both = pairs.join(prefixes, "point").join(
         prefixes.select(F.col("point").alias("other"), F.col("prefix").alias("other_prefix")), "other")
     # Common shingles beyond the end of the prefix that ends first are all in the rest of that set.
@@ -221,7 +232,7 @@ def group(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_
     links, left = _pivot_links(spark, whole, shared, percent, levels)
     links = saved(links, spark, "pivot-links")
     labels = saved(components(spark, links), spark, "components")
-    rest = saved(_rest_links(left, points, labels, whole, prefixes, percent), spark, "rest-links")
+    rest = saved(_rest_links(spark, left, points, labels, whole, prefixes, percent), spark, "rest-links")
     if not rest.isEmpty():
         joined = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest)
         labels = saved(components(spark, joined), spark, "components")

@@ -138,6 +138,30 @@ def test_join_of_rings(spark):
         assert got == cases.counted(cases.components(found))
 
 
+def test_join_of_two_hubs_with_one_bridge(spark):
+    """Each end of the only bridge is taken by the pivot of its own cluster, in the only region that holds both."""
+    words = [f"w{i}" for i in range(204)]
+
+    def with_block(text, start, name):
+        return text[:start] + [f"{name}{i}" for i in range(14)] + text[start + 14:]
+
+    chain = [words]  # hub, its boundary, the other boundary, the other hub: each step replaces 18 of 200 shingles
+    for start, name in ((20, "a"), (80, "b"), (140, "c")):
+        chain.append(with_block(chain[-1], start, name))
+    # The boundaries have two shingles of their own, so that a hub comes before them in the choice of pivots.
+    chain[1], chain[2] = chain[1][:-2] + ["y0", "y1"], chain[2][:-2] + ["x0", "x1"]
+    near = [chain[0][:-1] + [f"p{i}"] for i in range(20)]
+    far = [chain[3][:-1] + [f"q{i}"] for i in range(20)]
+    # These hold the replaced blocks more often, so that the common shingles come first in the order.
+    blocks = [text[start - 4: start + 18] + [f"gap{start}"] for start in (20, 80, 140) for text in (chain[0], chain[3])]
+    fillers = [sum(blocks, []) + [f"f{i}"] for i in range(60)]
+    found = [(i, " ".join(t), "en", "s", 1) + cases.EXTRA for i, t in enumerate(chain + near + far + fillers)]
+    want = cases.components(found)
+    assert {c for _, _, c in want} == {0, 44}
+    got = collected(ngram_join.group(spark, cases.table(spark, found)), "doc_id", "n_shingles", "component_id")
+    assert got == cases.counted(want)
+
+
 def test_connected_components(spark):
     links = [(i, i + 1) for i in range(30)] + [(100, 200), (200, 300), (50, 50)]
     got = {r.node: r.component for r in components.components(spark, spark.createDataFrame(links, "a long, b long")).collect()}
