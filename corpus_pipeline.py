@@ -58,14 +58,14 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id, then the smallest hash of its text."""
+    """One document of each group of near copies: the one with the smallest id (null last), then the smallest hash of its text."""
     grouped = saved(ngram_join.group(spark, docs).filter("n_shingles > 0"), spark, "groups")
-    own = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    best = grouped.filter(own).groupBy("component_id").agg(F.min("copy").alias("best"))
-    judged = grouped.alias("g").join(best.alias("b"), F.col("g.component_id").eqNullSafe(F.col("b.component_id")))
-    first = F.col("g.doc_id").eqNullSafe(F.col("g.component_id")) & (F.col("g.copy") == F.col("b.best"))
-    rejected = saved(judged.filter(~first).select("g.doc_id", "g.copy").distinct(), spark, "rejected")
-    repeated = saved(judged.filter(first).groupBy("g.doc_id", "g.copy").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    name = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "copy")
+    best = grouped.groupBy("root").agg(F.min(name).alias("best"))
+    judged = grouped.join(best, "root")
+    first = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("copy") == F.col("best.copy"))
+    rejected = saved(judged.filter(~first).select("doc_id", "copy").distinct(), spark, "rejected")
+    repeated = saved(judged.filter(first).groupBy("doc_id", "copy").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
                      .select("doc_id", "copy"), spark, "repeated")
     return _once(spark, _without(spark, docs, rejected), repeated)
 

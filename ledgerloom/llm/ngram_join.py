@@ -199,8 +199,8 @@ def _rest_links(spark: SparkSession, state: DataFrame, points: DataFrame, labels
 
 def group(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
           percent: int = PERCENT, levels: int = LEVELS) -> DataFrame:
-    """For each document: the size of its set, its group's smallest id the links to other sets that were found on the way,
-    and the hash of its text (``copy``)."""
+    """For each document: the size of its set, its group's smallest id, the links to other sets that were found on the way,
+    the hash of its text (``copy``), and the group itself (``root``, null for an empty set): groups may show the same id."""
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.col(text_col).alias("text"))
     words = word_hashes(blank_words(lower_az(F.col("text")))).alias("words")
     below = int(SAMPLE * 2**64)
@@ -242,9 +242,9 @@ def group(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_
               .groupBy("a").agg(F.count(F.lit(1)).alias("n_links")))
     least = labels.join(points, labels["node"] == points["point"]).groupBy("component").agg(F.min("id").alias("least"))
     grouped = (points.select("point", F.col("id").alias("own")).join(
-        labels.join(least, "component").select(F.col("node").alias("point"), "least"), "point", "left")
+        labels.join(least, "component").select(F.col("node").alias("point"), "least", F.col("component").alias("root")), "point", "left")
         .join(degree.withColumnRenamed("a", "point"), "point", "left")
-        .select("point", F.coalesce("least", "own").alias("least"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
+        .select("point", F.coalesce("root", "point").alias("root"), F.coalesce("least", "own").alias("least"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
     named = sets.select("id", "copy", "n", "point").join(grouped, "point", "left")
     component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("least"))
 
@@ -253,4 +253,5 @@ def group(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_
 
     return named.select(shown(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"),
                         shown(component).alias("component_id"),
-                        F.when(F.col("n") == 0, F.lit(0)).otherwise(F.col("n_links")).alias("links_found"), "copy")
+                        F.when(F.col("n") == 0, F.lit(0)).otherwise(F.col("n_links")).alias("links_found"), "copy",
+                        F.when(F.col("n") > 0, F.col("root")).alias("root"))

@@ -44,7 +44,7 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.group(configure(spark), _table(spark, sf_dir, "documents")).drop("links_found", "copy")
+    return ngram_join.group(configure(spark), _table(spark, sf_dir, "documents")).drop("links_found", "copy", "root")
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

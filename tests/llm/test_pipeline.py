@@ -45,6 +45,20 @@ def test_one_of_each_group_stays(spark):
     assert sum(1 for r in got if not cases.blank_words(r.text)) == sum(1 for r in rows if not cases.blank_words(r[1]))
 
 
+def test_groups_that_show_the_same_id_stay_apart(spark):
+    """Null and repeated ids name rows, not groups."""
+    def text(name, change=""):
+        return " ".join([f"{name}{i}" for i in range(60)] + [change])
+
+    single = [(None, text(f"n{k}x")) for k in range(4)] + [(7, text(f"r{k}x")) for k in range(3)]
+    near = [(None, text("ax", "one")), (None, text("ax", "two")), (None, text("bx", "one")), (9, text("bx", "two"))]
+    docs = cases.table(spark, [(i, t, "en", "s", 1) + cases.EXTRA for i, t in single + near + [single[0]]]).select(*COLUMNS)
+    got = [(r.doc_id, r.text) for r in pipeline.near_copies(spark, docs, "").collect()]
+    of_a = [r for r in got if r in near[:2]]
+    assert len(of_a) == 1
+    assert cases.counted(got) == cases.counted(single + of_a + near[3:])
+
+
 def test_contaminated_documents_go(spark, tmp_path):
     words = cases.letter_words(cases.texts()[7])
     items = [(1, " ".join(words[20:45]))]
