@@ -4,8 +4,9 @@ One pass over the texts finds candidate spans. Base spans are certain. Each cand
 not, gets three votes (for, against, none): of a strict pattern, of a gazetteer and of the words
 before it. Expectation-maximisation over the counts of vote patterns, a table of bounded size, estimates
 how reliable each labeler is and how likely each pattern is personal data. A logistic span classifier on the
-span's own shape and context words learns those probabilities from a bounded sample of spans and decides about all
-candidates that are not base spans. Texts are read once and never shuffled.
+span's own shape and context words learns those probabilities and decides about all candidates that are not base spans.
+It is fitted on the distinct (kind, votes, features) with their counts over all spans; where a kind has more
+of them than its share of the bound, on a priority sample, which keeps the frequent ones and weights the others so that counts stay right on average. Texts are read once and never shuffled.
 
 Defined results: null text is empty; texts without spans have zero counts and empty lists; rows with the same id are
 separate rows; an empty table gives no rows. Only the id and text columns are read.
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.text import saved
@@ -206,14 +207,15 @@ def reliabilities(patterns: list[tuple[str, tuple[int, ...], int]], rounds: int
     return {(kind, v): float(p) for (kind, v, _), p in zip(patterns, posterior)}
 
 
-def _fitted(features: np.ndarray, targets: np.ndarray, steps: int = 300, penalty: float = 1e-3) -> np.ndarray:
-    """Logistic regression on probabilities, by Newton steps with a ridge."""
+def _fitted(features: np.ndarray, targets: np.ndarray, counts: np.ndarray | None = None, steps: int = 300, penalty: float = 1e-3) -> np.ndarray:
+    """Logistic regression on probabilities, by Newton steps with a ridge; each row stands for ``counts`` equal ones."""
     x = np.hstack([features, np.ones((len(features), 1))])
+    share = np.full(len(x), 1 / len(x)) if counts is None else counts / counts.sum()
     weights = np.zeros(x.shape[1])
     for _ in range(min(steps, 30)):
         p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
-        gradient = x.T @ (p - targets) / len(x) + penalty * weights
-        curvature = (x * (p * (1 - p))[:, None]).T @ x / len(x) + penalty * np.eye(x.shape[1])
+        gradient = x.T @ (share * (p - targets)) + penalty * weights
+        curvature = (x * (share * p * (1 - p))[:, None]).T @ x + penalty * np.eye(x.shape[1])
         step = np.linalg.solve(curvature, gradient)
         weights -= step
         if np.abs(step).max() < 1e-6:
@@ -221,6 +223,27 @@ def _fitted(features: np.ndarray, targets: np.ndarray, steps: int = 300, penalty
     return weights
 
 
+def _training(spark: SparkSession, spans: DataFrame, kinds: list[str], most: int) -> list[tuple[Row, float]]:
+    """Distinct (kind, votes, features) and the number of spans that each stands for.
+
+    A kind with more than its share of ``most`` gives a priority sample: a vector of n spans has the priority n / u, with u
+    from its hash; those of highest priority stay and stand for n spans, but at least for the first priority left out.
+    """
+    vectors = spans.groupBy("kind", "votes", "features").agg(F.count(F.lit(1)).alias("n"))
+    u = (F.shiftrightunsigned(F.xxhash64("kind", "votes", "features"), 11) + 1) / F.lit(float(1 << 53))
+    ranked = saved(vectors.withColumn("priority", F.col("n") / u), spark, "span-vectors")
+    sizes = dict(ranked.groupBy("kind").count().collect())
+    found, left = [], most
+    # What a kind does not need of its share goes to the larger ones.
+    for place, kind in enumerate(sorted(kinds, key=lambda k: (sizes[k], k))):
+        each = min(sizes[kind], max(left // (len(kinds) - place), 1))
+        left -= each
+        rows = ranked.filter(F.col("kind") == kind).orderBy(F.desc("priority"), "votes", "features").limit(each + 1).collect()
+        least = rows[each]["priority"] if len(rows) > each else 0.0
+        found += [(r, max(float(r["n"]), least)) for r in rows[:each]]
+    return found
+
+
 def _listed(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1], s[2])))
 
@@ -251,11 +274,10 @@ def find_personal_data(spark: SparkSession, docs: DataFrame, *, id_col: str = "d
     patterns = [(r["kind"], tuple(r["votes"]), r["n"]) for r in
                 spans.groupBy("kind", "votes").agg(F.count(F.lit(1)).alias("n")).orderBy("kind", "votes").collect()]
     likely = reliabilities(patterns)
-    sample = (spans.select("kind", "votes", "features")
-              .orderBy(F.xxhash64("kind", "votes", "features"), "features").limit(max_training_spans).collect())
+    sample = _training(spark, spans, sorted({kind for kind, _, _ in patterns}), max_training_spans)
     weights = None
     if sample:
-        weights = _fitted(np.array([r["features"] for r in sample]),
-                          np.array([likely[r["kind"], tuple(r["votes"])] for r in sample]))
+        weights = _fitted(np.array([r["features"] for r, _ in sample]),
+                          np.array([likely[r["kind"], tuple(r["votes"])] for r, _ in sample]), np.array([n for _, n in sample]))
     result = ", ".join(["doc_id long", *(f"n_{k} long" for k in BASE_KINDS), "base_sha256 string", "spans string"])
     return found.mapInPandas(lambda it: _decide(it, weights, threshold), result)

@@ -176,6 +176,25 @@ def test_personal_data(spark, docs, rows):
         assert set(filter(None, cases.personal_base(text).split(","))) <= set(filter(None, r.spans.split(",")))
 
 
+def test_training_spans_cover_every_kind_however_often_one_repeats(spark, monkeypatch):
+    seen = []
+
+    def fitted(features, targets, *counts):
+        seen.append((features, *counts))
+        return np.zeros(features.shape[1] + 1)
+
+    monkeypatch.setattr(personal_data, "_fitted", fitted)
+    hot = ["mail me at one@example.com"] * 300 + ["call 555-123-4567 now"] * 200
+    rare = [f"{title} {name} was here" for title in ("Dr", "Mr", "Frau") for name in ("Anna", "Xaver", "Thomas")]
+    rare += ["iban DE89370400440532013000", "host 10.0.0.1", "card 4111 1111 1111 1111"]
+    found = [(i, t, "en", "s", 1) + cases.EXTRA for i, t in enumerate(hot + rare)]
+    personal_data.find_personal_data(spark, cases.table(spark, found), max_training_spans=30)
+    features, *counts = seen[0]
+    assert (features[:, :len(personal_data.KINDS)].sum(axis=0) > 0).all()
+    by_kind = counts[0] @ features[:, :len(personal_data.KINDS)]
+    assert by_kind[[0, 1, 2, 3, 5]] == pytest.approx([300, 1, 1, 200, 1])
+
+
 def test_reliabilities_learn_which_labeler_errs():
     rng = np.random.default_rng(3)
     truth = rng.random(4000) < 0.4
