@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import contamination, license_scan, line_dedup, mixing, ngram_join, oracle_sql, personal_data, quality_classifier, quality_rules, substring_dedup, toxicity
+from ledgerloom.llm import byte_bpe, contamination, license_scan, line_dedup, mixing, ngram_join, oracle_sql, personal_data, quality_classifier, quality_rules, substring_dedup, toxicity
 from ledgerloom.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +60,14 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(_table(configure(spark), sf_dir, "documents")).drop("notices")
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = byte_bpe.encode(configure(spark), _table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return byte_bpe.decode(spark, encoded, ranks).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(byte_bpe.little_endian("ids"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mix_to_weights": op1_mix_to_weights,
     "op2_decontaminate": op2_decontaminate,
@@ -70,6 +79,7 @@ QUERIES: dict[str, Query] = {
     "op8_personal_data": op8_personal_data,
     "op10_license_scan": op10_license_scan,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 
 ORACLE: dict[str, str] = oracle_sql.ORACLE
