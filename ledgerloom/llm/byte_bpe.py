@@ -299,8 +299,10 @@ def decode(spark: SparkSession, encoded: DataFrame, ranks_path: str, *, ids_col:
         token_bytes = pa.array(table.value, pa.large_binary())
         for batch in batches:
             lists = batch.column(ids_at)
-            bytes_of = token_bytes.take(lists.flatten())
-            if bytes_of.null_count:
+            ids = lists.flatten()
+            known = ids.filter(pc.and_(pc.greater_equal(ids, 0), pc.less(ids, len(token_bytes))))
+            bytes_of = token_bytes.take(known)
+            if len(known) < len(ids) or bytes_of.null_count:
                 raise ValueError("an id is not in the vocabulary")
             ends = np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
             byte_ends = np.concatenate([[0], np.cumsum(pc.binary_length(bytes_of).to_numpy())])
