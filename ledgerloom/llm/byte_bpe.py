@@ -47,7 +47,7 @@ from ledgerloom.llm.text import saved
 # Workers receive these functions themselves, so they need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-BLOCK_CHARS = 8_000_000  # pre-tokens of so many characters share one block
+BLOCK_CHARS = 4_000_000  # pre-tokens of so many characters share one block
 SHARDS = 256  # into which distinct words are dealt; a task holds the words of one
 
 # A character of each class of a pre-token pattern; none has a part in contractions or is the plain blank.
@@ -236,7 +236,7 @@ def _reassembled(schema: pa.Schema):
         row = block.to_pylist()[0]
         raw, shards = _unpacked(row["places"], 2)
         places, shard_of = _from_planes(raw), _from_planes(shards)
-        lengths = np.zeros(len(shard_of), dtype=np.int64)
+        lengths = np.zeros(len(shard_of), dtype=np.int32)
         starts = np.zeros(len(shard_of), dtype=np.int64)
         ids, at = [], 0
         order = np.argsort(shard_of, kind="stable")
@@ -250,12 +250,15 @@ def _reassembled(schema: pa.Schema):
             ids.append(_from_planes(planes))
             at += len(ids[-1])
         every = np.concatenate([*ids, np.zeros(0, "<u4")])
-        count, stop = lengths[places], np.cumsum(lengths[places])
-        within = np.arange(stop[-1] if len(stop) else 0) - np.repeat(stop - count, count)
-        tokens = every[np.repeat(starts[places], count) + within]
+        count = lengths[places]
+        stop = np.cumsum(count, dtype=np.int64)
+        # The token at a place of the block is as far from its word's first token here as there.
+        at = np.repeat(starts[places] - (stop - count), count)
+        at += np.arange(len(at))
+        tokens = every[at].view(np.int32)
         pieces_stop = np.cumsum(row["counts"])
         offsets = np.concatenate([[0], np.concatenate([[0], stop])[pieces_stop]]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens.astype(np.int32)))
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens))
         return pa.table([pa.array(row["docs"], schema.field(0).type), lists.cast(schema.field(1).type)], schema=schema)
 
     return reassembled
@@ -305,9 +308,9 @@ def decode(spark: SparkSession, encoded: DataFrame, ranks_path: str, *, ids_col:
             if len(known) < len(ids) or bytes_of.null_count:
                 raise ValueError("an id is not in the vocabulary")
             ends = np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
-            byte_ends = np.concatenate([[0], np.cumsum(pc.binary_length(bytes_of).to_numpy())])
-            data = b"".join(bytes_of.to_pylist())
-            texts = [None if null else data[byte_ends[a]:byte_ends[b]]
+            byte_ends = np.frombuffer(bytes_of.buffers()[1], np.int64)[bytes_of.offset:]
+            data = memoryview(bytes_of.buffers()[2] or b"")
+            texts = [None if null else bytes(data[byte_ends[a]:byte_ends[b]])
                      for a, b, null in zip([0, *ends], ends, lists.is_null().to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, schema.field(-1).type)], schema=schema)
 
@@ -317,4 +320,7 @@ def decode(spark: SparkSession, encoded: DataFrame, ranks_path: str, *, ids_col:
 @F.arrow_udf(BinaryType())
 def little_endian(ids: pa.Array) -> pa.Array:
     """The ids as unsigned 32-bit integers, one after another."""
-    return pa.array([None if x is None else np.array(x, dtype="<u4").tobytes() for x in ids.to_pylist()], pa.binary())
+    ends = np.cumsum(pc.list_value_length(ids).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)).tolist()
+    values = ids.flatten().to_numpy().astype("<u4")
+    return pa.array([None if null else values[a:b].tobytes()
+                     for a, b, null in zip([0, *ends], ends, ids.is_null().to_pylist())], pa.binary())
