@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import byte_bpe, contamination, conversation_repair, license_scan, line_dedup, mixing, ngram_join, oracle_sql, personal_data, quality_classifier, quality_rules, substring_dedup, toxicity
+from ledgerloom.llm import byte_bpe, contamination, conversation_repair, license_scan, line_dedup, mixing, ngram_join, oracle_sql, personal_data, quality_classifier, quality_rules, substring_dedup, toxicity, whitening
 from ledgerloom.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(_table(configure(spark), sf_dir, "documents")).drop("notices")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(configure(spark), _table(spark, sf_dir, "embeddings"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     damaged = conversation_repair.damage(_table(configure(spark), sf_dir, "conversations"))
     return conversation_repair.repair(damaged, present=F.col("present")).select(
@@ -85,6 +89,7 @@ QUERIES: dict[str, Query] = {
     "op8_personal_data": op8_personal_data,
     "op10_license_scan": op10_license_scan,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
+    "op11_embedding_whitening": op11_embedding_whitening,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_byte_bpe": op13_byte_bpe,
 }
