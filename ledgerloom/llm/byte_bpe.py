@@ -32,18 +32,15 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 import tiktoken
 import zstandard
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext, cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
-from ledgerloom.llm.text import saved
-
 # Workers receive these functions themselves, so they need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -173,7 +170,8 @@ class _Block:
         self.places.append(np.fromiter(map(self.numbers.__getitem__, pieces), "<u4", len(pieces)))
         self.chars += len(text)
 
-    def row(self, shards: int) -> dict:
+    def rows(self, block: int, shards: int) -> list[dict]:
+        """One row for the block itself, and one for each shard that it asks."""
         places = np.concatenate(self.places)
         common_first = np.argsort(-np.bincount(places, minlength=len(self.numbers)), kind="stable")
         new_number = np.empty(len(common_first), dtype="<u4")
@@ -183,24 +181,32 @@ class _Block:
         shard_of = np.fromiter((zlib.crc32(w) % shards for w in words), "<u4", len(words))
         order = np.argsort(shard_of, kind="stable")
         cuts = np.searchsorted(shard_of[order], np.arange(shards + 1))
-        asked = [(s, [words[i] for i in order[cuts[s]:cuts[s + 1]]]) for s in range(shards) if cuts[s] < cuts[s + 1]]
-        return {"docs": self.docs, "counts": self.counts,
-                "places": _packed(_planes(new_number[places]), _planes(shard_of)),
-                "asked": [{"shard": s, "words": _packed(*_joined(of_shard))} for s, of_shard in asked]}
+        asked = [(s, _joined([words[i] for i in order[cuts[s]:cuts[s + 1]]])) for s in range(shards) if cuts[s] < cuts[s + 1]]
+        checks = np.array([_check(*of_shard) for _, of_shard in asked], dtype="<u4").tobytes()
+        own = {"route": block, "block": block, "shard": None, "docs": self.docs, "counts": self.counts,
+               "data": _packed(_planes(new_number[places]), _planes(shard_of), checks)}
+        return [own] + [{"route": -1 - s, "block": block, "shard": s, "docs": None, "counts": None,
+                         "data": _packed(*of_shard)} for s, of_shard in asked]
+
+
+def _check(lengths: bytes, words: bytes) -> int:
+    return zlib.crc32(words, zlib.crc32(lengths))
 
 
 def _blocks(split: PreTokens, schema: pa.Schema, shards: int, block_chars: int):
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The same rows, read again by another attempt of the task, get the same blocks with the same numbers.
+        number = TaskContext.get().partitionId() << 32
         block = _Block()
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py() or ""
                 block.add(doc, text, split(text))
                 if block.chars >= block_chars:
-                    yield pa.RecordBatch.from_pylist([block.row(shards)], schema)
-                    block = _Block()
+                    yield pa.RecordBatch.from_pylist(block.rows(number, shards), schema)
+                    block, number = _Block(), number + 1
         if block.docs:
-            yield pa.RecordBatch.from_pylist([block.row(shards)], schema)
+            yield pa.RecordBatch.from_pylist(block.rows(number, shards), schema)
 
     return blocks
 
@@ -212,17 +218,17 @@ def _answers(ranks, schema: pa.Schema):
         table, shard, known = ranks.value, None, {}
         for batch in batches:
             found = []
-            for row in batch.to_pylist():
-                if row["shard"] != shard:
-                    shard, known = row["shard"], {}
-                lists = []
-                for word in _cut(*_unpacked(row["words"], 2)):
+            for block, of_shard, data in zip(*(batch.column(c).to_pylist() for c in ("block", "shard", "data"))):
+                if of_shard != shard:
+                    shard, known = of_shard, {}
+                lists, asked = [], _unpacked(data, 2)
+                for word in _cut(*asked):
                     ids = known.get(word)
                     if ids is None:
                         ids = known[word] = np.array(encode_word(word, table), dtype="<u4").tobytes()
                     lists.append(ids)
                 lengths, ids = _joined(lists)
-                found.append({"block": row["block"], "shard": shard,
+                found.append({"block": block, "shard": shard, "check": _check(*asked),
                               "ids": _packed(lengths, _planes(np.frombuffer(ids, "<u4")))})
             yield pa.RecordBatch.from_pylist(found, schema)
 
@@ -233,15 +239,22 @@ def _reassembled(schema: pa.Schema):
     """Put the ids of a block's words where the words stood, document by document."""
 
     def reassembled(block: pa.Table, answered: pa.Table) -> pa.Table:
-        row = block.to_pylist()[0]
-        raw, shards = _unpacked(row["places"], 2)
+        rows = block.select(["docs", "counts", "data"]).to_pylist()
+        if not rows or rows[0]["docs"] is None:  # what shards were asked
+            return schema.empty_table()
+        row, = rows
+        raw, shards, checks = _unpacked(row["data"], 3)
         places, shard_of = _from_planes(raw), _from_planes(shards)
         lengths = np.zeros(len(shard_of), dtype=np.int32)
         starts = np.zeros(len(shard_of), dtype=np.int64)
         ids, at = [], 0
         order = np.argsort(shard_of, kind="stable")
-        cuts = dict(zip(*np.unique(shard_of[order], return_index=True)))
-        for answer in answered.to_pylist():
+        asked, first = np.unique(shard_of[order], return_index=True)
+        cuts, check_of = dict(zip(asked, first)), dict(zip(asked, np.frombuffer(checks, "<u4")))
+        answers = answered.to_pylist()
+        if {a["shard"]: a["check"] for a in answers} != check_of:
+            raise RuntimeError("the texts came in another order when a task was run again; write them to a table first")
+        for answer in answers:
             n_ids, planes = _unpacked(answer["ids"], 2)
             n_ids = np.frombuffer(n_ids, "<u4").astype(np.int64) // 4
             mine = order[cuts[answer["shard"]]:][:len(n_ids)]
@@ -253,74 +266,72 @@ def _reassembled(schema: pa.Schema):
         count = lengths[places]
         stop = np.cumsum(count, dtype=np.int64)
         # The token at a place of the block is as far from its word's first token here as there.
-        at = np.repeat(starts[places] - (stop - count), count)
-        at += np.arange(len(at))
-        tokens = every[at].view(np.int32)
-        pieces_stop = np.cumsum(row["counts"])
-        offsets = np.concatenate([[0], np.concatenate([[0], stop])[pieces_stop]]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens))
-        return pa.table([pa.array(row["docs"], schema.field(0).type), lists.cast(schema.field(1).type)], schema=schema)
+        where = np.repeat(starts[places] - (stop - count), count)
+        where += np.arange(len(where))
+        tokens = every[where].tobytes()
+        ends = 4 * np.concatenate([[0], stop])[np.cumsum(row["counts"])]
+        return pa.table([pa.array(row["docs"], schema.field(0).type),
+                         pa.array([tokens[a:b] for a, b in zip([0, *ends], ends)], schema.field(1).type)], schema=schema)
 
     return reassembled
 
 
 def encode(spark: SparkSession, docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id",
            text_col: str = "text", shards: int = SHARDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """One row per document: its id and the ids of its tokens, in order."""
+    """One row per document: its id and its tokens, the ids in order as little-endian unsigned 32-bit integers.
+
+    The texts should come from a table, so that a task that is run again reads the same rows; otherwise that is noticed
+    and the job fails.
+    """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     doc_type = texts.schema["doc_id"].dataType
-    asked_type = StructType([StructField("shard", IntegerType()), StructField("words", BinaryType())])
-    block_type = StructType([StructField("docs", ArrayType(doc_type)), StructField("counts", ArrayType(LongType())),
-                             StructField("places", BinaryType()), StructField("asked", ArrayType(asked_type))])
+    dealt_type = StructType([
+        StructField("route", LongType()), StructField("block", LongType()), StructField("shard", IntegerType()),
+        StructField("docs", ArrayType(doc_type)), StructField("counts", ArrayType(LongType())), StructField("data", BinaryType())])
     split = PreTokens(pattern, class_differences())
     ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))
-    blocks = saved(texts.mapInArrow(_blocks(split, to_arrow_schema(block_type), shards, block_chars), block_type)
-                   .select(F.monotonically_increasing_id().alias("block"), "*"), spark, "bpe-blocks")
-
-    words = (blocks.select("block", F.explode("asked").alias("a")).select("block", "a.shard", "a.words")
-             .repartition("shard").sortWithinPartitions("shard"))
-    answer_type = StructType([StructField("block", LongType()), StructField("shard", IntegerType()), StructField("ids", BinaryType())])
-    answers = words.mapInArrow(_answers(ranks, to_arrow_schema(answer_type)), answer_type)
-
-    encoded_type = StructType([StructField("doc_id", doc_type), StructField("ids", ArrayType(IntegerType()))])
-    return (blocks.select("block", "docs", "counts", "places").groupBy("block").cogroup(answers.groupBy("block"))
-            .applyInArrow(_reassembled(to_arrow_schema(encoded_type)), encoded_type))
-
-
-def decode(spark: SparkSession, encoded: DataFrame, ranks_path: str, *, ids_col: str = "ids",
+    # Blocks and what they ask go through one shuffle, which both branches below read.
+    dealt = texts.mapInArrow(_blocks(split, to_arrow_schema(dealt_type), shards, block_chars), dealt_type).repartition("route")
+    # A plain condition would be moved before the shuffle, which could then not be shared.
+    asked = F.when(F.spark_partition_id() >= 0, F.col("shard").isNotNull())
+    answer_type = StructType([StructField("block", LongType()), StructField("shard", IntegerType()),
+                              StructField("check", LongType()), StructField("ids", BinaryType())])
+    answers = dealt.filter(asked).sortWithinPartitions("route").mapInArrow(_answers(ranks, to_arrow_schema(answer_type)), answer_type)
+    encoded_type = StructType([StructField("doc_id", doc_type), StructField("tokens", BinaryType())])
+    return dealt.groupBy("route").cogroup(answers.groupBy("block")).applyInArrow(
+        _reassembled(to_arrow_schema(encoded_type)), encoded_type)
+
+
+def decode(spark: SparkSession, encoded: DataFrame, ranks_path: str, *, tokens_col: str = "tokens",
            bytes_col: str = "decoded") -> DataFrame:
-    """Add the bytes that the ids of each row stand for; null ids give null."""
+    """Add the bytes that the tokens of each row stand for; null tokens give null."""
     ranks = read_ranks(ranks_path)
     by_id: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
     for token, rank in ranks.items():
         by_id[rank] = token
     table = spark.sparkContext.broadcast(by_id)
     out = StructType([*encoded.schema.fields, StructField(bytes_col, BinaryType())])
-    ids_at, schema = encoded.columns.index(ids_col), to_arrow_schema(out)
+    tokens_at, schema = encoded.columns.index(tokens_col), to_arrow_schema(out)
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token_bytes = pa.array(table.value, pa.large_binary())
-        for batch in batches:
-            lists = batch.column(ids_at)
-            ids = lists.flatten()
-            known = ids.filter(pc.and_(pc.greater_equal(ids, 0), pc.less(ids, len(token_bytes))))
-            bytes_of = token_bytes.take(known)
-            if len(known) < len(ids) or bytes_of.null_count:
+
+        def joined(tokens: bytes | None) -> bytes | None:
+            if tokens is None:
+                return None
+            ids = np.frombuffer(tokens, "<u4")
+            found = token_bytes.take(pa.array(ids[ids < len(token_bytes)]))
+            if len(found) < len(ids) or found.null_count:
                 raise ValueError("an id is not in the vocabulary")
-            ends = np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
-            byte_ends = np.frombuffer(bytes_of.buffers()[1], np.int64)[bytes_of.offset:]
-            data = memoryview(bytes_of.buffers()[2] or b"")
-            texts = [None if null else bytes(data[byte_ends[a]:byte_ends[b]])
-                     for a, b, null in zip([0, *ends], ends, lists.is_null().to_pylist())]
+            ends = np.frombuffer(found.buffers()[1], np.int64)
+            return bytes(memoryview(found.buffers()[2] or b"")[ends[0]:ends[len(ids)]]) if len(ids) else b""
+
+        for batch in batches:
+            texts = [joined(t.as_py()) for t in batch.column(tokens_at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, schema.field(-1).type)], schema=schema)
 
     return encoded.mapInArrow(decoded, out)
 
 
-@F.arrow_udf(BinaryType())
-def little_endian(ids: pa.Array) -> pa.Array:
-    """The ids as unsigned 32-bit integers, one after another."""
-    ends = np.cumsum(pc.list_value_length(ids).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)).tolist()
-    values = ids.flatten().to_numpy().astype("<u4")
-    return pa.array([None if null else values[a:b].tobytes()
-                     for a, b, null in zip([0, *ends], ends, ids.is_null().to_pylist())], pa.binary())
+def count_tokens(tokens: str) -> Column:
+    return (F.octet_length(tokens) / 4).cast("long")

@@ -74,7 +74,7 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     encoded = byte_bpe.encode(configure(spark), _table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
     return byte_bpe.decode(spark, encoded, ranks).select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(byte_bpe.little_endian("ids"), 256).alias("ids_sha256"),
+        "doc_id", byte_bpe.count_tokens("tokens").alias("n_tokens"), F.sha2("tokens", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

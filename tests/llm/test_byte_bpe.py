@@ -35,8 +35,8 @@ def test_ids_are_those_of_the_library(spark, path):
     rows = list(enumerate(awkward_texts())) + [(1, "again"), (1, "again"), (None, "no id"), (None, None)]
     docs = spark.createDataFrame([(t, "x", i, 5) for i, t in rows], "text string, ids string, doc_id long, block int").repartition(5)
     encoded = byte_bpe.encode(spark, docs, path, public_tokenizers.PATTERN, shards=7, block_chars=9_000)
-    assert encoded.columns == ["doc_id", "ids"]
-    got = cases.counted((r.doc_id, tuple(r.ids), bytes(r.decoded)) for r in byte_bpe.decode(spark, encoded, path).collect())
+    assert encoded.columns == ["doc_id", "tokens"]
+    got = cases.counted((r.doc_id, tuple(np.frombuffer(r.tokens, '<u4').tolist()), bytes(r.decoded)) for r in byte_bpe.decode(spark, encoded, path).collect())
     ask = library(path).encode_ordinary
     assert got == cases.counted((i, tuple(ask(t or "")), (t or "").encode()) for i, t in rows)
 
@@ -58,10 +58,19 @@ def test_every_character_has_the_class_of_the_library():
 
 
 def test_ids_outside_the_vocabulary_are_refused(spark):
-    rows = spark.createDataFrame([([1, 2],), (None,), ([],)], "ids array<int>")
-    assert sorted(str(r.decoded) for r in byte_bpe.decode(spark, rows, PATH).collect())[0] == "None"
+    def rows(*tokens):
+        return spark.createDataFrame([(None if t is None else np.array(t, "<u4").tobytes(),) for t in tokens], "tokens binary")
+
+    assert {r.decoded and bytes(r.decoded) for r in byte_bpe.decode(spark, rows([64, 65], None, []), PATH).collect()} == {b"ab", None, b""}
     with pytest.raises(Exception, match="not in the vocabulary"):
-        byte_bpe.decode(spark, spark.createDataFrame([([50256],)], "ids array<int>"), PATH).collect()
+        byte_bpe.decode(spark, rows([50256]), PATH).collect()
+
+
+def test_blocks_and_words_share_one_shuffle(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    encoded = byte_bpe.encode(spark, docs, PATH, public_tokenizers.PATTERN)
+    assert len(encoded.collect()) == docs.count()
+    assert encoded._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("ReusedExchange") == 1
 
 
 def test_query_gives_the_digests(spark, sf_dir):
