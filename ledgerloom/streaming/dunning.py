@@ -19,7 +19,6 @@ _STATE = "failures int, paid boolean, last_failure timestamp"
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _DAY_MS = 24 * 3600 * 1000
-STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class DunningProcessor(StatefulProcessor):
@@ -70,11 +69,22 @@ class DunningProcessor(StatefulProcessor):
 
 
 def dunning_stream(attempts: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """State changes of every cycle. The session must use the RocksDB state store (``STATE_PROVIDER``)."""
-    timed = attempts.select("subscription_id", "cycle_start", "succeeded",
-                            F.col("attempted_at").cast("timestamp").alias("attempted_at"))
+    """State changes of every cycle, however late an attempt arrives. The session must use the RocksDB state store.
+
+    Only rows with an event time can be too late. So each attempt is read twice: once as a clock, which moves the watermark
+    and the timers and is then dropped, and once without an event time, which is always taken in. A late attempt
+    changes its cycle's state as it would have in time; timers that are due by then fire in the same batch.
+    """
+    at = F.col("attempted_at").cast("timestamp")
+    timed = attempts.select(
+        "subscription_id", "cycle_start", "succeeded", at.alias("attempted_at"),
+        F.explode(F.array(F.struct(at.alias("time"), F.lit(False).alias("kept")),
+                          F.struct(F.lit(None).cast("timestamp").alias("time"), F.lit(True).alias("kept")))).alias("_read"))
+    clocked = timed.select("subscription_id", "cycle_start", "succeeded", "attempted_at", F.col("_read.time").alias("_clock"),
+                           F.col("_read.kept").alias("_kept")).withWatermark("_clock", delay)
     return (
-        timed.withWatermark("attempted_at", delay).groupBy("subscription_id", "cycle_start")
+        # One condition on the clock: it must not be moved before the watermark.
+        clocked.filter(F.when(F.col("_clock").isNull(), F.col("_kept"))).groupBy("subscription_id", "cycle_start")
         .transformWithStateInPandas(statefulProcessor=DunningProcessor(), outputStructType=OUTPUT,
                                     outputMode="Update", timeMode="EventTime")
     )

@@ -1,51 +1,60 @@
-"""Hourly summaries kept up to date by a windowed aggregation over the fact stream."""
+"""Hourly summaries kept up to date by a stream of facts, however late a fact arrives.
+
+A batch is summed up by hour on its own, and its sums are folded into the stored rows of the hours it touches. No
+watermark decides what is too late and no state grows with the stream: what an hour holds so far is
+its stored row. Each row remembers the last batch it took in, so a batch that is run again counts once.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ledgerloom.functions.labels import empty_for_null
 from ledgerloom.functions.periods import day_of
-from ledgerloom.operators.rollups import PARTY_KEYS, grain_keys
-from ledgerloom.operators.upsert import upsert
+from ledgerloom.operators.rollups import grain_keys, rollup
+from ledgerloom.operators.upsert import fold
 from ledgerloom.schemas import AVERAGE, TOTAL
 from ledgerloom.session import configure
 
+_MARKS = ["stream_id", "batch_id"]
+
+
+def fold_batch(batch: DataFrame, subject: str, path: str, batch_id: int, stream_id: str) -> None:
+    """Add a batch of facts to the hourly table; only the days that it touches are read and written."""
+    keys = grain_keys(subject, "hour")
+    sums = rollup(batch, subject, "hour").withColumns({
+        "txn_day": day_of("txn_hour"), "stream_id": F.lit(stream_id), "batch_id": F.lit(batch_id).cast("bigint")})
+
+    def combined(old: DataFrame, new: DataFrame) -> DataFrame:
+        other = F.col("stream_id") != stream_id
+        refused = F.when(other, F.raise_error(F.lit("the hourly table belongs to another stream")))
+        known = old.withColumn("_taken", F.coalesce(refused.cast("boolean"), F.col("batch_id") == batch_id))
+        fresh = new.join(known.filter("_taken").select(*keys), keys, "left_anti")
+        rows = known.drop("_taken").unionByName(fresh)
+        merged = rows.groupBy("txn_day", *keys).agg(
+            *[F.max(c).alias(c) for c in ("counterparty_name", "counterparty_type", *_MARKS)], F.sum("txn_count").alias("txn_count"),
+            *[F.sum(c).cast(TOTAL).alias(c) for c in ("total_amount", "total_fees", "total_net_amount")],
+            F.min("min_amount").alias("min_amount"), F.max("max_amount").alias("max_amount"))
+        return merged.withColumn("avg_amount", (F.col("total_amount") / F.col("txn_count")).cast(AVERAGE))
+
+    fold(sums, path, "txn_day", combined)
+
 
-def hourly_windows(facts: DataFrame, subject: str, delay: str = "1 hour") -> DataFrame:
-    """Tumbling one-hour groups of a fact stream; a group stays open until the watermark passes it.
-
-    Watermarks need a zoned timestamp: the zone-free time is read as UTC on
-    the way in and out.
-    """
-    owner = ["customer_id"] if subject == "customer" else ["org_id", empty_for_null("division_id")]
-    base = facts.select(
-        *owner, F.col("txn_date").cast("timestamp").alias("_at"), *[empty_for_null(c) for c in PARTY_KEYS],
-        "counterparty_name", "counterparty_type", "amount", "fees", "net_amount").withWatermark("_at", delay)
-    keys = [k for k in grain_keys(subject, "hour") if k != "txn_hour"]
-    grouped = base.groupBy(F.window("_at", "1 hour").alias("_w"), *keys).agg(
-        F.max("counterparty_name").alias("counterparty_name"), F.max("counterparty_type").alias("counterparty_type"),
-        F.count(F.lit(1)).alias("txn_count"), F.sum("amount").cast(TOTAL).alias("total_amount"),
-        F.sum("fees").cast(TOTAL).alias("total_fees"), F.sum("net_amount").cast(TOTAL).alias("total_net_amount"),
-        F.min("amount").cast(TOTAL).alias("min_amount"), F.max("amount").cast(TOTAL).alias("max_amount"),
-        F.avg("amount").cast(AVERAGE).alias("avg_amount"))
-    hour = F.col("_w.start").cast("timestamp_ntz").alias("txn_hour")
-    return grouped.select(*[hour if c == "txn_hour" else c for c in grain_keys(subject, "hour")],
-                          *[c for c in grouped.columns if c not in ("_w", *keys)])
+def read_hourly(spark: SparkSession, path: str) -> DataFrame:
+    """The hourly table without its own columns."""
+    return spark.read.parquet(path).drop("txn_day", *_MARKS)
 
 
 def start_hourly(facts: DataFrame, subject: str, path: str, checkpoint: str, available_now: bool = False,
-                 delay: str = "1 hour", trigger: str = "15 minutes") -> StreamingQuery:
-    """Upsert every changed group; a repeated micro-batch writes the same rows again."""
+                 trigger: str = "15 minutes") -> StreamingQuery:
+    """Fold every batch of the fact stream into the table, which belongs to this stream alone."""
 
-    def write(batch: DataFrame, _: int) -> None:
-        configure(batch.sparkSession)
-        upsert(batch.withColumn("txn_day", day_of("txn_hour")), path, grain_keys(subject, "hour"), "txn_day")
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = configure(batch.sparkSession)
+        fold_batch(batch, subject, path, batch_id, spark.sparkContext.getLocalProperty("sql.streaming.queryId"))
 
     configure(facts.sparkSession)
-    writer = hourly_windows(facts, subject, delay).writeStream.outputMode("update").foreachBatch(write).option(
-        "checkpointLocation", checkpoint)
+    writer = facts.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=trigger)
     return writer.start()

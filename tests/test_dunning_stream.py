@@ -8,7 +8,8 @@ import pytest
 from pyspark import cloudpickle
 
 from ledgerloom.operators.settlement import dunning_state
-from ledgerloom.streaming.dunning import STATE_PROVIDER, DunningProcessor, dunning_stream
+from ledgerloom.streaming.dunning import DunningProcessor, dunning_stream
+from ledgerloom.streaming.state import STATE_PROVIDER
 
 SCHEMA = "subscription_id string, cycle_start date, attempted_at timestamp_ntz, succeeded boolean"
 START = dt.datetime(2024, 1, 1, 9)
