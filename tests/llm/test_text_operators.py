@@ -36,7 +36,7 @@ def test_query_matches_sql(spark, sf_dir, name):
 
 
 def test_every_query_takes_an_empty_table(spark, tmp_path):
-    for name in ("documents", "benchmark", "labels"):
+    for name in ("documents", "benchmark", "labels", "embeddings", "conversations"):
         spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     for query in queries.QUERIES.values():
         assert query(spark, str(tmp_path)).collect() == []
