@@ -9,6 +9,7 @@ from ledgerloom.catalog.oracle_tables import with_tables
 from ledgerloom.functions import labels
 from ledgerloom.operators import history as h
 from ledgerloom.operators import ledger as lg
+from ledgerloom.operators import paging
 from ledgerloom.operators import retention as rt
 from ledgerloom.sources import sample_tables as st
 
@@ -90,6 +91,9 @@ QUERIES = {
     "transfer_audit": lambda s, d: lg.ordered_audit(st.audit_steps(s, d)),
     "history_page_by_amount": lambda s, d: h.items(h.page_of(st.wallet_transfers(s, d), "AMOUNT_DESC", 2, 50)),
     "history_page_by_date": lambda s, d: h.items(h.page_of(st.wallet_transfers(s, d), "DATE_ASC", 1, 100)),
+    "history_page_after": lambda s, d: h.items(paging.nth_page(_in_window(s, d), h.order_columns("DATE_DESC"), 50, 3)),
+    "wallet_audit_pages": lambda s, d: lg.wallet_audit_pages(st.wallet_audit_logs(s, d)).select(
+        "wallet_id", "audit_id", "transfer_id", "new_value", "created_at", "position", "page"),
     "failed_transfers_page": lambda s, d: h.items(h.by_status(st.wallet_transfers(s, d), "FAILED", 0, 20)),
     "page_info": lambda s, d: h.page_info(_in_window(s, d), 2, 50),
     "group_by_dest_wallet": lambda s, d: h.group_by_destination_wallet(_in_window(s, d)),
@@ -225,6 +229,11 @@ FROM (SELECT *, row_number() OVER (PARTITION BY {column} ORDER BY initiated_at D
         f"SELECT {_ITEMS} FROM wallet_transfers ORDER BY amount DESC, transfer_id LIMIT 50 OFFSET 100"),
     "history_page_by_date": with_tables(
         f"SELECT {_ITEMS} FROM wallet_transfers ORDER BY initiated_at, transfer_id LIMIT 100 OFFSET 100"),
+    "history_page_after": with_tables(
+        f"SELECT {_ITEMS} FROM wallet_transfers WHERE {_W} ORDER BY initiated_at DESC, transfer_id LIMIT 50 OFFSET 150"),
+    "wallet_audit_pages": with_tables("""SELECT *, (position - 1) // 20 AS page FROM (SELECT source_wallet_id AS wallet_id, audit_id,
+ a.transfer_id, new_value, created_at, row_number() OVER (PARTITION BY source_wallet_id ORDER BY created_at DESC, audit_id DESC) AS position
+FROM audit_steps a JOIN wallet_transfers t ON a.transfer_id = t.transfer_id WHERE source_wallet_id IS NOT NULL)"""),
     "failed_transfers_page": with_tables(
         f"SELECT {_ITEMS} FROM wallet_transfers WHERE status='FAILED' ORDER BY initiated_at DESC, transfer_id LIMIT 20"),
     "page_info": with_tables(f"""SELECT CAST(2 AS INTEGER) AS page, CAST(50 AS INTEGER) AS size, count(*) AS total_elements,

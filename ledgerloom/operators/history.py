@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.domains import FAILED_STATUSES, HISTORY_PERIODS
-from ledgerloom.functions.periods import as_datetime, day_of, history_window, months_before, ts_lit
+from ledgerloom.functions.periods import as_datetime, history_window, months_before, ts_lit
+from ledgerloom.operators.paging import Order, cursor_of, page_after, sorted_by
 from ledgerloom.operators.running import row_numbers
 from ledgerloom.schemas import TOTAL
 
@@ -38,6 +39,7 @@ class HistoryFilter:
     sort: str = "DATE_DESC"
     page: int = 0
     size: int = 20
+    after: Sequence | None = None  # values of the last row seen, in place of a page number
 
 
 # ---- predicates -------------------------------------------------------------------------------------------------
@@ -138,16 +140,20 @@ def by_status(transfers: DataFrame, status: str, page: int = 0, size: int = 20)
     return page_of(transfers.filter(F.col("status") == status), "DATE_DESC", page, size)
 
 
-def sort_keys(order: str) -> list[Column]:
+def order_columns(order: str) -> Order:
     """The named order; the transfer id breaks ties so that pages never overlap."""
-    column, descending = SORT_ORDERS[order]
-    return [F.col(column).desc() if descending else F.col(column).asc(), F.col("transfer_id").asc()]
+    return [SORT_ORDERS[order], ("transfer_id", False)]
+
+
+def sort_keys(order: str) -> list[Column]:
+    return sorted_by(order_columns(order))
 
 
 def page_of(rows: DataFrame, order: str = "DATE_DESC", page: int = 0, size: int = 20) -> DataFrame:
-    """One page, for looking at the first few: a page costs as much as all pages before it.
+    """One page by its number, for looking at the first few: a page costs as much as all pages before it.
 
-    Whole histories are paged by :func:`numbered_pages`, once for every page.
+    Pages that follow one another are read with :func:`ledgerloom.operators.paging.page_after`, whole histories
+    with :func:`numbered_pages`, once for every page.
     """
     if size < 1 or page < 0:
         raise ValueError("page must be at least 0 and size at least 1")
@@ -172,11 +178,19 @@ class History:
     page_stats: DataFrame
     window_stats: DataFrame
     window: tuple
+    order: Order
+
+    def next_page(self) -> tuple | None:
+        """What to ask with as ``after`` for the next page; None behind the last row."""
+        return cursor_of(self.items, self.order)
 
 
 def _answer(rows: DataFrame, chosen: HistoryFilter, window: tuple) -> History:
-    page = page_of(rows, chosen.sort, chosen.page, chosen.size)
-    return History(items(page), page_info(rows, chosen.page, chosen.size), stats(page), stats(rows), window)
+    if chosen.after is not None:
+        page = page_after(rows, order_columns(chosen.sort), chosen.size, chosen.after)
+    else:
+        page = page_of(rows, chosen.sort, chosen.page, chosen.size)
+    return History(items(page), page_info(rows, chosen.page, chosen.size), stats(page), stats(rows), window, order_columns(chosen.sort))
 
 
 def user_history(transfers: DataFrame, individual: DataFrame, customer_id: str, chosen: HistoryFilter,
@@ -236,16 +250,15 @@ def period_membership(transfers: DataFrame, as_of) -> DataFrame:
 def numbered_pages(rows: DataFrame, subject: str, size: int = 20) -> DataFrame:
     """Every row with its place and page in its subject's history, newest first.
 
-    Built from per-day pieces, so a subject with most of the rows is not
-    ordered by a single task.
+    A subject with most of the rows is spread over all tasks.
     """
-    numbered = row_numbers(rows, [subject], ["initiated_at", "transfer_id"], "position",
-                           day_of("initiated_at"), descending=True)
+    numbered = row_numbers(rows, [subject], ["initiated_at", "transfer_id"], "position", descending=True)
     return numbered.withColumn("page", F.floor((F.col("position") - 1) / F.lit(size)).cast("bigint"))
 
 
 # ---- destination groups -----------------------------------------------------------------------------------------
 
+# The columns of each kind of group.
 _WALLET_GROUP = ["destination_wallet_id", "destination_wallet_type", "destination_account_name"]
 _ACCOUNT_GROUP = ["destination_account_number", "destination_account_name", "destination_ifsc"]
 _ORG_GROUP = ["destination_wallet_id", "destination_wallet_type", "destination_account_number",

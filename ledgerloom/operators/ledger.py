@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.domains import STATUS_PATHS
-from ledgerloom.functions.periods import day_of, hour_of
+from ledgerloom.operators.paging import page_after
 from ledgerloom.operators.running import previous_value, row_numbers, running_sum
 from ledgerloom.schemas import MONEY, TOTAL
 
@@ -21,7 +23,7 @@ def signed_amount() -> Column:
 
 def with_balances(moves: DataFrame) -> DataFrame:
     """Ledger rows with the balance before and after each, from the running sum per wallet."""
-    summed = running_sum(moves, ["wallet_id"], ORDER, signed_amount(), "balance_after", hour_of("created_at"))
+    summed = running_sum(moves, ["wallet_id"], ORDER, signed_amount(), "balance_after")
     return summed.withColumns({
         "balance_before": (F.col("balance_after") - signed_amount()).cast(MONEY),
         "balance_after": F.col("balance_after").cast(MONEY),
@@ -35,17 +37,20 @@ def wallet_balances(moves: DataFrame) -> DataFrame:
         F.max("created_at").alias("last_entry_at"))
 
 
-def statement(ledger: DataFrame, wallet_id: str, wallet_type: str, page: int = 0, size: int = 20) -> DataFrame:
-    """One page of a wallet's statement, newest first."""
+NEWEST = [("created_at", True), ("transaction_id", True)]
+AUDIT_NEWEST = [("created_at", True), ("audit_id", True)]
+
+
+def statement(ledger: DataFrame, wallet_id: str, wallet_type: str, page: int = 0, size: int = 20,
+              after: Sequence | None = None) -> DataFrame:
+    """One page of a wallet's statement, newest first, by its number or, cheaper for later pages, after a cursor."""
     rows = ledger.filter((F.col("wallet_id") == wallet_id) & (F.col("wallet_type") == wallet_type))
-    ordered = rows.orderBy(F.desc("created_at"), F.desc("transaction_id"))
-    return ordered.offset(page * size).limit(size).select(*STATEMENT_COLUMNS)
+    return page_after(rows, NEWEST, size, after, page).select(*STATEMENT_COLUMNS)
 
 
 def statement_pages(ledger: DataFrame, size: int = 20) -> DataFrame:
     """Every wallet's statement with page numbers."""
-    numbered = row_numbers(ledger, ["wallet_id", "wallet_type"], ORDER, "position", day_of("created_at"),
-                           descending=True)
+    numbered = row_numbers(ledger, ["wallet_id", "wallet_type"], ORDER, "position", descending=True)
     page = F.floor((F.col("position") - 1) / F.lit(size)).cast("bigint")
     return numbered.select("wallet_id", "wallet_type", *STATEMENT_COLUMNS, "position", page.alias("page"))
 
@@ -60,22 +65,28 @@ def transfer_audit(audit: DataFrame, transfer_id: str) -> DataFrame:
 
 def ordered_ledger(ledger: DataFrame) -> DataFrame:
     """Every transfer's ledger rows with their place, oldest first."""
-    return row_numbers(ledger, ["transfer_id"], ORDER, "position", day_of("created_at"))
+    return row_numbers(ledger, ["transfer_id"], ORDER, "position")
 
 
 def ordered_audit(audit: DataFrame) -> DataFrame:
     """Every transfer's audit rows with their place, oldest first."""
-    return row_numbers(audit, ["transfer_id"], ["created_at", "audit_id"], "position", day_of("created_at"))
+    return row_numbers(audit, ["transfer_id"], ["created_at", "audit_id"], "position")
+
+
+def wallet_audit(audit: DataFrame, wallet_id: str, page: int = 0, size: int = 20, after: Sequence | None = None) -> DataFrame:
+    """One page of a wallet's audit trail, newest first, by its number or, cheaper for later pages, after a cursor."""
+    return page_after(audit.filter(F.col("wallet_id") == wallet_id), AUDIT_NEWEST, size, after, page)
 
 
-def wallet_audit(audit: DataFrame, wallet_id: str, page: int = 0, size: int = 20) -> DataFrame:
-    rows = audit.filter(F.col("wallet_id") == wallet_id).orderBy(F.desc("created_at"), F.desc("audit_id"))
-    return rows.offset(page * size).limit(size)
+def wallet_audit_pages(audit: DataFrame, size: int = 20) -> DataFrame:
+    """Every wallet's audit trail with page numbers, newest first."""
+    numbered = row_numbers(audit, ["wallet_id"], ["created_at", "audit_id"], "position", descending=True)
+    return numbered.withColumn("page", F.floor((F.col("position") - 1) / F.lit(size)).cast("bigint"))
 
 
 def continuity_gaps(ledger: DataFrame) -> DataFrame:
     """Rows that break the ledger: wrong arithmetic, a gap to the row before, or a negative balance."""
-    linked = previous_value(ledger, ["wallet_id"], ORDER, "balance_after", "previous_balance", hour_of("created_at"))
+    linked = previous_value(ledger, ["wallet_id"], ORDER, "balance_after", "previous_balance")
     arithmetic = F.col("balance_after") != (F.col("balance_before") + signed_amount()).cast(MONEY)
     gap = F.col("previous_balance").isNotNull() & (F.col("balance_before") != F.col("previous_balance"))
     negative = F.col("balance_after") < 0
@@ -125,7 +136,7 @@ def illegal_steps(audit: DataFrame, transfers: DataFrame) -> DataFrame:
     """Status changes outside the allowed path, and changes that do not start where the one before ended."""
     kinds = transfers.select("transfer_id", "transfer_type")
     linked = previous_value(audit.join(kinds, "transfer_id"), ["transfer_id"], ["created_at", "audit_id"],
-                            "new_value", "state_before", day_of("created_at"))
+                            "new_value", "state_before")
     step = F.concat_ws(">", "transfer_type", "previous_value", "new_value")
     allowed = step.isin(*[">".join(s) for s in legal_steps()])
     broken = F.col("state_before").isNotNull() & (F.col("state_before") != F.col("previous_value"))

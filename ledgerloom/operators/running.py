@@ -1,63 +1,191 @@
-"""Ordered calculations per key that stay parallel when one key holds most rows.
+"""Ordered calculations per key, as a parallel prefix scan.
 
-A plain window per key sends the whole key to one task. Here the key is split
-into time buckets, each ordered on its own. What a bucket takes over from the
-earlier ones is a single value, found from one small row per bucket and put in
-front of the bucket's rows. All rows are shuffled once, by key and bucket.
+A plain window per key sends the whole key to one task. Here all rows are dealt once, by ranges of key and order, so one key
+may be spread over all tasks. A task runs over its own sorted rows in Arrow batches. What the rows of its first key take over from
+earlier ranges comes from a table with one row per range, which is broadcast: it is as long as there are partitions,
+however many rows there are. Both read the one shuffle.
 
-The bucket must be non-decreasing in the order columns (an hour of the first
-one, for example), so rows with equal order values never straddle buckets.
+The order columns should end in a unique one; rows that are equal in all of them stay in one range.
 """
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+from decimal import Decimal
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType, LongType, StructField, StructType
+
+# Workers receive these functions themselves, so they need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_BUCKET, _VALUE, _REAL = "_bucket", "_value", "_real"
+_VALUE, _RANGE = "_value", "_range"
+_LIMIT = 9.2e18
 
 
-def _ordered(columns: list[str], descending: bool) -> list[Column]:
+def _sorted(columns: list[str], descending: bool) -> list[Column]:
     return [F.col(c).desc() if descending else F.col(c).asc() for c in columns]
 
 
-def _led_by(rows: DataFrame, carried: DataFrame) -> DataFrame:
-    """Rows of every bucket together with the row that carries the earlier buckets' value."""
-    return rows.withColumn(_REAL, F.lit(True)).unionByName(
-        carried.withColumn(_REAL, F.lit(False)), allowMissingColumns=True)
+class _Keys:
+    """Finds where a new key begins, across the batches of a partition."""
+
+    def __init__(self, names: list[str]):
+        self.names, self.last = names, None
+
+    def begins(self, batch: pa.RecordBatch) -> np.ndarray:
+        n, found = batch.num_rows, np.zeros(batch.num_rows, dtype=bool)
+        first = [batch.column(k)[0].as_py() for k in self.names]
+        found[0] = first != self.last
+        for name in self.names:
+            column = batch.column(name)
+            before, here = column.slice(0, n - 1), column.slice(1)
+            same = pc.or_(pc.fill_null(pc.equal(here, before), False), pc.and_(pc.is_null(here), pc.is_null(before)))
+            found[1:] |= ~same.to_numpy(zero_copy_only=False)
+        self.last = [batch.column(k)[n - 1].as_py() for k in self.names]
+        return found
+
+
+class _Sums:
+    """Sums and counts of values within each key; the state is that of the last key."""
+
+    def __init__(self):
+        self.total = self.count = 0
+
+    def add(self, values: pa.Array, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        numbers = pc.fill_null(values, 0).to_numpy(zero_copy_only=False)
+        if np.abs(np.cumsum(numbers, dtype=float)).max() + abs(float(self.total)) > _LIMIT:
+            raise OverflowError("a running sum leaves the range of 64 bits")
+        sums = self._within(numbers, begins, self.total)
+        counts = self._within(pc.is_valid(values).to_numpy(zero_copy_only=False).astype(np.int64), begins, self.count)
+        self.total, self.count = int(sums[-1]), int(counts[-1])
+        return sums, counts
+
+    @staticmethod
+    def _within(numbers: np.ndarray, begins: np.ndarray, carried: int) -> np.ndarray:
+        running = np.cumsum(numbers)
+        bases = np.concatenate([[-carried], (running - numbers)[begins]])
+        return running - bases[np.cumsum(begins)]
+
+
+def _ranges(df: DataFrame, keys: list[str], order: list[str], descending: bool) -> DataFrame:
+    """The rows in sorted ranges, each row with a digest of its place. Filters and columns stay below this one shuffle."""
+    by = [*_sorted(keys, False), *_sorted(order, descending)]
+    number = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.withColumn(_RANGE, F.xxhash64(*keys, *order)).repartitionByRange(number, *by)
+    return dealt.sortWithinPartitions(*by)
+
+
+def _first_ranges(begins: np.ndarray, seen: int, digest: int) -> pa.Array:
+    """The range's name for rows of its first key, null for all others."""
+    own = seen + np.cumsum(begins) <= 1
+    return pa.array(np.full(len(begins), digest), mask=~own)
 
 
-def running_sum(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str,
-                bucket: Column, descending: bool = False) -> DataFrame:
-    """Add ``out``: the sum of ``value`` over the key's rows up to and including this one."""
-    rows = df.withColumns({_BUCKET: bucket, _VALUE: value})
-    across = Window.partitionBy(*keys).orderBy(*_ordered([_BUCKET], descending)).rowsBetween(
-        Window.unboundedPreceding, -1)
-    carried = (
-        rows.groupBy(*keys, _BUCKET).agg(F.sum(_VALUE).alias("_total"))
-        .select(*keys, _BUCKET, F.sum("_total").over(across).alias(_VALUE))
-    )
-    within = Window.partitionBy(*keys, _BUCKET).orderBy(F.col(_REAL), *_ordered(order, descending)).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    summed = _led_by(rows, carried).withColumn(out, F.sum(_VALUE).over(within))
-    return summed.filter(_REAL).drop(_BUCKET, _VALUE, _REAL)
+def _carried(ranges: DataFrame, keys: list[str], order: list[str], descending: bool, wanted: list[Column]) -> DataFrame:
+    """One row per range: what the earlier ranges hold of its first key. ``ranges`` has the first row of each, its last key and its state."""
+    first = F.struct(*[F.col(k).alias(k) for k in keys], F.lit(0).alias("_side"))
+    last = F.struct(*[F.col(f"_last_{k}").alias(k) for k in keys], F.lit(1).alias("_side"))
+    sides = ranges.withColumns({f"_by_{k}": F.col(k) for k in keys}).withColumn("_s", F.explode(F.array(first, last))).select(
+        *[F.col(f"_s.{k}").alias(k) for k in keys], F.col("_s._side").alias("_side"), *[f"_by_{k}" for k in keys], *order,
+        _RANGE, *[c for c in ranges.columns if c.startswith("_state")])
+    before = Window.partitionBy(*keys).orderBy(
+        *_sorted([f"_by_{k}" for k in keys], False), *_sorted(order, descending), "_side").rowsBetween(Window.unboundedPreceding, -1)
+    return sides.select("_side", F.col(_RANGE).alias("_of"), *[c.over(before).alias(f"_before_{i}") for i, c in enumerate(wanted)]).filter(
+        "_side = 0").drop("_side")
 
 
-def row_numbers(df: DataFrame, keys: list[str], order: list[str], out: str, bucket: Column,
-                descending: bool = False) -> DataFrame:
+def _ended(column: str) -> Column:
+    return F.when(F.col("_side") == 1, F.col(column))
+
+
+def running_sum(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str, descending: bool = False) -> DataFrame:
+    """Add ``out``: the sum of ``value`` (whole numbers or decimals) over the key's rows up to and including this one."""
+    kind = df.select(value).schema[0].dataType
+    scale = kind.scale if isinstance(kind, DecimalType) else 0
+    whole = (value.cast(DecimalType(38, scale)) * F.lit(10 ** scale)).cast("long") if scale else value.cast("long")
+    rows = _ranges(df.withColumn(_VALUE, whole), keys, order, descending)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, sums, seen, digest = _Keys(keys), _Sums(), 0, None
+        for batch in batches:
+            if batch.num_rows:
+                begins = where.begins(batch)
+                digest = batch.column(_RANGE)[0].as_py() if digest is None else digest
+                totals, counts = sums.add(batch.column(_VALUE), begins)
+                added = {"_total": pa.array(totals), "_count": pa.array(counts), "_of": _first_ranges(begins, seen, digest)}
+                seen += int(begins.sum())
+                yield pa.RecordBatch.from_arrays([*batch.columns, *added.values()], [*batch.schema.names, *added])
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, sums, head = _Keys(keys), _Sums(), None
+        for batch in batches:
+            if batch.num_rows:
+                head = batch.slice(0, 1) if head is None else head
+                sums.add(batch.column(_VALUE), where.begins(batch))
+                tail = batch.slice(batch.num_rows - 1)
+        if head is not None:
+            added = {**{f"_last_{k}": tail.column(k) for k in keys}, "_state_total": pa.array([sums.total]), "_state_count": pa.array([sums.count])}
+            yield pa.RecordBatch.from_arrays([*head.columns, *added.values()], [*head.schema.names, *added])
+
+    longs = [StructField(c, LongType()) for c in ("_total", "_count", "_of")]
+    here = rows.mapInArrow(summed, StructType([*rows.schema.fields, *longs]))
+    states = [StructField("_state_total", LongType()), StructField("_state_count", LongType())]
+    ranges = rows.mapInArrow(ends, StructType([*rows.schema.fields, *_last_keys(rows, keys), *states]))
+    carried = _carried(ranges, keys, order, descending, [F.sum(_ended("_state_total").cast("decimal(38,0)")), F.sum(_ended("_state_count"))])
+    total = F.col("_total").cast("decimal(38,0)") + F.coalesce("_before_0", F.lit(Decimal(0)))
+    result = (total * F.lit(Decimal(1).scaleb(-scale))).cast(DecimalType(min(kind.precision + 10, 38), scale)) if scale else total.cast("long")
+    return here.join(F.broadcast(carried), "_of", "left").withColumn(
+        out, F.when(F.col("_count") + F.coalesce("_before_1", F.lit(0)) > 0, result)).select(*df.columns, out)
+
+
+def _last_keys(rows: DataFrame, keys: list[str]) -> list[StructField]:
+    return [StructField(f"_last_{k}", rows.schema[k].dataType) for k in keys]
+
+
+def row_numbers(df: DataFrame, keys: list[str], order: list[str], out: str, descending: bool = False) -> DataFrame:
     """Add ``out``: the 1-based position of the row within its key."""
-    return running_sum(df, keys, order, F.lit(1).cast("bigint"), out, bucket, descending)
+    return running_sum(df, keys, order, F.lit(1).cast("bigint"), out, descending)
 
 
-def previous_value(df: DataFrame, keys: list[str], order: list[str], value: str, out: str,
-                   bucket: Column) -> DataFrame:
+def previous_value(df: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
     """Add ``out``: ``value`` of the key's preceding row, null on its first."""
-    rows = df.withColumns({_BUCKET: bucket, _VALUE: F.col(value)})
-    across = Window.partitionBy(*keys).orderBy(_BUCKET)
-    carried = (
-        rows.groupBy(*keys, _BUCKET).agg(F.max_by(_VALUE, F.struct(*order)).alias("_last"))
-        .select(*keys, _BUCKET, F.lag("_last").over(across).alias(_VALUE))
-    )
-    within = Window.partitionBy(*keys, _BUCKET).orderBy(_REAL, *order)
-    linked = _led_by(rows, carried).withColumn(out, F.lag(_VALUE).over(within))
-    return linked.filter(_REAL).drop(_BUCKET, _VALUE, _REAL)
+    rows = _ranges(df, keys, order, False)
+
+    def shifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, before, digest = _Keys(keys), None, None
+        for batch in batches:
+            if batch.num_rows:
+                begins, values, n = where.begins(batch), batch.column(value), batch.num_rows
+                at_start = np.zeros(n, dtype=bool)
+                if digest is None:
+                    digest, before, at_start[0] = batch.column(_RANGE)[0].as_py(), values.slice(0, 0), True
+                earlier = pa.concat_arrays([before if len(before) else pa.nulls(1, values.type), values.slice(0, n - 1)])
+                previous = pc.if_else(pa.array(begins), pa.scalar(None, values.type), earlier)
+                before = values.slice(n - 1)
+                added = {"_earlier": previous, "_of": pa.array(np.full(n, digest), mask=~at_start)}
+                yield pa.RecordBatch.from_arrays([*batch.columns, *added.values()], [*batch.schema.names, *added])
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = tail = None
+        for batch in batches:
+            if batch.num_rows:
+                head = batch.slice(0, 1) if head is None else head
+                tail = batch.slice(batch.num_rows - 1)
+        if head is not None:
+            added = {**{f"_last_{k}": tail.column(k) for k in keys}, "_state_value": tail.column(value)}
+            yield pa.RecordBatch.from_arrays([*head.columns, *added.values()], [*head.schema.names, *added])
+
+    kind = rows.schema[value].dataType
+    here = rows.mapInArrow(shifted, StructType([*rows.schema.fields, StructField("_earlier", kind), StructField("_of", LongType())]))
+    ranges = rows.mapInArrow(ends, StructType([*rows.schema.fields, *_last_keys(rows, keys), StructField("_state_value", kind)]))
+    held = F.when(F.col("_side") == 1, F.struct(F.col("_state_value").alias("v")))
+    carried = _carried(ranges, keys, order, False, [F.last(held, ignorenulls=True)])
+    return here.join(F.broadcast(carried), "_of", "left").withColumn(
+        out, F.coalesce("_earlier", F.col("_before_0.v"))).select(*df.columns, out)

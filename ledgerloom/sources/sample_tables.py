@@ -343,6 +343,12 @@ def audit_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def wallet_audit_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status changes with the wallet that pays."""
+    payers = wallet_transfers(spark, sf_dir).filter("source_wallet_id IS NOT NULL").select("transfer_id", F.col("source_wallet_id").alias("wallet_id"))
+    return audit_steps(spark, sf_dir).join(payers, "transfer_id")
+
+
 def pg_webhook_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw gateway callbacks, two per order.
 

@@ -1,12 +1,12 @@
-"""Bucketed ordered calculations agree with plain loops, also when one key holds most rows."""
+"""Ordered calculations agree with plain loops, also when one key holds most rows."""
 
 import datetime as dt
 import random
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.periods import day_of, hour_of
 from ledgerloom.operators.running import previous_value, row_numbers, running_sum
 
 SCHEMA = "k string, at timestamp_ntz, id int, v int"
@@ -39,14 +39,14 @@ def test_running_sum(spark):
         for row in group:
             total += row[3]
             expected[row[2]] = total
-    got = running_sum(spark.createDataFrame(rows, SCHEMA), ["k"], ["at", "id"], F.col("v"), "s", hour_of("at"))
+    got = running_sum(spark.createDataFrame(rows, SCHEMA), ["k"], ["at", "id"], F.col("v"), "s")
     assert {r.id: r.s for r in got.collect()} == expected
 
 
 def test_row_numbers_newest_first(spark):
     rows = _rows()
     expected = {r[2]: i + 1 for g in _by_key(rows).values() for i, r in enumerate(reversed(g))}
-    got = row_numbers(spark.createDataFrame(rows, SCHEMA), ["k"], ["at", "id"], "n", day_of("at"), descending=True)
+    got = row_numbers(spark.createDataFrame(rows, SCHEMA), ["k"], ["at", "id"], "n", descending=True)
     assert {r.id: r.n for r in got.collect()} == expected
 
 
@@ -58,13 +58,39 @@ def test_previous_value(spark):
         for row in group:
             expected[row[2]] = before
             before = row[3]
-    got = previous_value(spark.createDataFrame(rows, SCHEMA), ["k"], ["at", "id"], "v", "p", day_of("at"))
+    got = previous_value(spark.createDataFrame(rows, SCHEMA), ["k"], ["at", "id"], "v", "p")
     assert {r.id: r.p for r in got.collect()} == expected
 
 
-def test_no_window_spans_a_whole_key(spark):
-    df = spark.createDataFrame(_rows(), SCHEMA)
-    plan = running_sum(df, ["k"], ["at", "id"], F.col("v"), "s", day_of("at"))._jdf.queryExecution().toString()
-    windows = [line for line in plan[plan.index("== Physical Plan =="):].splitlines() if "+- Window" in line]
-    assert len(windows) == 2
-    assert sum("_bucket" in w.split("], [")[1] for w in windows) >= 1
+def test_one_key_in_one_instant_is_spread_over_all_tasks(spark):
+    at = dt.datetime(2024, 1, 1)
+    df = spark.range(20_000).select(F.lit("hot").alias("k"), F.lit(at).alias("at"), F.col("id").cast("int").alias("id"), F.lit(1).alias("v"))
+    got = running_sum(df, ["k"], ["at", "id"], F.col("v"), "s").withColumn("task", F.spark_partition_id())
+    assert got.filter("s <> id + 1").count() == 0
+    sizes = [r["count"] for r in got.groupBy("task").count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 10_000
+
+
+def test_rows_are_shuffled_once(spark, tmp_path):
+    spark.createDataFrame(_rows(), SCHEMA).write.parquet(str(tmp_path / "rows"))
+    df = spark.read.parquet(str(tmp_path / "rows"))
+    for got in (running_sum(df, ["k"], ["at", "id"], F.col("v"), "s"), previous_value(df, ["k"], ["at", "id"], "v", "p")):
+        got.collect()
+        plan = got._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan")[0]
+        assert plan.count("ReusedExchange") == 1
+        assert plan.count("FileScan") == 1
+
+
+def test_sums_of_decimals_and_nulls(spark):
+    rows = [("a", 1, None), ("a", 2, "0.10"), ("a", 3, None), ("a", 4, "-3.25"), (None, 1, "99999999999999.99"), (None, 2, "0.01"), ("b", 1, None)]
+    df = spark.createDataFrame(rows, "k string, i int, t string").withColumn("v", F.col("t").cast("decimal(18,2)"))
+    got = {(r.k, r.i): None if r.s is None else str(r.s) for r in running_sum(df, ["k"], ["i"], F.col("v"), "s").collect()}
+    assert got == {("a", 1): None, ("a", 2): "0.10", ("a", 3): "0.10", ("a", 4): "-3.15", (None, 1): "99999999999999.99",
+                   (None, 2): "100000000000000.00", ("b", 1): None}
+    assert running_sum(df.limit(0), ["k"], ["i"], F.col("v"), "s").collect() == []
+
+
+def test_a_sum_beyond_64_bits_is_refused(spark):
+    df = spark.range(3).select(F.lit("a").alias("k"), "id", F.lit(9_000_000_000_000_000_000).alias("v"))
+    with pytest.raises(Exception, match="64 bits|OVERFLOW"):
+        running_sum(df, ["k"], ["id"], F.col("v"), "s").collect()
