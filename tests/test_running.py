@@ -7,6 +7,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom.operators import running
 from ledgerloom.operators.running import previous_value, row_numbers, running_sum
 
 SCHEMA = "k string, at timestamp_ntz, id int, v int"
@@ -62,23 +63,29 @@ def test_previous_value(spark):
     assert {r.id: r.p for r in got.collect()} == expected
 
 
-def test_one_key_in_one_instant_is_spread_over_all_tasks(spark):
+def test_one_key_in_one_instant_is_spread_over_all_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(running, "fresh_dir", lambda *_: str(tmp_path / "ranges"))
     at = dt.datetime(2024, 1, 1)
     df = spark.range(20_000).select(F.lit("hot").alias("k"), F.lit(at).alias("at"), F.col("id").cast("int").alias("id"), F.lit(1).alias("v"))
-    got = running_sum(df, ["k"], ["at", "id"], F.col("v"), "s").withColumn("task", F.spark_partition_id())
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(setting, "false")  # this little data would go to one task
+    try:
+        got = running_sum(df, ["k"], ["at", "id"], F.col("v"), "s")
+    finally:
+        spark.conf.set(setting, "true")
     assert got.filter("s <> id + 1").count() == 0
-    sizes = [r["count"] for r in got.groupBy("task").count().collect()]
+    ranges = spark.read.parquet(str(tmp_path / "ranges")).filter("NOT _end")
+    sizes = [r["count"] for r in ranges.groupBy(F.input_file_name()).count().collect()]
     assert len(sizes) == 4 and max(sizes) < 10_000
 
 
-def test_rows_are_shuffled_once(spark, tmp_path):
-    spark.createDataFrame(_rows(), SCHEMA).write.parquet(str(tmp_path / "rows"))
-    df = spark.read.parquet(str(tmp_path / "rows"))
+def test_rows_are_not_shuffled_again_when_the_ranges_are_linked(spark):
+    df = spark.createDataFrame(_rows(), SCHEMA)
     for got in (running_sum(df, ["k"], ["at", "id"], F.col("v"), "s"), previous_value(df, ["k"], ["at", "id"], "v", "p")):
-        got.collect()
-        plan = got._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan")[0]
-        assert plan.count("ReusedExchange") == 1
-        assert plan.count("FileScan") == 1
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        rows_side, ranges_side = plan.split("BroadcastExchange")
+        assert "BroadcastHashJoin" in rows_side and "Exchange" not in rows_side and "Sort" not in rows_side
+        assert "IsNotNull(_end), EqualTo(_end,true)" in ranges_side
 
 
 def test_sums_of_decimals_and_nulls(spark):
