@@ -165,7 +165,7 @@ SELECT k||'-'||n AS webhook_id,
  amount, 'CF'||k AS cf_payment_id, 'message '||(k%9) AS payment_message, 'B'||k AS bank_reference,
  (k+n)%97=0 AS broken
 FROM (SELECT o_orderkey AS k, o_orderstatus AS s, CAST(o_totalprice AS DECIMAL(18,2)) AS amount,
-  o_orderdate + (o_orderkey%24) * INTERVAL '1' HOUR AS t FROM orders), (SELECT unnest([0,1]) AS n)""",
+  o_orderdate + (o_orderkey%24) * INTERVAL '1' HOUR AS t FROM orders), (SELECT unnest([0,1,2]) AS n)""",
     "pg_webhooks": """
 SELECT webhook_id, event_type, event_time, order_id, amount, cf_payment_id, payment_message, bank_reference, error_code, error_description
 FROM pg_webhooks_all WHERE NOT broken""",
@@ -177,7 +177,7 @@ SELECT k||'-'||n AS webhook_id,
  CASE k%3 WHEN 0 THEN 'PAYOUT-T'||k WHEN 1 THEN 'T'||k ELSE 'NONE'||k END AS transfer_ref,
  'PO'||k AS cf_payout_id, amount, 'U'||k AS bank_reference, 'reason '||(k%4) AS failure_reason
 FROM (SELECT o_orderkey AS k, o_orderstatus AS s, CAST(o_totalprice AS DECIMAL(18,2)) AS amount,
-  o_orderdate + (o_orderkey%24) * INTERVAL '1' HOUR AS t FROM orders), (SELECT unnest([0,1]) AS n)""",
+  o_orderdate + (o_orderkey%24) * INTERVAL '1' HOUR AS t FROM orders), (SELECT unnest([0,1,2]) AS n)""",
     "settlement_invoices": """
 SELECT 'INV'||l_orderkey||'-'||l_linenumber||'-'||l_partkey||'-'||l_suppkey AS invoice_id, 'PLATFORM' AS payer_party_id,
  'S'||l_suppkey AS payee_party_id, CASE l_suppkey%3 WHEN 0 THEN 'NET_7' WHEN 1 THEN 'NET_15' ELSE 'NET_30' END AS payment_cycle,
@@ -213,10 +213,10 @@ SELECT ref, CAST(net_payable - half AS DECIMAL(24,2)), due_date FROM (SELECT *,
 WHERE k%7<>0 AND k%4=0 AND k%5<>0 AND k%11<>0""",
     "refund_requests": """
 SELECT 'R-'||k||'-'||n AS refund_id, 'PT'||k AS transaction_id,
- CAST(amount * CAST(CASE WHEN k%4=0 THEN 0.30 ELSE 0.60 END AS DECIMAL(4,2)) AS DECIMAL(18,2)) AS refund_amount,
+ CAST(amount * CAST(CASE WHEN k%4=0 THEN 0.30 WHEN n=2 THEN 0.40 ELSE 0.60 END AS DECIMAL(4,2)) AS DECIMAL(18,2)) AS refund_amount,
  t + ((k%70)*3 + n) * INTERVAL '1' DAY AS requested_at
 FROM (SELECT o_orderkey AS k, CAST(o_totalprice AS DECIMAL(18,2)) AS amount,
-  o_orderdate + (o_orderkey%24) * INTERVAL '1' HOUR AS t FROM orders), (SELECT unnest([0,1]) AS n)""",
+  o_orderdate + (o_orderkey%24) * INTERVAL '1' HOUR AS t FROM orders), (SELECT unnest([0,1,2]) AS n)""",
 }
 
 

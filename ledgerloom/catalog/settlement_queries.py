@@ -55,16 +55,20 @@ FROM settlement_invoices WHERE status='APPROVED'"""),
 FROM (SELECT *, 'UTR-'||batch_id AS bank_ref FROM settled WHERE status='READY') s FULL JOIN
  (SELECT bank_ref, CAST(sum(amount) AS DECIMAL(24,2)) AS credited, max(value_date) AS value_date, count(*) AS credits
   FROM bank_entries GROUP BY 1) c ON s.bank_ref = c.bank_ref"""),
-    "refund_eligibility": with_tables("""SELECT refund_id, transaction_id, refund_amount, payment_method,
- reason IS NULL AS eligible, reason FROM (SELECT r.refund_id, r.transaction_id, r.refund_amount, p.payment_method,
- CASE WHEN p.transaction_id IS NULL THEN 'not paid'
-  WHEN (p.payment_method='CARD' AND date_diff('day', p.updated_at, r.requested_at) > 180)
-   OR (p.payment_method='UPI' AND date_diff('day', p.updated_at, r.requested_at) > 30) THEN 'window over'
-  WHEN sum(CASE WHEN (p.payment_method='CARD' AND date_diff('day', p.updated_at, r.requested_at) > 180)
-    OR (p.payment_method='UPI' AND date_diff('day', p.updated_at, r.requested_at) > 30) THEN 0 ELSE r.refund_amount END)
-   OVER (PARTITION BY r.transaction_id ORDER BY r.requested_at, r.refund_id ROWS UNBOUNDED PRECEDING) > p.amount
-  THEN 'exceeds payment' END AS reason
-FROM refund_requests r LEFT JOIN (SELECT * FROM payment_transactions WHERE status='SUCCESS') p ON r.transaction_id=p.transaction_id)"""),
+    "refund_eligibility": with_tables("""SELECT r.refund_id, r.transaction_id, r.refund_amount, f.payment_method,
+ f.refund_id IS NOT NULL AND f.granted AS eligible,
+ CASE WHEN f.refund_id IS NULL THEN 'not paid' WHEN f.late THEN 'window over' WHEN NOT f.granted THEN 'exceeds payment' END AS reason
+FROM refund_requests r LEFT JOIN (WITH RECURSIVE asked AS (SELECT r.*, p.payment_method, p.amount AS paid,
+  coalesce((p.payment_method='CARD' AND date_diff('day', p.updated_at, r.requested_at) > 180)
+   OR (p.payment_method='UPI' AND date_diff('day', p.updated_at, r.requested_at) > 30), false) AS late,
+  row_number() OVER (PARTITION BY r.transaction_id ORDER BY r.requested_at, r.refund_id) AS turn
+  FROM refund_requests r JOIN payment_transactions p ON r.transaction_id=p.transaction_id AND p.status='SUCCESS'),
+ turns AS (SELECT *, NOT late AND refund_amount <= paid AS granted,
+   paid - CASE WHEN NOT late AND refund_amount <= paid THEN refund_amount ELSE 0 END AS rest FROM asked WHERE turn = 1
+  UNION ALL SELECT a.*, NOT a.late AND a.refund_amount <= t.rest,
+   t.rest - CASE WHEN NOT a.late AND a.refund_amount <= t.rest THEN a.refund_amount ELSE 0 END
+  FROM asked a JOIN turns t ON a.transaction_id = t.transaction_id AND a.turn = t.turn + 1)
+ SELECT * FROM turns) f ON r.refund_id = f.refund_id"""),
     "dunning_state": f"""SELECT subscription_id, cycle_start, failures, state,
  CASE WHEN state='RETRYING' THEN ff + CASE failures WHEN 1 THEN 24 WHEN 2 THEN 48 ELSE 72 END * INTERVAL '1' HOUR END AS next_retry_at,
  CASE WHEN ok = 0 AND failures > 3 THEN lf END AS held_at

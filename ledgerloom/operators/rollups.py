@@ -14,6 +14,7 @@ from ledgerloom.schemas import AVERAGE, TOTAL
 SUBJECT_KEYS = {"customer": ["customer_id"], "org": ["org_id", "division_id"]}
 PERIOD_KEYS = {"hour": ["txn_hour"], "day": ["txn_date"], "month": ["txn_year", "txn_month"]}
 PARTY_KEYS = ["counterparty_id", "transfer_type", "status"]
+LABELS = ["counterparty_name", "counterparty_type"]
 MEASURES = ["txn_count", "total_amount", "total_fees", "total_net_amount", "min_amount", "max_amount", "avg_amount"]
 
 
@@ -39,16 +40,39 @@ def rollup(facts: DataFrame, subject: str, period: str, start=None, end=None) ->
     return _summarise(in_range(facts, start, end), subject, period)
 
 
+def _labelled(rows: DataFrame, keys: list[str], measures: list[Column]) -> DataFrame:
+    """Groups with their measures and the greatest name and type of their counterparty, without sorting.
+
+    A greatest text can only be kept by a sorted aggregation. But a counterparty nearly always has one name and
+    one type: then grouping by them as well, which hashes, gives the same groups. Only the groups of counterparties that
+    have several, far fewer rows than there were, are merged by the greatest.
+    """
+    pairs = rows.groupBy(*keys, *LABELS).agg(*measures)
+    # From the rows, not the groups: this reads three columns and shuffles a row per task and label.
+    several = rows.select("counterparty_id", *LABELS).distinct().groupBy("counterparty_id").count().filter("count > 1")
+    merged = pairs.join(several, "counterparty_id", "left_semi").groupBy(*keys).agg(
+        *[F.max(c).alias(c) for c in LABELS], *_sums_of_sums())
+    columns = [*keys, *LABELS, *MEASURES]
+    return pairs.join(several, "counterparty_id", "left_anti").select(*columns).unionByName(merged.select(*columns))
+
+
+def _sums_of_sums() -> list[Column]:
+    return [
+        F.sum("txn_count").alias("txn_count"),
+        *[F.sum(c).cast(TOTAL).alias(c) for c in ("total_amount", "total_fees", "total_net_amount")],
+        F.min("min_amount").alias("min_amount"),
+        F.max("max_amount").alias("max_amount"),
+        (F.sum("total_amount").cast(TOTAL) / F.sum("txn_count")).cast(AVERAGE).alias("avg_amount"),
+    ]
+
+
 def _summarise(facts: DataFrame, subject: str, period: str) -> DataFrame:
     subject_columns = ["customer_id"] if subject == "customer" else ["org_id", empty_for_null("division_id")]
-    labels = ["counterparty_name", "counterparty_type"]
     base = facts.select(
         *subject_columns, *_period_columns(period, "txn_date"), *[empty_for_null(c) for c in PARTY_KEYS],
-        *labels, "amount", "fees", "net_amount",
+        *LABELS, "amount", "fees", "net_amount",
     )
-    keys = grain_keys(subject, period)
-    return base.groupBy(*keys).agg(
-        *[F.max(c).alias(c) for c in labels],
+    return _labelled(base, grain_keys(subject, period), [
         F.count(F.lit(1)).alias("txn_count"),
         F.sum("amount").cast(TOTAL).alias("total_amount"),
         F.sum("fees").cast(TOTAL).alias("total_fees"),
@@ -56,7 +80,7 @@ def _summarise(facts: DataFrame, subject: str, period: str) -> DataFrame:
         F.min("amount").cast(TOTAL).alias("min_amount"),
         F.max("amount").cast(TOTAL).alias("max_amount"),
         F.avg("amount").cast(AVERAGE).alias("avg_amount"),
-    )
+    ])
 
 
 def daily_rollup(facts: DataFrame, subject: str, run_date=None) -> DataFrame:
@@ -85,15 +109,7 @@ def month_from_days(daily: DataFrame, subject: str) -> DataFrame:
     months = daily.withColumns({
         "txn_year": F.year("txn_date").cast("smallint"), "txn_month": F.month("txn_date").cast("smallint"),
     })
-    return months.groupBy(*grain_keys(subject, "month")).agg(
-        F.max("counterparty_name").alias("counterparty_name"),
-        F.max("counterparty_type").alias("counterparty_type"),
-        F.sum("txn_count").alias("txn_count"),
-        *[F.sum(c).cast(TOTAL).alias(c) for c in ("total_amount", "total_fees", "total_net_amount")],
-        F.min("min_amount").alias("min_amount"),
-        F.max("max_amount").alias("max_amount"),
-        (F.sum("total_amount").cast(TOTAL) / F.sum("txn_count")).cast(AVERAGE).alias("avg_amount"),
-    )
+    return _labelled(months, grain_keys(subject, "month"), _sums_of_sums())
 
 
 def incremental_hours(facts: DataFrame, subject: str, old_mark, new_mark, lookback_hours: int = 0) -> DataFrame:

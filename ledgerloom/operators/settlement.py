@@ -5,16 +5,24 @@ All of this is *spec*: the requirements describe it, no earlier code does.
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
 from decimal import Decimal
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from ledgerloom.functions.periods import ts_lit
 from ledgerloom.plans.cubes import rate
 from ledgerloom.schemas import TOTAL
 
+# Workers receive these functions themselves, so they need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Fixed values.
 CYCLE_DAYS = {"NET_7": 7, "NET_15": 15, "NET_30": 30}
 GST_ON_COMMISSION = Decimal("0.18")
@@ -99,11 +107,27 @@ def reconcile(settlements: DataFrame, bank_entries: DataFrame) -> DataFrame:
                        status.alias("reconciliation"), late.alias("delayed"))
 
 
+def _in_turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Take each payment's requests in their order; one that fits what is left is granted and lowers it."""
+    payment, left = None, 0
+    for batch in batches:
+        granted = []
+        for key, paid, asked in zip(*(batch.column(c).to_pylist() for c in ("_turn", "_paid", "_asked"))):
+            if key != payment:
+                payment, left = key, paid
+            fits = asked is not None and left is not None and asked <= left
+            left = left - asked if fits else left
+            granted.append(fits)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(granted, pa.bool_())], [*batch.schema.names, "_granted"])
+
+
 def refund_eligibility(refunds: DataFrame, payments: DataFrame) -> DataFrame:
     """Whether each refund request is inside its method's window and still fits the paid amount.
 
-    Requests of a payment count in the order in which they were made; those outside the
-    window do not count. Methods without a configured window have no time limit.
+    Requests of a payment count in the order in which they were made. One that is refused, for its time or its amount, uses
+    nothing up. Methods without a configured window have no time limit. Each request depends on those before
+    it, so a payment's requests are read in order by one task, which holds only the amount that is left;
+    requests without a payment are spread.
     """
     paid = payments.filter(F.col("status") == "SUCCESS").select(
         "transaction_id", "payment_method", F.col("amount").cast(TOTAL).alias("paid_amount"),
@@ -111,17 +135,21 @@ def refund_eligibility(refunds: DataFrame, payments: DataFrame) -> DataFrame:
     days = F.date_diff(F.to_date("requested_at"), F.to_date("paid_at"))
     window = _choose("payment_method", REFUND_DAYS, "int")
     joined = refunds.join(paid, "transaction_id", "left")
-    in_window = window.isNull() | (days <= window)
-    so_far = Window.partitionBy("transaction_id").orderBy("requested_at", "refund_id").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    asked = F.sum(F.when(F.coalesce(in_window, F.lit(True)), F.col("refund_amount")).otherwise(0)).over(so_far)
-    joined = joined.withColumn("asked", asked)
-    fits = F.col("asked") <= F.col("paid_amount")
+    in_window = F.coalesce(window.isNull() | (days <= window), F.lit(True))
+    cents = F.lit(100)
+    counted = F.when(in_window, (F.coalesce("refund_amount", F.lit(0)).cast(TOTAL) * cents).cast("long"))
+    turns = joined.select(
+        "refund_id", "transaction_id", "refund_amount", "payment_method", "paid_at", "requested_at", in_window.alias("_in_window"),
+        F.when(F.col("paid_at").isNotNull(), F.col("transaction_id")).otherwise(F.col("refund_id")).alias("_turn"),
+        (F.col("paid_amount") * cents).cast("long").alias("_paid"), counted.alias("_asked"))
+    ordered = turns.repartition("_turn").sortWithinPartitions("_turn", "requested_at", "refund_id")
+    granted = ordered.mapInArrow(_in_turn, StructType([*ordered.schema.fields, StructField("_granted", BooleanType())]))
     reason = (
-        F.when(F.col("paid_at").isNull(), "not paid").when(~in_window, "window over").when(~fits, "exceeds payment")
+        F.when(F.col("paid_at").isNull(), "not paid").when(~F.col("_in_window"), "window over")
+        .when(~F.col("_granted"), "exceeds payment")
     )
-    return joined.select("refund_id", "transaction_id", "refund_amount", "payment_method",
-                         reason.isNull().alias("eligible"), reason.alias("reason"))
+    return granted.select("refund_id", "transaction_id", "refund_amount", "payment_method",
+                          reason.isNull().alias("eligible"), reason.alias("reason"))
 
 
 def dunning_state(attempts: DataFrame, as_of) -> DataFrame:

@@ -464,14 +464,14 @@ def bank_entries(settlements: DataFrame) -> DataFrame:
 def refund_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _order_columns()
     key = o["key"]
-    share = F.when(key % 4 == 0, F.lit("0.30")).otherwise(F.lit("0.60")).cast("decimal(4,2)")
     rows = table(spark, sf_dir, "orders").select(
-        key.alias("k"), o["when"].alias("t"), (o["amount"] * share).cast("decimal(18,2)").alias("refund_amount"),
-        F.explode(F.array(F.lit(0), F.lit(1))).alias("n"))
+        key.alias("k"), o["when"].alias("t"), o["amount"].alias("amount"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("n"))
     k, n = F.col("k"), F.col("n")
+    # The third request fits most payments whose second is refused.
+    share = F.when(k % 4 == 0, F.lit("0.30")).when(n == 2, F.lit("0.40")).otherwise(F.lit("0.60")).cast("decimal(4,2)")
     return rows.select(
         F.concat_ws("-", F.lit("R"), k.cast("string"), n.cast("string")).alias("refund_id"),
-        _text("PT", k).alias("transaction_id"), "refund_amount",
+        _text("PT", k).alias("transaction_id"), (F.col("amount") * share).cast("decimal(18,2)").alias("refund_amount"),
         (F.col("t") + F.make_dt_interval(((k % 70) * 3 + n).cast("int"))).alias("requested_at"))
 
 

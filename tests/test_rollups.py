@@ -8,6 +8,7 @@ from ledgerloom.operators import rollups as r
 from ledgerloom.plans.jobs import weekly_report
 from ledgerloom.operators.upsert import merge_rows, replace_rows_in_range
 from ledgerloom.functions.periods import in_zone, ts_lit
+from ledgerloom.sources.facts import month_predicates
 
 
 def test_null_and_empty_grain_values_share_one_group(spark):
@@ -123,3 +124,32 @@ def test_range_filters_reach_the_scan_and_prune_months(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(txn_year_month" in scan
     assert "GreaterThanOrEqual(txn_date" in scan
     assert "description" not in scan
+
+
+def test_month_predicates_name_every_month_once():
+    assert month_predicates("2023-11-30 12:00:00", "2024-02-01") == [
+        f"txn_year_month = {m}" for m in (202311, 202312, 202401, 202402)]
+    assert month_predicates("2024-05-01", "2024-05-31 23:00:00") == ["txn_year_month = 202405"]
+
+
+def test_parties_with_several_labels_keep_the_greatest(spark):
+    day = "2024-03-05 10:00:00"
+    rows = [fact(day, "1.00", party="P", name="Ann"), fact(day, "2.50", party="P", name="Bob"), fact(day, "4.00", party="P", name=None),
+            fact(day, "1.00", party="Q", name="Zoe"), fact(day, "2.00", party="Q", name="Zoe"), fact(day, "3.00", party=None, name=None),
+            fact(day, "3.00", party=None, name="Eve", party_type="BANK_ACCOUNT"), fact("2024-03-06 10:00:00", party="P", name="Ann")]
+    got = {(str(d.txn_date), d.counterparty_id): (d.counterparty_name, d.counterparty_type, d.txn_count, str(d.total_amount),
+                                                  str(d.min_amount), str(d.max_amount), str(d.avg_amount))
+           for d in r.rollup(frame(spark, rows), "customer", "day").collect()}
+    assert got == {("2024-03-05", "P"): ("Bob", "WALLET", 3, "7.50", "1.00", "4.00", "2.500000"),
+                   ("2024-03-05", "Q"): ("Zoe", "WALLET", 2, "3.00", "1.00", "2.00", "1.500000"),
+                   ("2024-03-05", ""): ("Eve", "WALLET", 2, "6.00", "3.00", "3.00", "3.000000"),
+                   ("2024-03-06", "P"): ("Ann", "WALLET", 1, "10.00", "10.00", "10.00", "10.000000")}
+
+
+def test_a_rollup_does_not_sort_what_it_adds_up(spark, tmp_path):
+    rows = [fact(f"2024-03-0{1 + i % 5} 10:00:00", party=f"P{i % 7}", name=f"N{i % 7}") for i in range(200)]
+    frame(spark, rows).write.parquet(str(tmp_path / "facts"))
+    got = r.rollup(spark.read.parquet(str(tmp_path / "facts")), "customer", "day")
+    got.collect()
+    final = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "HashAggregate" in final and "SortAggregate" not in final and "Sort " not in final

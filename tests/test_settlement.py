@@ -52,3 +52,18 @@ def test_refund_windows(spark):
     got = {r.refund_id: r.reason for r in se.refund_eligibility(refunds, payments).collect()}
     assert got == {"r1": None, "r2": None, "r3": "window over", "r4": None, "r5": "exceeds payment",
                    "r6": "not paid", "r7": "not paid"}
+
+
+def test_refused_refunds_use_nothing_up(spark):
+    at = dt.datetime(2024, 1, 1)
+    payments = spark.createDataFrame([("P", "ACCOUNT_TRANSFER", "SUCCESS"), ("Q", "UPI", "SUCCESS")],
+                                     "transaction_id string, payment_method string, status string").selectExpr(
+        "*", "cast(100 as decimal(15,2)) AS amount", f"cast('{at}' as timestamp_ntz) AS updated_at")
+    ask = [("r1", "P", "60.00", 1), ("r2", "P", "60.00", 2), ("r3", "P", "40.00", 3), ("r4", "P", "0.01", 4), ("r5", "P", "0.00", 5),
+           ("r6", "Q", "90.00", 31), ("r7", "Q", "100.00", 2), ("r8", None, "1.00", 1), ("r9", "Q", None, 3)]
+    refunds = spark.createDataFrame(
+        [(i, t, a and Decimal(a), at + dt.timedelta(days=d)) for i, t, a, d in ask],
+        "refund_id string, transaction_id string, refund_amount decimal(18,2), requested_at timestamp_ntz")
+    got = {r.refund_id: r.reason for r in se.refund_eligibility(refunds, payments).collect()}
+    assert got == {"r1": None, "r2": "exceeds payment", "r3": None, "r4": "exceeds payment", "r5": None, "r6": "window over",
+                   "r7": None, "r8": "not paid", "r9": None}
