@@ -20,27 +20,26 @@ def _lookup(rows: DataFrame, reference: Column, targets: DataFrame, key: str, fo
         "_ref", "_target")
 
 
-def _by_directory(webhooks: DataFrame, records: DataFrame, keys: tuple[str, str], found: str) -> DataFrame:
+def _by_either(webhooks: DataFrame, records: DataFrame, keys: tuple[str, str], found: str) -> DataFrame:
     """Add ``found`` of the record that ``order_id`` refers to, by the first key, else by the second.
 
-    Both keys of every record form one directory, read once; where a reference stands under both, the first key wins.
+    Each key is unique among the records that have it. Both joins are on the same reference, so the webhooks are dealt once.
     """
-    entries = records.select(F.explode(F.array(*(
-        F.struct(F.col(key).alias("_target"), F.lit(rank).alias("rank"), F.col(found).alias("found"))
-        for rank, key in enumerate(keys)))).alias("e")).select("e.*").filter(F.col("_target").isNotNull())
-    directory = entries.groupBy("_target").agg(F.min(F.struct("rank", "found"))["found"].alias(found))
-    referring = webhooks.withColumn("_ref", spread_nulls("order_id", "webhook_id"))
-    return referring.join(directory, F.col("_ref") == F.col("_target"), "left").drop("_ref", "_target")
+    rows = webhooks.withColumn("_ref", spread_nulls("order_id", "webhook_id"))
+    for i, key in enumerate(keys):
+        side = records.filter(F.col(key).isNotNull()).select(F.col(key).alias("_target"), F.col(found).alias(f"_found_{i}"))
+        rows = rows.join(side, F.col("_ref") == F.col("_target"), "left").drop("_target")
+    return rows.withColumn(found, F.coalesce("_found_0", "_found_1")).drop("_ref", "_found_0", "_found_1")
 
 
 def match_pg_webhooks(webhooks: DataFrame, transfers: DataFrame) -> DataFrame:
     """Add ``transfer_id``: by idempotency key, else by the transfer's own id; null means a standalone payment."""
-    return _by_directory(webhooks, transfers, ("idempotency_key", "transfer_id"), "transfer_id")
+    return _by_either(webhooks, transfers, ("idempotency_key", "transfer_id"), "transfer_id")
 
 
 def match_standalone_webhooks(webhooks: DataFrame, payments: DataFrame) -> DataFrame:
     """Add ``transaction_id``: by order id, else by the gateway's order id."""
-    return _by_directory(webhooks, payments, ("order_id", "cf_order_id"), "transaction_id")
+    return _by_either(webhooks, payments, ("order_id", "cf_order_id"), "transaction_id")
 
 
 def match_payout_webhooks(webhooks: DataFrame, transfers: DataFrame) -> DataFrame:
@@ -85,23 +84,25 @@ def _failure_reason(event: Column, detail: Column) -> Column:
 def _apply(records: DataFrame, key: str, events: DataFrame, outcome: Column, terminal: tuple[str, ...]) -> DataFrame:
     """Final state per record: the first terminal outcome in event order, else the last other outcome.
 
-    Events are first reduced to their earliest and latest per record and
-    type, so repeated webhooks of one record never meet in one task. An event
-    without a readable time decides only when no other does.
+    An event without a readable time decides only when no other does. Events are sorted once, by
+    record for the join; the outcomes are folded in the order that the join leaves, so grouping by the record's key
+    alone needs no further sort or shuffle. A record with very many events is split by the join and
+    combined after it.
     """
     about = ("event_time", "webhook_id", "detail", "bank_reference", "cf_payment_id")
     timed = F.col("event_time").isNotNull()
-    reduced = events.filter(F.col(key).isNotNull()).groupBy(key, "event_type").agg(
-        F.min(F.struct((~timed).alias("untimed"), *about)).alias("first"),
-        F.max(F.struct(timed.alias("timed"), *about)).alias("last"), F.count(F.lit(1)).alias("n"))
-    seen = records.join(reduced, key, "left")
+    named = events.filter(F.col(key).isNotNull()).select(
+        F.col(key).alias("_record"), "event_type", F.struct((~timed).alias("untimed"), *about).alias("first"),
+        F.struct(timed.alias("timed"), *about).alias("last"))
+    seen = records.join(named, F.col(key) == F.col("_record"), "left")
     asked = seen.withColumn("outcome", F.when(F.col("event_type").isNotNull(), outcome))
     ends = F.col("outcome").isin(*terminal)
-    # The join has already placed the rows by record, so this needs no further shuffle.
-    decided = asked.groupBy(*records.columns).agg(
+    others = [c for c in records.columns if c != key]
+    decided = asked.groupBy(key).agg(
+        *[F.any_value(c).alias(c) for c in others],
         F.min(F.when(ends, F.struct("first", "outcome", "event_type"))).alias("final"),
         F.max(F.when(~ends, F.struct("last", "outcome", "event_type"))).alias("open"),
-        F.coalesce(F.sum("n"), F.lit(0)).alias("webhooks"))
+        F.count("_record").alias("webhooks"))
     was_terminal = F.col("status").isin(*terminal)
     has_final, has_open = F.col("final").isNotNull(), F.col("open").isNotNull()
     return decided.select(

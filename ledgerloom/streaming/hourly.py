@@ -52,7 +52,11 @@ def start_hourly(facts: DataFrame, subject: str, path: str, checkpoint: str, ava
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = configure(batch.sparkSession)
-        fold_batch(batch, subject, path, batch_id, spark.sparkContext.getLocalProperty("sql.streaming.queryId"))
+        facts_of_batch = batch.persist()
+        try:
+            fold_batch(facts_of_batch, subject, path, batch_id, spark.sparkContext.getLocalProperty("sql.streaming.queryId"))
+        finally:
+            facts_of_batch.unpersist()
 
     configure(facts.sparkSession)
     writer = facts.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", checkpoint)
