@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ledgerloom.catalog.oracle_tables import rate2, with_tables
 from ledgerloom.operators import rollups
-from ledgerloom.plans import cubes
+from ledgerloom.plans import cubes, jobs
 from ledgerloom.plans import semantic as sem
+from ledgerloom.session import fresh_dir
 from ledgerloom.sources import sample_tables as st
 
 
@@ -38,6 +40,24 @@ def _trend_from_rollup(s, d) -> DataFrame:
                             scope=sem.ALL_ORGS)
 
 
+def _changed_rollup(name: str):
+    """A rollup that is stored, changed twice (a month emptied; amounts doubled, one change run again) and read back."""
+
+    def run(s, d) -> DataFrame:
+        path = fresh_dir(s, "stored-rollup")
+        daily = org_daily(s, d)
+        jobs.rebuild_rollup(daily, name, path)
+        emptied = daily.filter("txn_date BETWEEN DATE '1996-02-01' AND DATE '1996-02-29'")
+        jobs.change_rollup(emptied, emptied.limit(0), name, path, 1)
+        before = daily.filter("txn_date BETWEEN DATE '1997-05-10' AND DATE '1997-06-02'")
+        after = before.withColumn("total_amount", (F.col("total_amount") * 2).cast("decimal(24,2)"))
+        for _ in range(2):
+            jobs.change_rollup(before, after, name, path, 2)
+        return jobs.read_rollup(s, path)
+
+    return run
+
+
 _ORG_MEASURES = ["total_transactions", "unique_counterparties", "total_amount", "total_net_amount", "total_fees",
                  "completed_amount", "avg_transaction_amount", "max_single_txn", "min_single_txn",
                  "total_amount_pct", "total_txn_pct", "success_rate", "failure_rate", "fee_rate"]
@@ -76,6 +96,7 @@ QUERIES = {
         customer_daily(s, d), cubes.customer_cube(), ["total_amount", "total_amount_pct", "total_txn_pct"],
         ["counterparty_id"]),
     **{name: _rollup(name) for name in sem.ROLLUPS},
+    **{f"changed_{name}": _changed_rollup(name) for name in ("org_weekly_trend", "org_party_monthly", "org_status_quarterly")},
 }
 
 _NAME = "coalesce(nullif(trim(counterparty_name),''), counterparty_id)"
@@ -201,3 +222,9 @@ FROM customer_daily GROUP BY 1"""),
     "cust_daily_detail": _rollup_sql("customer_daily", _d(
         "customer_id", "counterparty_id", "counterparty_name", "status", "transfer_type"), 3, "day"),
 }
+
+_CHANGED = """(SELECT * REPLACE (CASE WHEN txn_date BETWEEN DATE '1997-05-10' AND DATE '1997-06-02'
+ THEN CAST(total_amount * 2 AS DECIMAL(24,2)) ELSE total_amount END AS total_amount)
+FROM org_daily WHERE txn_date NOT BETWEEN DATE '1996-02-01' AND DATE '1996-02-29')"""
+for _name, _count, _grain in (("org_weekly_trend", 4, "week"), ("org_party_monthly", 5, "month"), ("org_status_quarterly", 2, "quarter")):
+    ORACLE[f"changed_{_name}"] = _rollup_sql(_CHANGED, _d(*sem.ROLLUPS[_name].dimensions), _count, _grain)

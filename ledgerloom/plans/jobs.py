@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerloom.domains import FIRST_MARK
 from ledgerloom.functions.periods import as_datetime, day_of, ts_lit
 from ledgerloom.operators import quality, rollups
-from ledgerloom.operators.upsert import read_if_present, replace_periods, replace_range
+from ledgerloom.operators.upsert import fold, read_if_present, replace_periods, replace_range
 from ledgerloom.plans import semantic
 from ledgerloom.sources import marks as mk
 
@@ -124,6 +124,48 @@ def rebuild_rollup(daily: DataFrame, name: str, path: str) -> None:
         refresh_rollup(daily, name, path, days["first"], days["last"])
 
 
+_ADDED = {"txn_count": "bigint", "total_amount": "decimal(24,2)", "total_net_amount": "decimal(24,2)", "total_fees": "decimal(24,2)"}
+
+
+def change_rollup(before: DataFrame, after: DataFrame, name: str, path: str, change: int) -> None:
+    """Bring a stored rollup up to date from the daily rows that were replaced and those that replaced them.
+
+    Stored measures are sums, so the old rows count negatively and the new ones positively; what is left of each group is
+    added to its stored row. Only partitions with such groups are read and written, whatever the rollup holds besides, and a
+    period that has lost its rows costs nothing of its own. A group without transactions left stays as a row of
+    zeros, which :func:`read_rollup` leaves out: each row remembers the last ``change`` (a number that
+    rises from one to the next) that it took in, so that a change that is run again counts once.
+    """
+    spec = semantic.ROLLUPS[name]
+    signed = after.unionByName(before.withColumns({c: (-F.col(c)).cast(kind) for c, kind in _ADDED.items()}))
+    delta = semantic.build_rollup(signed, name)
+    keys = [*spec.dimensions, "txn_period", "period_partition"]
+    moved = delta.filter(" OR ".join(f"{m} <> 0" for m in spec.measures)).withColumns({
+        "period_partition": semantic.partition_of(spec), "change": F.lit(change).cast("bigint")})
+
+    def combined(old: DataFrame, new: DataFrame) -> DataFrame:
+        kinds = dict(new.dtypes)
+        taken = F.max(F.when(~F.col("_new"), F.col("change"))).alias("_taken")
+        rows = old.withColumn("_new", F.lit(False)).unionByName(new.withColumn("_new", F.lit(True)))
+        stored = {m: F.coalesce(F.sum(F.when(~F.col("_new"), F.col(m))), F.lit(0)) for m in spec.measures}
+        added = {m: F.coalesce(F.sum(F.when(F.col("_new"), F.col(m))), F.lit(0)) for m in spec.measures}
+        grouped = rows.groupBy(*keys).agg(
+            F.max("change").alias("change"), taken, *[v.alias(f"_stored_{m}") for m, v in stored.items()],
+            *[v.alias(f"_added_{m}") for m, v in added.items()])
+        again = F.coalesce(F.col("_taken") >= change, F.lit(False))
+        return grouped.select(*keys, "change", *[
+            (F.col(f"_stored_{m}") + F.when(again, F.lit(0)).otherwise(F.col(f"_added_{m}"))).cast(kinds[m]).alias(m)
+            for m in spec.measures])
+
+    fold(moved, path, "period_partition", combined)
+
+
+def read_rollup(spark: SparkSession, path: str) -> DataFrame:
+    """A stored rollup as :func:`ledgerloom.plans.semantic.build_rollup` would build it now."""
+    stored = spark.read.option("mergeSchema", True).parquet(path)
+    return stored.filter("total_transactions <> 0").drop("period_partition", "change")
+
+
 def refresh_due(name: str, last_refresh, now) -> bool:
     """Whether a stored rollup is older than its refresh interval."""
     return as_datetime(now) - as_datetime(last_refresh) >= dt.timedelta(
