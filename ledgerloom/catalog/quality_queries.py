@@ -45,8 +45,15 @@ def _checks(spark: SparkSession, sf_dir: str) -> dict:
     }
 
 
+def _fact_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean, orgs = st.customer_facts(spark, sf_dir), st.org_facts(spark, sf_dir)
+    return q.fact_checks(flawed_customer_facts(spark, sf_dir), rollups.daily_rollup(clean, "customer", CHECKED_RUN), orgs,
+                         rollups.daily_rollup(orgs, "org", CHECKED_RUN), CHECKED_RUN)
+
+
 def _all_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return q.union_checks([build() for build in _checks(spark, sf_dir).values()])
+    alone = _checks(spark, sf_dir)
+    return q.union_checks([_fact_checks(spark, sf_dir), alone["duplicate_transfers"](), alone["stale_watermarks"]()])
 
 
 QUERIES = {
@@ -61,6 +68,7 @@ QUERIES = {
         flawed_customer_facts(s, d), rollups.daily_rollup(st.customer_facts(s, d), "customer")),
     "dq_stale_watermarks": lambda s, d: q.mark_ages(_marks_after_run(s, d), AS_OF),
     "dq_stale_check": lambda s, d: _checks(s, d)["stale_watermarks"](),
+    "dq_fact_checks": _fact_checks,
     "dq_report": lambda s, d: q.report(_all_checks(s, d)),
     "freshness": lambda s, d: q.freshness(_marks_after_run(s, d), AS_OF),
 }
@@ -137,3 +145,6 @@ FROM (SELECT list_filter([
     "freshness": f"""SELECT pipeline_name, hours_since_update,
  CASE WHEN hours_since_update IS NULL OR hours_since_update > 2.0 THEN 'WARN' ELSE 'OK' END AS level FROM {_AGES}""",
 }
+
+ORACLE["dq_fact_checks"] = " UNION ALL ".join(
+    f"SELECT * FROM ({ORACLE[name]})" for name in ("dq_null_customer", "dq_null_org", "dq_negative_amounts", "dq_summary_vs_raw"))

@@ -122,6 +122,45 @@ def summary_vs_raw(customer_facts: DataFrame, customer_daily: DataFrame, org_fac
         "raw_org_total", "summary_org_total", "org_diff", "tolerance"))
 
 
+def _numbers(facts: DataFrame, id_column: str, day: dt.date, today: dt.date) -> DataFrame:
+    """What the checks ask of a fact table, in one scan and one row."""
+    inside = (F.col("txn_date") >= ts_lit(day)) & (F.col("txn_date") < ts_lit(today))
+    return facts.agg(F.struct(
+        _count(F.col(id_column).isNull()).alias("nulls"), _count(F.col("amount") < 0).alias("negative"),
+        F.coalesce(F.sum(F.when(inside, F.col("amount"))).cast(TOTAL), F.lit(0).cast(TOTAL)).alias("raw")).alias("n"))
+
+
+def fact_checks(customer_facts: DataFrame, customer_daily: DataFrame, org_facts: DataFrame, org_daily: DataFrame, run_date) -> DataFrame:
+    """Null ids, negative amounts and the day's totals against the summaries: each table is read once for all four checks."""
+    today = as_datetime(run_date).date()
+    day = today - dt.timedelta(days=1)
+
+    def summed(daily: DataFrame) -> Column:
+        return daily.filter(F.col("txn_date") == F.lit(day)).agg(
+            F.coalesce(F.sum("total_amount").cast(TOTAL), F.lit(0).cast(TOTAL))).scalar()
+
+    numbers = _numbers(customer_facts, "customer_id", day, today).select(
+        F.col("n").alias("c"), _numbers(org_facts, "org_id", day, today).scalar().alias("o"),
+        summed(customer_daily).alias("c_summary"), summed(org_daily).alias("o_summary"))
+
+    def entry(name: str, failed: Column, *detail: Column) -> Column:
+        return F.struct(F.lit(name).alias("check_name"), F.when(failed, "FAIL").otherwise("PASS").alias("status"),
+                        F.to_json(F.struct(*detail)).alias("detail"), F.lit(None).cast("string").alias("error"))
+
+    c, o, tolerance = F.col("c"), F.col("o"), F.lit(TOLERANCE).cast("decimal(3,2)")
+    c_diff = F.abs(c["raw"] - F.col("c_summary")).cast(TOTAL)
+    o_diff = F.abs(o["raw"] - F.col("o_summary")).cast(TOTAL)
+    return numbers.select(F.inline(F.array(
+        entry("null_customer_ids", c["nulls"] > 0, c["nulls"].alias("null_customer_id_count")),
+        entry("null_org_ids", o["nulls"] > 0, o["nulls"].alias("null_org_id_count")),
+        entry("negative_amounts", c["negative"] + o["negative"] > 0, c["negative"].alias("customer_negative_amount_count"),
+              o["negative"].alias("org_negative_amount_count")),
+        entry("summary_vs_raw_totals", (c_diff > tolerance) | (o_diff > tolerance), F.lit(day.isoformat()).alias("date"),
+              c["raw"].alias("raw_customer_total"), F.col("c_summary").alias("summary_customer_total"), c_diff.alias("customer_diff"),
+              o["raw"].alias("raw_org_total"), F.col("o_summary").alias("summary_org_total"), o_diff.alias("org_diff"),
+              tolerance.alias("tolerance")))))
+
+
 def mark_ages(marks: DataFrame, as_of, limit_hours: float | dict[str, float] = 1.0) -> DataFrame:
     """Hours since each mark, never-run pipelines first; a limit may be given per pipeline."""
     micros = F.timestamp_diff("MICROSECOND", F.col("last_processed_at"), ts_lit(as_of))
