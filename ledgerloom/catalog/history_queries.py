@@ -11,6 +11,7 @@ from ledgerloom.operators import history as h
 from ledgerloom.operators import ledger as lg
 from ledgerloom.operators import paging
 from ledgerloom.operators import retention as rt
+from ledgerloom.session import fresh_dir
 from ledgerloom.sources import sample_tables as st
 
 AS_OF = "2001-08-01 12:00:00"
@@ -58,6 +59,22 @@ def _children(s, d) -> tuple[DataFrame, DataFrame]:
     return st.transfer_legs(s, d), st.audit_steps(s, d)
 
 
+def _purged_on_disk(s, d) -> DataFrame:
+    """Transfers, ledger and audit trail stored by year, purged twice, and read back."""
+    base = fresh_dir(s, "purge")
+    tables = {"wallet_transfers": (st.wallet_transfers(s, d), "initiated_at", "transfer_id"),
+              "wallet_transactions": (st.transfer_legs(s, d), "created_at", "transaction_id"),
+              "wallet_audit_logs": (st.audit_steps(s, d), "created_at", "audit_id")}
+    paths = {name: f"{base}/{name}" for name in tables}
+    for name, (rows, at, _) in tables.items():
+        rows.withColumn("year", F.year(at)).write.partitionBy("year").parquet(paths[name])
+    for _ in range(2):
+        rt.purge(s, paths, "year", _CUTOFF)
+    left = [s.read.parquet(paths[name]).select(F.lit(name).alias("table_name"), F.col(key).alias("id"), F.col(at).alias("at"))
+            for name, (_, at, key) in tables.items()]
+    return left[0].unionAll(left[1]).unionAll(left[2])
+
+
 _CUTOFF = rt.cutoff("2005-02-28 00:00:00", 9)
 
 QUERIES = {
@@ -119,6 +136,7 @@ QUERIES = {
         _children(s, d)[0], st.wallet_transfers(s, d), _CUTOFF).select("transaction_id"),
     "purge_expired": lambda s, d: rt.purge_counts(
         st.wallet_transfers(s, d), *_children(s, d), st.payment_transactions(s, d), _CUTOFF),
+    "purge_on_disk": _purged_on_disk,
     "purge_dry_run": lambda s, d: rt.dry_run(st.wallet_transfers(s, d), st.payment_transactions(s, d), _CUTOFF),
     "oldest_expired": lambda s, d: rt.oldest_expired(st.wallet_transfers(s, d), _CUTOFF),
 }
@@ -291,6 +309,12 @@ SELECT 'wallet_audit_logs' AS table_name, count(*) AS expired_rows FROM audit_st
 UNION ALL SELECT 'wallet_transactions', count(*) FROM transfer_legs WHERE transfer_id IN (SELECT transfer_id FROM gone)
 UNION ALL SELECT 'wallet_transfers', count(*) FROM gone
 UNION ALL SELECT 'payment_transactions', count(*) FROM payment_transactions WHERE initiated_at < {_CUT}"""),
+    "purge_on_disk": with_tables(f"""WITH gone AS (SELECT transfer_id FROM wallet_transfers WHERE initiated_at < {_CUT})
+SELECT 'wallet_transfers' AS table_name, transfer_id AS id, initiated_at AS at FROM wallet_transfers WHERE initiated_at >= {_CUT}
+UNION ALL SELECT 'wallet_transactions', transaction_id, created_at FROM transfer_legs
+ WHERE transfer_id IS NULL OR transfer_id NOT IN (SELECT transfer_id FROM gone)
+UNION ALL SELECT 'wallet_audit_logs', audit_id, created_at FROM audit_steps
+ WHERE transfer_id IS NULL OR transfer_id NOT IN (SELECT transfer_id FROM gone)"""),
     "purge_dry_run": with_tables(f"""SELECT 'wallet_transfers' AS table_name, count(*) AS eligible_rows FROM wallet_transfers
 WHERE initiated_at < {_CUT} UNION ALL SELECT 'payment_transactions', count(*) FROM payment_transactions WHERE initiated_at < {_CUT}"""),
     "oldest_expired": with_tables(f"""SELECT transfer_id, initiated_at FROM wallet_transfers WHERE initiated_at < {_CUT}

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ledgerloom.catalog.oracle_tables import summary, with_tables
 from ledgerloom.operators import rollups
-from ledgerloom.operators.upsert import merge_rows, replace_rows_in_range
+from ledgerloom.operators.upsert import merge_rows, replace_rows_in_range, upsert
 from ledgerloom.functions.periods import ts_lit
+from ledgerloom.session import fresh_dir
 from ledgerloom.sources import marks as mk
 from ledgerloom.sources import sample_tables as st
 
@@ -45,6 +46,18 @@ def _upsert_corrected_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_rows(old, new, rollups.grain_keys("customer", "day"))
 
 
+def _upsert_on_disk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same upsert into a table stored by month, run twice and read back."""
+    facts = st.customer_facts(spark, sf_dir)
+    path = f"{fresh_dir(spark, 'upsert')}/summary"
+    month = (F.year("txn_date") * 100 + F.month("txn_date")).alias("month")
+    old = rollups.rollup(facts.filter(F.col("status") != "COMPLETED"), "customer", "day").select("*", month)
+    new = rollups.rollup(facts, "customer", "day", "1998-01-01").select("*", month)
+    for rows in (old, new, new):
+        upsert(rows, path, rollups.grain_keys("customer", "day"), "month")
+    return spark.read.parquet(path).drop("month")
+
+
 def _progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = st.activity_facts(spark, sf_dir)
     starts = {"customer_hourly_rollup": "2024-01-10 00:00:00", "org_hourly_rollup": "2024-01-20 12:00:00",
@@ -87,6 +100,7 @@ QUERIES = {
     "org_hourly_two_runs": lambda s, d: _split_run(s, d, "org"),
     "customer_hourly_replace_partial": _split_run_partial,
     "upsert_daily_summary": _upsert_corrected_days,
+    "upsert_on_disk": _upsert_on_disk,
     "marks_after_run": _marks_after_run,
     "stored_marks": lambda s, d: mk.marks_for(
         mk.advance_marks(mk.initial_marks(s, ("customer_hourly_rollup",)), _progress(s, d), RUN_AT)),
@@ -134,3 +148,5 @@ FROM seeds s LEFT JOIN progress p ON s.pipeline_name = p.pipeline_name""",
 SELECT s.pipeline_name, coalesce(p.new_mark, TIMESTAMP '2020-01-01') AS last_processed_at
 FROM seeds s LEFT JOIN progress p ON s.pipeline_name = p.pipeline_name AND p.pipeline_name = 'customer_hourly_rollup'""",
 }
+
+ORACLE["upsert_on_disk"] = ORACLE["upsert_daily_summary"]
