@@ -2,9 +2,10 @@
 
 A notice of n characters may differ by a tenth of them. Cut into one piece more than
 edits are allowed, at least one piece stands unchanged (pigeonhole), so an automaton over all pieces
-finds every place where a notice can be. Only those places are given to the regex library's
-bounded-error matching, which verifies the edits and gives the span. Texts are read
-once, one document at a time, without a shuffle.
+finds every place where a notice can be. Only a window around each of them is given to the regex library's
+bounded-error matching, which verifies the edits and gives the best span. Of places that overlap, the one with the fewest edits stays
+(then the longest, then the first). Texts are read once, one document at a time, without a shuffle; time grows
+with the length of a text, whatever is in it.
 
 Defined results: null text is empty; texts without phrases have null word positions and an empty label list;
 rows with the same id are separate rows; an empty table gives no rows. Only the id and text
@@ -14,6 +15,7 @@ columns are read.
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections.abc import Iterator
 from functools import cache
 
@@ -68,35 +70,45 @@ def _fuzzy(notice: str) -> regex.Pattern:
     return regex.compile(rf"(?b)(?<!\S)(?:{regex.escape(notice, special_only=True)}){{e<={len(notice) // EDIT_SHARE}}}(?!\S)")
 
 
+def _apart(found: list[tuple[str, int, int, int]]) -> list[tuple[str, int, int, int]]:
+    """Places of which no two overlap: the one with the fewest edits goes first, then the longest, the first, the notice in order."""
+    taken: list[tuple[int, int]] = []
+    kept = []
+    for place in sorted(found, key=lambda f: (f[3], f[1] - f[2], f[1], f[0])):
+        span = place[1], place[2]
+        at = bisect(taken, span)
+        if (at == 0 or taken[at - 1][1] <= span[0]) and (at == len(taken) or span[1] <= taken[at][0]):
+            taken.insert(at, span)
+            kept.append(place)
+    return sorted(kept, key=lambda f: f[1])
+
+
 def fuzzy_notices(line: str, notices: tuple[str, ...] = tuple(NOTICES)) -> list[tuple[str, int, int, int]]:
-    """(notice, start, stop, edits) of all verified places in a line of words joined by one space."""
-    windows: dict[str, list[list[int]]] = {}
+    """(notice, start, stop, edits) of the verified places in a line of words joined by one space.
+
+    Each seed is searched in a window of its own, as long as its notice with all edits on either side and cut to whole words, so
+    a better place near by hides no other one, and the time is in proportion to the number of seeds.
+    """
+    found = set()
+    tried: dict[str, tuple[int, set[int]]] = {notice: (len(notice) // EDIT_SHARE, set()) for notice in notices}
     for end, (length, uses) in _automaton(notices).iter(line):
         for notice, offset in uses:
-            edits = len(notice) // EDIT_SHARE
+            edits, starts = tried[notice]
             start = end - length + 1 - offset
-            window = [max(0, start - edits), min(len(line), start + len(notice) + edits)]
-            mine = windows.setdefault(notice, [])
-            if mine and window[0] <= mine[-1][1]:
-                mine[-1][1] = max(mine[-1][1], window[1])
-            else:
-                mine.append(window)
-    found = []
-    for notice, places in windows.items():
-        for start, stop in places:
-            for match in _fuzzy(notice).finditer(line, start, stop):
-                found.append((notice, match.start(), match.end(), sum(match.fuzzy_counts)))
-    best: list[tuple[str, int, int, int]] = []
-    reach = 0
-    # Of notices that overlap, the one with the fewest edits (then the longest) names the place.
-    for place in sorted(found, key=lambda f: (f[1], f[2])):
-        if best and place[1] < reach:
-            if (place[3], place[1] - place[2]) < (best[-1][3], best[-1][1] - best[-1][2]):
-                best[-1] = place
-        else:
-            best.append(place)
-        reach = max(reach, place[2]) if place[1] < reach else place[2]
-    return best
+            if start in starts:  # another piece of the same place
+                continue
+            starts.add(start)
+            low, high = max(0, start - edits), min(len(line), start + len(notice) + edits)
+            if low > 0 and line[low - 1] != " ":
+                low = line.find(" ", low, high) + 1 or high
+            if high < len(line) and line[high] != " ":
+                high = max(low, line.rfind(" ", low, high))
+            if high - low < len(notice) - edits:
+                continue
+            match = _fuzzy(notice).search(line[low:high])
+            if match:
+                found.add((notice, low + match.start(), low + match.end(), sum(match.fuzzy_counts)))
+    return _apart(list(found))
 
 
 def scan(words: list[str]) -> tuple[list[tuple[str, int]], list[tuple[str, int, int, int]], float]:
@@ -113,8 +125,10 @@ def scan(words: list[str]) -> tuple[list[tuple[str, int]], list[tuple[str, int,
             base.append((phrase, words_before))
             at = padded.find(f" {phrase} ", at + 1)
     notices, best = [], 1.0 if base else 0.0
+    first, counted = 0, 0
     for notice, start, stop, edits in fuzzy_notices(line):
-        first = line.count(" ", 0, start)
+        first += line.count(" ", counted, start)
+        counted = start
         notices.append((NOTICES[notice], first, first + line.count(" ", start, stop), edits))
         best = max(best, 1 - edits / len(notice))
     return base, notices, best
