@@ -1,4 +1,4 @@
-"""Find personal data: rules, a gazetteer and context vote, and a span classifier learns from the votes.
+"""Find personal data and secrets: rules, a gazetteer and context vote, and a span classifier learns from the votes.
 
 One pass over the texts finds candidate spans. Base spans are certain. Each candidate, base or
 not, gets three votes (for, against, none): of a strict pattern, of a gazetteer and of the words
@@ -9,7 +9,8 @@ It is fitted on the distinct (kind, votes, features) with their counts over all
 of them than its share of the bound, on a priority sample, which keeps the frequent ones and weights the others so that counts stay right on average. Texts are read once and never shuffled.
 
 Defined results: null text is empty; texts without spans have zero counts and empty lists; rows with the same id are
-separate rows; an empty table gives no rows. Only the id and text columns are read.
+separate rows; an empty table gives no rows. Only the id and text columns are read. Secrets (keys in a provider's format, private keys,
+values assigned to a word like password or token) may overlap base spans, as a key may hold digits that are a card number.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.text import saved
 
-KINDS = ("email", "ip", "card", "phone", "name", "iban")
+KINDS = ("email", "ip", "card", "phone", "name", "iban", "secret")
 BASE_KINDS = KINDS[:4]
 MAX_TRAINING_SPANS = 20_000
 THRESHOLD = 0.5
@@ -44,6 +45,21 @@ _WRITTEN = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?[\[(]at[
 _NAME = re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sr|Sra|Señor|Señora|Monsieur|Madame)\.?\x20([A-Z][a-z]{1,30}(?:\x20[A-Z][a-z]{1,30})?)\b")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _NEAR = re.compile(r"[^\W\d_]+")
+_ASSIGNMENT = re.compile(r"[=:](?=[\x20\t]{0,3}[\"'`]?[^\s\"'`<>,;]{6})")
+_VALUE = re.compile(r"[\x20\t]{0,3}[\"'`]?([^\s\"'`<>,;]+)")
+_SECRET_NAME = re.compile(r"(?:passw(?:or)?d|passphrase|passwort|contraseña|mot de passe|pwd|secret|token|(?:api|access|private|auth)[_\x20-]?key|credential)s?"
+                          r"[\"'`]?[\x20\t]{0,3}\Z", re.IGNORECASE)
+_PLACEHOLDER = re.compile(r"example|changeme|placeholder|required|redacted|your[_-]|\A(?:none|null|true|false)\Z|\A(.)\1*\Z", re.IGNORECASE)
+
+# Formats of keys and tokens as their providers publish them.
+_TOKEN_FORMATS = (
+    "(?:AKIA|ASIA)[A-Z0-9]{16}", "gh[opsur]_[A-Za-z0-9]{36,255}", "github_pat_[A-Za-z0-9_]{22,255}", "glpat-[A-Za-z0-9_-]{20,255}",
+    "xox[abprs]-[A-Za-z0-9-]{10,255}", "AIza[A-Za-z0-9_-]{35}", "[rs]k_live_[A-Za-z0-9]{16,255}",
+    "eyJ[A-Za-z0-9_-]{10,4096}[.]eyJ[A-Za-z0-9_-]{10,4096}[.][A-Za-z0-9_-]{10,4096}",
+)
+_TOKEN = re.compile(f"(?:{'|'.join(_TOKEN_FORMATS)})(?![A-Za-z0-9_])")
+_PRIVATE_KEY = re.compile("-----BEGIN [A-Z0-9\x20]{0,40}PRIVATE KEY-----")
+_PRIVATE_KEY_END = re.compile("-----END [A-Z0-9\x20]{0,40}PRIVATE KEY-----")
 
 # Gazetteers and words of context.
 _TOP_DOMAINS = frozenset("com org net edu gov mil int info biz io de fr es uk eu it nl ch at pl pt se no dk fi us ca au jp cn in br".split())
@@ -56,6 +72,7 @@ _CUES = {
     "phone": frozenset("phone tel call mobile fax telefon téléphone teléfono contact".split()),
     "name": frozenset("name dear signed by contact herr frau señor monsieur".split()),
     "iban": frozenset("iban account bank konto compte cuenta".split()),
+    "secret": frozenset("password passwd pwd passphrase passwort passe contraseña secret token key credential credentials auth bearer login".split()),
 }
 
 
@@ -107,6 +124,30 @@ def _iban_valid(span: str) -> bool:
     return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
 
 
+def secret_spans(text: str) -> list[tuple[int, int]]:
+    """Keys and tokens of known formats, private keys, and values assigned to a telling name; the first of overlapping ones, then the longest."""
+    found = [m.span() for m in _TOKEN.finditer(text) if m.start() == 0 or not (text[m.start() - 1].isalnum() or text[m.start() - 1] == "_")]
+    end = None
+    for match in _PRIVATE_KEY.finditer(text) if "PRIVATE KEY-----" in text else ():
+        if end is None or end[0] < match.end():
+            after = _PRIVATE_KEY_END.search(text, match.end())
+            end = after.span() if after else (len(text) + 1, None)
+        found.append((match.start(), end[1] or match.end()))
+    done = 0
+    for match in _ASSIGNMENT.finditer(text):
+        at = match.start()
+        if at >= done and _SECRET_NAME.search(text, max(0, at - 40), at):
+            start, done = _VALUE.match(text, at + 1).span(1)
+            stop = start + len(text[start:done].rstrip(".)]}"))
+            if stop - start >= 6:
+                found.append((start, stop))
+    apart: list[tuple[int, int]] = []
+    for start, stop in sorted(found, key=lambda f: (f[0], -f[1])):
+        if not apart or start >= apart[-1][1]:
+            apart.append((start, stop))
+    return apart
+
+
 def _further(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     found = [("phone", m.start(), m.end()) for m in _NATIONAL.finditer(text)]
     found += [("email", m.start(), m.end()) for m in _WRITTEN.finditer(text)] if "at" in text and "dot" in text else []
@@ -138,6 +179,11 @@ def _votes(kind: str, span: str, before: list[str], base: bool) -> tuple[int, in
     elif kind == "iban":
         valid = _iban_valid(span)
         strict, listed = (1 if valid else -1), 0
+    elif kind == "secret":
+        known = _TOKEN.fullmatch(span) is not None or span.startswith("-----BEGIN ")
+        mixed = any(c.isdigit() for c in span) and any(c.isalpha() for c in span)
+        strict, listed = (1 if known or (mixed and len(span) >= 8) else -1 if span.isalpha() else 0), (
+            1 if known else -1 if _PLACEHOLDER.search(span) else 0)
     else:
         strict, listed = 0, (1 if any(w in _GIVEN_NAMES for w in span.lower().split()) else 0)
     return strict, listed, (1 if _CUES[kind].intersection(before) else 0)
@@ -163,7 +209,8 @@ def _find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             text = text or ""
             base = base_spans(text)
             spans = []
-            for certain, found in ((True, base), (False, _further(text, base))):
+            further = _further(text, base) + [("secret", a, b) for a, b in secret_spans(text)]
+            for certain, found in ((True, base), (False, further)):
                 for kind, start, stop in found:
                     before = [w.lower() for w in _NEAR.findall(text[max(0, start - 60): start])[-5:]]
                     span = text[start:stop]
@@ -261,13 +308,14 @@ def _decide(frames: Iterator[pd.DataFrame], weights: np.ndarray | None, threshol
                 elif weights is not None and 1 / (1 + np.exp(-(np.append(span["features"], 1.0) @ weights))) >= threshold:
                     everything.append(place)
             counts = [sum(k == kind for k, _, _ in base) for kind in BASE_KINDS]
-            rows.append((doc_id, *counts, hashlib.sha256(_listed(base).encode()).hexdigest(), _listed(everything)))
-        yield pd.DataFrame(rows, columns=["doc_id", *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans"]).astype({"doc_id": "Int64"})
+            rows.append((doc_id, *counts, hashlib.sha256(_listed(base).encode()).hexdigest(), _listed(everything),
+                         sum(k == "secret" for k, _, _ in everything), len(everything)))
+        yield pd.DataFrame(rows, columns=["doc_id", *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans", "n_secret", "n_spans"]).astype({"doc_id": "Int64"})
 
 
 def find_personal_data(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                        max_training_spans: int = MAX_TRAINING_SPANS, threshold: float = THRESHOLD) -> DataFrame:
-    """For each document: base counts, the digest of the base spans, and all spans."""
+    """For each document: base counts, the digest of the base spans, all spans, and the numbers of secrets and of all spans."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found = saved(texts.mapInPandas(_find, f"doc_id long, found {_SPANS}"), spark, "candidate-spans")
     spans = found.select(F.explode("found").alias("s")).select("s.*")
@@ -279,5 +327,5 @@ def find_personal_data(spark: SparkSession, docs: DataFrame, *, id_col: str = "d
     if sample:
         weights = _fitted(np.array([r["features"] for r, _ in sample]),
                           np.array([likely[r["kind"], tuple(r["votes"])] for r, _ in sample]), np.array([n for _, n in sample]))
-    result = ", ".join(["doc_id long", *(f"n_{k} long" for k in BASE_KINDS), "base_sha256 string", "spans string"])
+    result = ", ".join(["doc_id long", *(f"n_{k} long" for k in BASE_KINDS), "base_sha256 string", "spans string", "n_secret long", "n_spans long"])
     return found.mapInPandas(lambda it: _decide(it, weights, threshold), result)

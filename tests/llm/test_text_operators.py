@@ -186,7 +186,8 @@ def test_training_spans_cover_every_kind_however_often_one_repeats(spark, monkey
     monkeypatch.setattr(personal_data, "_fitted", fitted)
     hot = ["mail me at one@example.com"] * 300 + ["call 555-123-4567 now"] * 200
     rare = [f"{title} {name} was here" for title in ("Dr", "Mr", "Frau") for name in ("Anna", "Xaver", "Thomas")]
-    rare += ["iban DE89370400440532013000", "host 10.0.0.1", "card 4111 1111 1111 1111"]
+    rare += ["iban DE89370400440532013000", "host 10.0.0.1", "card 4111 1111 1111 1111",
+             "password=9f86d081884c7d65"]
     found = [(i, t, "en", "s", 1) + cases.EXTRA for i, t in enumerate(hot + rare)]
     personal_data.find_personal_data(spark, cases.table(spark, found), max_training_spans=30)
     features, *counts = seen[0]
