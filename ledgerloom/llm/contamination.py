@@ -7,6 +7,11 @@ intersected at its own offset, and what is left after the last term is an exact
 The first terms of a window are few, so the long lists of common terms are read only for the
 documents that survived the rare ones.
 
+A proximity match allows for a word that was put in, dropped, changed or moved: seen from one of the window's rarest terms (one more
+of them than may be missing, so that a match always has one), all other terms but ``MISSING`` stand at most ``SLACK`` words
+from their places. It uses the same lists in the same order: the rare ones first, then those of the documents that are left.
+Windows of fewer than ``LEAST_NEAR`` words are only looked up exactly. Exact matches are proximity matches too.
+
 The planner chooses between broadcast and shuffle from the stored sizes of the
 test terms, anchors and survivors; nothing is broadcast by hint.
 
@@ -24,6 +29,9 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.text import letter_words, lower_az, saved
 
 WINDOW = 10
+SLACK = 2
+MISSING = 1
+LEAST_NEAR = 5
 RARE_TERMS = 3  # intersected one by one over the lists of rare terms alone
 END = ""  # no word is empty: this posting ends each document and its position is the number of words
 DOC = ("doc_id", "copy")  # a document row's id and the hash of its text
@@ -53,17 +61,17 @@ def _same_doc(left: str, right: str) -> Column:
             & (F.col(f"{left}.copy") == F.col(f"{right}.copy")))
 
 
-def phrase_places(spark: SparkSession, postings: DataFrame, windows: DataFrame) -> DataFrame:
-    """Every exact occurrence of a window: doc, start, window_id, length.
-
-    ``windows`` has one row per (window_id, offset, term).
-    """
+def ranked_terms(spark: SparkSession, postings: DataFrame, windows: DataFrame) -> DataFrame:
+    """``windows``, one row per (window_id, offset, term), with the rank of each term in its window, the rarest first."""
     counts = postings.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     by_rarity = Window.partitionBy("window_id").orderBy("n", "offset")
-    ranked = saved(windows.alias("w").join(counts.alias("c"), "term", "left").select(
+    return saved(windows.alias("w").join(counts.alias("c"), "term", "left").select(
         "window_id", "offset", "term", "length", F.coalesce("n", F.lit(0)).alias("n"))
         .withColumn("rank", F.row_number().over(by_rarity)), spark, "ranked-terms")
 
+
+def phrase_places(spark: SparkSession, postings: DataFrame, ranked: DataFrame) -> DataFrame:
+    """Every exact occurrence of a window of ranked terms: doc, start, window_id, length."""
     anchors = saved(ranked.filter("rank = 1").select("window_id", "length", "offset", "term").coalesce(1), spark, "anchors")
     found = postings.join(anchors, "term").select(
         *DOC, (F.col("at") - F.col("offset")).alias("start"), "window_id", "length").filter("start >= 0")
@@ -92,6 +100,32 @@ def phrase_places(spark: SparkSession, postings: DataFrame, windows: DataFrame)
             .unionByName(found.filter(F.col("length") <= RARE_TERMS)))
 
 
+def near_places(spark: SparkSession, postings: DataFrame, ranked: DataFrame, *, slack: int = SLACK, missing: int = MISSING) -> DataFrame:
+    """Every proximity match of a window: doc, start (may be a little before the text), window_id, length, n_terms (of the window, near their places)."""
+    ranked = ranked.filter(F.col("length") >= max(LEAST_NEAR, RARE_TERMS + missing + 1))
+    place = [*DOC, "start", "window_id", "length"]
+
+    def near(found: DataFrame, terms: DataFrame, lists: DataFrame) -> DataFrame:
+        shifts = F.explode(F.sequence(F.lit(-slack), F.lit(slack)))
+        probes = found.join(terms.select("window_id", "offset", "term"), "window_id").select("*", shifts.alias("shift"))
+        probes = probes.withColumn("at", F.col("start") + F.col("offset") + F.col("shift")).filter("at >= 0")
+        met = probes.alias("f").join(
+            lists.alias("p"), _same_doc("f", "p") & (F.col("f.at") == F.col("p.at")) & (F.col("f.term") == F.col("p.term")), "left_semi")
+        return met.select(*found.columns, "offset").distinct().groupBy(*found.columns).agg(F.count(F.lit(1)).alias("n"))
+
+    anchors = saved(ranked.filter(F.col("rank") <= missing + 1).select("window_id", "length", "offset", "term"), spark, "near-anchors")
+    found = postings.join(anchors, "term").select(
+        *DOC, (F.col("at") - F.col("offset")).alias("start"), "window_id", "length").distinct()
+    rare = saved(ranked.filter(F.col("rank") <= RARE_TERMS).select("term").distinct(), spark, "near-rare-terms")
+    found = near(found, ranked.filter(F.col("rank") <= RARE_TERMS), postings.join(rare, "term", "left_semi"))
+    found = saved(found.filter(F.col("n") >= RARE_TERMS - missing).withColumnRenamed("n", "n_rare"), spark, "near-rare-places")
+
+    survivors = saved(found.select(*DOC).distinct(), spark, "near-survivors")
+    lists = postings.alias("p").join(survivors.alias("s"), _same_doc("p", "s"), "left_semi").select("p.*")
+    return (near(found, ranked.filter(F.col("rank") > RARE_TERMS), lists)
+            .select(*place, (F.col("n_rare") + F.col("n")).alias("n_terms")).filter(F.col("n_terms") >= F.col("length") - missing))
+
+
 def _numbered(item_windows_: DataFrame) -> DataFrame:
     """Windows by the hash of their words: the same text in several items is looked up once."""
     return item_windows_.withColumn("window_id", F.xxhash64("window"))
@@ -99,8 +133,11 @@ def _numbered(item_windows_: DataFrame) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
                   text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-                  window: int = WINDOW) -> DataFrame:
-    """For each document: words, words inside windows of items, the items whose windows occur, and the hash of its text (``copy``)."""
+                  window: int = WINDOW, proximity: bool = False) -> DataFrame:
+    """For each document: words, words inside windows of items, the items whose windows occur, and the hash of its text (``copy``).
+
+    With ``proximity`` also ``n_near_items``, the number of items with a window that occurs exactly or nearly.
+    """
     by_item = saved(_numbered(item_windows(items, item_col, item_text_col, window)), spark, "item-windows")
     distinct_windows = by_item.groupBy("window_id").agg(F.first("window").alias("window"))
     vocabulary = (distinct_windows.select(F.explode("window").alias("word")).distinct()
@@ -114,7 +151,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame, *, id_
     offsets = distinct_windows.select("window_id", F.size("window").alias("length"),
                                       F.posexplode("window").alias("offset", "word"))
     offsets = offsets.select("window_id", "length", "offset", F.xxhash64("word").alias("term"))
-    places = saved(phrase_places(spark, postings.filter(~is_end), offsets), spark, "places")
+    ranked = ranked_terms(spark, postings.filter(~is_end), offsets)
+    places = saved(phrase_places(spark, postings.filter(~is_end), ranked), spark, "places")
 
     hit_words = (places.select(*DOC, F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("at"))
                  .distinct().groupBy(*DOC).agg(F.count(F.lit(1)).alias("n_hit")))
@@ -123,9 +161,16 @@ def decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame, *, id_
                  .select(*DOC, "item_id").distinct()
                  .groupBy(*DOC).agg(F.count(F.lit(1)).alias("n_items"),
                                     F.sha2(F.array_join(F.sort_array(F.collect_set("item_id")), ","), 256).alias("items_sha256")))
-    return (ends.alias("e").join(hit_words.alias("h"), _same_doc("e", "h"), "left")
+    exact = (ends.alias("e").join(hit_words.alias("h"), _same_doc("e", "h"), "left")
             .join(hit_items.alias("i"), _same_doc("e", "i"), "left").select(
                 "e.doc_id", "e.n_words", F.coalesce("h.n_hit", F.lit(0)).cast("long").alias("n_hit"),
                 F.coalesce("i.n_items", F.lit(0)).cast("long").alias("n_items"),
                 F.coalesce("i.items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"),
                 F.col("h.n_hit").isNotNull().alias("contaminated"), "e.copy"))
+    if not proximity:
+        return exact
+    near = (near_places(spark, postings.filter(~is_end), ranked).select(*DOC, "window_id").unionByName(places.select(*DOC, "window_id"))
+            .distinct().join(by_item.select("window_id", "item_id"), "window_id").select(*DOC, "item_id").distinct()
+            .groupBy(*DOC).agg(F.count(F.lit(1)).alias("n")))
+    return exact.alias("e").join(near.alias("n"), _same_doc("e", "n"), "left").select(
+        "e.*", F.coalesce("n.n", F.lit(0)).cast("long").alias("n_near_items"))
