@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ledgerloom.domains import MAX_HISTORY_YEARS
 from ledgerloom.functions.periods import as_datetime, months_before, ts_lit
 from ledgerloom.operators.upsert import partition_values, replace_periods
+from ledgerloom.session import staging_dir
 
 
 def cutoff(as_of, retention_years: int = MAX_HISTORY_YEARS) -> dt.datetime:
@@ -32,13 +33,15 @@ def kept_records(records: DataFrame, limit: dt.datetime) -> DataFrame:
 
 
 def kept_children(children: DataFrame, transfers: DataFrame, limit: dt.datetime) -> DataFrame:
-    """Ledger or audit rows whose transfer stays; rows that belong to no transfer stay too.
+    """Ledger or audit rows whose transfer stays; rows that belong to no transfer stay too."""
+    return without_transfers(children, expired_ids(transfers, limit))
 
-    Those without a transfer get keys of their own, or they would all meet in one task.
-    """
+
+def without_transfers(children: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of no listed transfer. Those without a transfer get keys of their own, or they would all meet in one task."""
     own = F.concat(F.lit("\u0000"), F.xxhash64(*children.columns).cast("string"))
     keyed = children.withColumn("_key", F.coalesce(F.col("transfer_id"), own))
-    gone = expired_ids(transfers, limit).select(F.col("transfer_id").alias("_key"))
+    gone = ids.select(F.col("transfer_id").alias("_key"))
     return keyed.join(gone, "_key", "left_anti").drop("_key")
 
 
@@ -83,16 +86,22 @@ def purge_partitions(spark: SparkSession, path: str, column: str, kept: DataFram
 def purge(spark: SparkSession, paths: dict[str, str], column: str, limit: dt.datetime) -> None:
     """Remove expired rows: children first, so a failed run can be repeated with the transfers still there.
 
-    Only partitions that hold an expired row are rewritten.
+    Only partitions that hold an expired row are rewritten. A child table meets the transfers once, by its key alone; the rows that
+    stay are found with the ids that this wrote down.
     """
     transfers = spark.read.parquet(paths["wallet_transfers"])
     for name in ("wallet_audit_logs", "wallet_transactions"):
         if name not in paths:
             continue
         children = spark.read.parquet(paths[name])
-        touched = partition_values(children.join(expired_ids(transfers, limit), "transfer_id", "left_semi"), column)
+        found = children.select("transfer_id", column).join(expired_ids(transfers, limit), "transfer_id", "left_semi").distinct()
+        found_path = staging_dir(spark, "expired", paths[name])
+        found.write.mode("overwrite").parquet(found_path)
+        gone = spark.read.schema(found.schema).parquet(found_path)
+        touched = partition_values(gone, column)
         if touched:
-            purge_partitions(spark, paths[name], column, kept_children(children, transfers, limit), touched)
+            inside = children.filter(F.col(column).isin(touched))
+            purge_partitions(spark, paths[name], column, without_transfers(inside, gone), touched)
     for name in ("wallet_transfers", "payment_transactions"):
         if name not in paths:
             continue
