@@ -66,3 +66,26 @@ def test_workers_do_not_need_the_package(tmp_path):
     done = subprocess.run([sys.executable, "-c", code, str(body)], cwd=tmp_path, capture_output=True, text=True,
                           timeout=120)
     assert done.stdout.strip() == "DunningProcessor", done.stderr
+
+
+def test_cycles_of_a_month_share_their_state(spark, rocksdb, tmp_path):
+    """Cycles of one subscription stay apart, timers of the same time too; rows without a result or a time are taken in."""
+    first, second = START.date(), START.date() + dt.timedelta(days=1)
+    late = START + dt.timedelta(hours=72)
+    held = [("s", day, late - dt.timedelta(hours=h), False) for day in (first, second) for h in (0, 1, 2, 3)]
+    odd = [("odd", None, None, False)] * 4 + [("odd", first, START, None), (None, first, START, True)]
+    batches = [held + odd, [("s", second, late, True)], [("clock", first, START + dt.timedelta(days=12), True)],
+               [("clock", first, START + dt.timedelta(days=13), True)]]
+    source, seen = str(tmp_path / "in"), []
+    for rows in batches:
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(SCHEMA).parquet(source)
+        dunning_stream(stream).writeStream.outputMode("update").foreachBatch(lambda b, _: seen.extend(b.collect())).option(
+            "checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    states = {}
+    for row in seen:
+        states.setdefault((row.subscription_id, row.cycle_start), []).append((row.state, row.failures))
+    states.pop(("clock", first))
+    assert states == {("s", first): [("HELD", 4), ("PAUSED", 4)], ("s", second): [("HELD", 4), ("PAID", 4)],
+                      ("odd", None): [("HELD", 4)], ("odd", first): [("RETRYING", 0)], (None, first): [("PAID", 0)]}
+    assert [r.changed_at for r in seen if r.state == "PAUSED"] == [late + dt.timedelta(days=7)]
