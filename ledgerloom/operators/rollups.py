@@ -40,20 +40,42 @@ def rollup(facts: DataFrame, subject: str, period: str, start=None, end=None) ->
     return _summarise(in_range(facts, start, end), subject, period)
 
 
+def _marked(parties: DataFrame) -> Column:
+    """Whether a row's counterparty may be among ``parties``: a scalar bitmap of 32,768 hash places, so of fixed size.
+
+    None of the parties is missed; others that share a place pass as well.
+    """
+    place = F.xxhash64("counterparty_id").bitwiseAND(32767)
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), place.bitwiseAND(63).cast("int"))
+    words = parties.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    found = words.agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("found"))
+    bits = found.select(F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(511).cast("bigint")),
+                                    lambda i: F.coalesce(F.try_element_at("found", i), F.lit(0).cast("bigint")))).scalar()
+    word = F.get(bits, F.shiftright(place, 6).cast("int"))
+    return F.call_function("shiftright", word, place.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
+
+
 def _labelled(rows: DataFrame, keys: list[str], measures: list[Column]) -> DataFrame:
     """Groups with their measures and the greatest name and type of their counterparty, without sorting.
 
     A greatest text can only be kept by a sorted aggregation. But a counterparty nearly always has one name and
     one type: then grouping by them as well, which hashes, gives the same groups. Only the groups of counterparties that
-    have several, far fewer rows than there were, are merged by the greatest.
+    have several are merged by the greatest. A bitmap tells all others apart where they are read: a join
+    on the counterparty would shuffle every row once more, and to few tasks where there are few counterparties.
     """
-    pairs = rows.groupBy(*keys, *LABELS).agg(*measures)
     # From the rows, not the groups: this reads three columns and shuffles a row per task and label.
-    several = rows.select("counterparty_id", *LABELS).distinct().groupBy("counterparty_id").count().filter("count > 1")
-    merged = pairs.join(several, "counterparty_id", "left_semi").groupBy(*keys).agg(
-        *[F.max(c).alias(c) for c in LABELS], *_sums_of_sums())
+    several = rows.select("counterparty_id", *LABELS).distinct().groupBy("counterparty_id").count().filter("count > 1").select(
+        "counterparty_id")
     columns = [*keys, *LABELS, *MEASURES]
-    return pairs.join(several, "counterparty_id", "left_anti").select(*columns).unionByName(merged.select(*columns))
+    marked = _marked(several)
+    single = rows.filter(~marked).groupBy(*keys, *LABELS).agg(*measures).select(*columns)
+    pairs = rows.filter(marked).groupBy(*keys, *LABELS).agg(*measures)
+    sums = _sums_of_sums()
+    # A group whose counterparty has one label is one row here and stays as it is.
+    kept = F.when(F.max("_several"), sums[-1]).otherwise(F.max("avg_amount")).alias("avg_amount")
+    merged = pairs.join(several.withColumn("_several", F.lit(True)), "counterparty_id", "left").groupBy(*keys).agg(
+        *[F.max(c).alias(c) for c in LABELS], *sums[:-1], kept)
+    return single.unionByName(merged.select(*columns))
 
 
 def _sums_of_sums() -> list[Column]:

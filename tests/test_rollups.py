@@ -153,3 +153,23 @@ def test_a_rollup_does_not_sort_what_it_adds_up(spark, tmp_path):
     got.collect()
     final = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert "HashAggregate" in final and "SortAggregate" not in final and "Sort " not in final
+
+
+def test_rows_of_parties_with_one_label_are_shuffled_once(spark, tmp_path):
+    """Nothing but the grain deals the rows: with a join on the party, each of a few parties would be one task's."""
+    rows = [fact(f"2024-03-0{1 + i % 5} 10:00:00", party=f"P{i % 2}", name=f"N{i % 2}") for i in range(200)]
+    frame(spark, rows).write.parquet(str(tmp_path / "facts"))
+    daily = r.rollup(spark.read.parquet(str(tmp_path / "facts")), "customer", "day")
+    for got in (daily, r.month_from_days(daily, "customer")):
+        got.collect()
+        final = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert "Join" not in final
+
+
+def test_several_labels_among_many_parties(spark):
+    """Parties that share a place of the bitmap with one that has several labels keep their rows as they are."""
+    rows = [fact("2024-03-05 10:00:00", "1.00", party=f"P{i}", name=f"N{i}") for i in range(3000)]
+    rows += [fact("2024-03-05 11:00:00", "2.00", party=f"P{i}", name=f"M{i}") for i in range(0, 3000, 3)]
+    got = {d.counterparty_id: (d.counterparty_name, d.txn_count, str(d.total_amount), str(d.avg_amount))
+           for d in r.rollup(frame(spark, rows), "customer", "day").collect()}
+    assert got == {f"P{i}": (f"N{i}", 1, "1.00", "1.000000") if i % 3 else (f"N{i}", 2, "3.00", "1.500000") for i in range(3000)}
