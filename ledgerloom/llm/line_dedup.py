@@ -23,7 +23,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.bitmap import bitmap, may_hold
-from ledgerloom.llm.text import BLANKS, NO_WORDS, saved
+from ledgerloom.llm.text import BLANKS, NO_WORDS, emptied, saved
+from ledgerloom.session import fresh_dir
 
 PERCENT = 80
 BUCKETS = 1 << 16
@@ -51,13 +52,13 @@ def _lines(texts: DataFrame) -> DataFrame:
 
 
 def _classes(texts: DataFrame) -> Column:
-    """The class of each bucket of words, a quarter of a doubling wide: a constant array of fixed size."""
+    """The class of each bucket of words, a quarter of a doubling wide, in the upper bits: a constant array of fixed size."""
     word = texts.select(F.explode(F.split("text", "\n")).alias("line")).select(F.explode(_words(_trimmed(F.col("line")))).alias("word"))
     counts = word.groupBy(F.xxhash64("word").bitwiseAND(BUCKETS - 1).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     level = F.least(F.floor(F.log2("n") * 4), F.lit(255)).cast("int")
     levels = ["0"] * BUCKETS
     for row in counts.select("bucket", level.alias("level")).collect():
-        levels[row["bucket"]] = str(row["level"])
+        levels[row["bucket"]] = str(row["level"] << 55)
     return F.split(F.lit(",".join(levels)), ",").cast("array<bigint>")
 
 
@@ -65,8 +66,9 @@ def _with_keys(lines: DataFrame, classes: Column) -> DataFrame:
     """Add ``keys``, the line's distinct words as numbers in the common order."""
     def key(word: Column) -> Column:
         hashed = F.xxhash64(word)
-        level = F.get(classes, hashed.bitwiseAND(BUCKETS - 1).cast("int"))
-        return F.shiftleft(level, 55).bitwiseOR(F.shiftrightunsigned(hashed, 9))
+        # Never null, so that the array is sorted as plain numbers.
+        level = F.coalesce(F.get(classes, hashed.bitwiseAND(BUCKETS - 1).cast("int")), F.lit(0).cast("long"))
+        return level.bitwiseOR(F.shiftrightunsigned(hashed, 9))
 
     return lines.withColumn("keys", F.sort_array(F.array_distinct(F.transform(_words(F.col("line")), key)))).drop("line")
 
@@ -96,7 +98,8 @@ def _verified(spark: SparkSession, texts: DataFrame, firsts: DataFrame, pairs: D
     wanted = saved(pairs.select("set").unionByName(pairs.select(F.col("earlier").alias("set"))).distinct()
                    .join(firsts, "set").select("set", "first.*"), spark, "candidate-lines")
     read = _lines(texts).filter(may_hold(bitmap(spark, wanted, *COORDINATE), *(F.col(c) for c in COORDINATE)))
-    words = saved(_with_keys(read.join(wanted, [*COORDINATE]), classes).select("set", "keys").dropDuplicates(["set"]), spark, "candidate-words")
+    keyed = _with_keys(read, classes).select(F.xxhash64("keys").alias("set"), "keys")
+    words = saved(keyed.join(wanted.select("set"), "set", "left_semi").dropDuplicates(["set"]), spark, "candidate-words")
     other = words.select(F.col("set").alias("earlier"), F.col("keys").alias("other"))
     shared = F.size(F.array_intersect("keys", "other"))
     union = F.size("keys") + F.size("other") - shared
@@ -106,17 +109,21 @@ def _verified(spark: SparkSession, texts: DataFrame, firsts: DataFrame, pairs: D
 def repeated_lines(spark: SparkSession, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(id, copy, removed): the numbers of the lines of a document that repeat an earlier line."""
     classes = _classes(texts)
+    path = fresh_dir(spark, "lines")
     lines = saved(_with_keys(_lines(texts), classes).select(
-        *COORDINATE, F.size("keys").alias("n"), F.xxhash64("keys").alias("set"), _prefix(percent).alias("prefix")), spark, "lines")
-    firsts = saved(lines.groupBy("set").agg(F.min(F.struct(*COORDINATE)).alias("first"), F.max("n").alias("n")), spark, "line-classes")
+        *COORDINATE, F.size("keys").alias("n"), F.xxhash64("keys").alias("set"), _prefix(percent).alias("prefix")), spark, "lines", path)
+    firsts = saved(lines.groupBy("set").agg(F.min(F.struct(*COORDINATE)).alias("first")), spark, "line-classes")
 
     # First which pairs two sets or more hold, from the narrowest rows; then the places of those pairs only.
     held = saved(lines.select(F.explode("prefix").alias("key"), "set").repartition("key").groupBy("key").agg(
         F.min("set").alias("a"), F.max("set").alias("b")).filter("a <> b").select("key"), spark, "held-pairs")
     entries = lines.select(F.posexplode("prefix").alias("pos", "key"), "set", "n").filter(
         may_hold(bitmap(spark, held, "key"), F.col("key")))
-    shared = saved(entries.join(held.hint("shuffle_hash"), "key").distinct(), spark, "shared-pairs")
-    placed = saved(shared.join(firsts.select("set", "first"), "set"), spark, "shared-pairs")
+    shared = entries.join(held.hint("shuffle_hash"), "key").distinct()
+    placed = saved(shared.join(firsts, "set"), spark, "shared-pairs")
+    # The prefixes are the largest working table, and the verification needs room.
+    numbered = saved(lines.select(*COORDINATE, "set"), spark, "line-sets")
+    emptied(lines, path)
 
     def earlier(columns: DataFrame) -> DataFrame:
         return columns.select("key", F.col("set").alias("earlier"), F.col("n").alias("m"), F.col("pos").alias("mpos"),
@@ -131,7 +138,7 @@ def repeated_lines(spark: SparkSession, texts: DataFrame, percent: int = PERCENT
                   .select("set", "earlier").distinct().join(pairs, ["set", "earlier"], "left_anti"), spark, "other-pairs")
     near = decided.unionByName(_verified(spark, texts, firsts, pairs, classes, percent)).withColumn("near", F.lit(True))
 
-    judged = lines.select(*COORDINATE, "set").join(firsts.select("set", "first"), "set").join(near, "set", "left")
+    judged = numbered.join(firsts, "set").join(near, "set", "left")
     later = (F.struct(*COORDINATE) > F.col("first")) | F.coalesce("near", F.lit(False))
     return saved(judged.filter(later).groupBy("id", "copy").agg(F.collect_set("at").alias("removed")), spark, "removed-lines")
 

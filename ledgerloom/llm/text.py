@@ -7,6 +7,8 @@ to 64 bits where only their identity matters.
 from __future__ import annotations
 
 import string
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,13 +21,36 @@ NON_WORD_RUN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 NO_WORDS = "cast(array() as array<string>)"
 
 
-def saved(df: DataFrame, spark: SparkSession, purpose: str) -> DataFrame:
-    """Write to the shared folder and read back: lineage ends here, and the planner knows the size."""
-    path = fresh_dir(spark, purpose)
-    df.write.parquet(path)
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Writes that are started inside remove their shuffle files when they end, not when the driver next collects garbage."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
+def saved(df: DataFrame, spark: SparkSession, purpose: str, path: str | None = None) -> DataFrame:
+    """Write to the shared folder and read back: lineage ends here, the planner knows the size, and the shuffles before it are gone."""
+    path = path or fresh_dir(spark, purpose)
+    with _shuffles_removed(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def emptied(table: DataFrame, path: str) -> None:
+    """Give back the disk of a saved table once nothing reads it any more."""
+    table.sparkSession.createDataFrame([], table.schema).write.mode("overwrite").parquet(path)
+
+
 def lower_az(text: Column) -> Column:
     """Lower-case A-Z and nothing else. ASCII texts take the fast built-in."""
     ascii_only = F.octet_length(text) == F.length(text)
