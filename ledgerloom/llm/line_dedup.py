@@ -2,9 +2,12 @@
 
 A line is the set of its distinct words, ordered by rarity (classes of word counts over the whole corpus, then the hash; any order
 is right, rarity keeps common words out of the prefixes). Equal sets are one class. Two sets with
-Jaccard similarity of at least ``percent`` differ so little that, of the neighbouring word pairs in this order,
-the one with n words lacks at most 2 * (100 - percent)% of n in the other: the rarest pairs up to one
-more are a prefix in which linked sets always meet. Sets of a prefix pair first meet the earliest of them
+Jaccard similarity of at least ``percent`` differ so little that they share one of the first runs of neighbouring words
+in this order. A run is two words where the second is rare and three elsewhere (two ends that no word equals follow the
+last word), so that unrelated lines seldom share one, however many there are. To break all runs that begin before a place, a linked
+set must lack a word for every two short or three long ones, and (100 - percent)% of n words is all it may lack; a word that
+it has more breaks fewer runs and uses up ``percent`` hundredths of one that it lacks. The runs up to one more are a prefix in which
+linked sets always meet. Below 80 percent all runs are pairs. Sets of a prefix run first meet the earliest of them
 only; sets that this does not decide meet all earlier ones. Length and positional filters come before the words
 of candidate lines are fetched and their similarity is counted.
 
@@ -19,6 +22,8 @@ whatever their names.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,10 +32,13 @@ from ledgerloom.llm.text import BLANKS, NO_WORDS, emptied, saved
 from ledgerloom.session import fresh_dir
 
 PERCENT = 80
-BUCKETS = 1 << 16
+BUCKETS = 1 << 17
+MOST_LEVEL = 126
+LONG_RUNS_FROM = 80  # percent; below, the runs of three would need more of them than a line has
+HELD_WORDS = 1 << 18  # of the bitmap of shared runs
 LAST_ID = (1 << 63) - 1
+LAST_KEY = (1 << 63) - 1
 COORDINATE = ("id", "copy", "at")
-_NO_LONGS = "cast(array() as array<bigint>)"
 
 
 def _trimmed(line: Column) -> Column:
@@ -51,15 +59,19 @@ def _lines(texts: DataFrame) -> DataFrame:
             .select("id", "copy", "at", _trimmed(F.col("line")).alias("line")).filter("line <> ''"))
 
 
-def _classes(texts: DataFrame) -> Column:
-    """The class of each bucket of words, a quarter of a doubling wide, in the upper bits: a constant array of fixed size."""
+def _classes(texts: DataFrame) -> tuple[Column, int]:
+    """The class of each bucket of words, a quarter of a doubling wide: a constant array of fixed size; and the last class of rare words.
+
+    Two rare words are expected together in less than one line of the corpus. The constant is short text, as each plan that uses it is kept with it.
+    """
     word = texts.select(F.explode(F.split("text", "\n")).alias("line")).select(F.explode(_words(_trimmed(F.col("line")))).alias("word"))
-    counts = word.groupBy(F.xxhash64("word").bitwiseAND(BUCKETS - 1).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    level = F.least(F.floor(F.log2("n") * 4), F.lit(255)).cast("int")
-    levels = ["0"] * BUCKETS
-    for row in counts.select("bucket", level.alias("level")).collect():
-        levels[row["bucket"]] = str(row["level"] << 55)
-    return F.split(F.lit(",".join(levels)), ",").cast("array<bigint>")
+    counts = word.groupBy(F.xxhash64("word").bitwiseAND(BUCKETS - 1).alias("bucket")).agg(F.count(F.lit(1)).alias("n")).toArrow()
+    levels, n_words = ["0"] * BUCKETS, 0
+    for bucket, n in zip(counts["bucket"].to_pylist(), counts["n"].to_pylist(), strict=True):
+        levels[bucket] = str(min(int(4 * math.log2(n)), MOST_LEVEL))
+        n_words += n
+    rare = int(2 * math.log2(max(n_words / 64, 1)))
+    return F.split(F.lit(",".join(levels)), ",").cast("array<tinyint>"), min(rare, MOST_LEVEL)
 
 
 def _with_keys(lines: DataFrame, classes: Column) -> DataFrame:
@@ -67,25 +79,38 @@ def _with_keys(lines: DataFrame, classes: Column) -> DataFrame:
     def key(word: Column) -> Column:
         hashed = F.xxhash64(word)
         # Never null, so that the array is sorted as plain numbers.
-        level = F.coalesce(F.get(classes, hashed.bitwiseAND(BUCKETS - 1).cast("int")), F.lit(0).cast("long"))
-        return level.bitwiseOR(F.shiftrightunsigned(hashed, 9))
+        level = F.coalesce(F.get(classes, hashed.bitwiseAND(BUCKETS - 1).cast("int")).cast("long"), F.lit(0).cast("long"))
+        return F.shiftleft(level, 55).bitwiseOR(F.shiftrightunsigned(hashed, 9))
 
     return lines.withColumn("keys", F.sort_array(F.array_distinct(F.transform(_words(F.col("line")), key)))).drop("line")
 
 
-def _pairs_apart(percent: int) -> str:
-    """Neighbouring pairs that a linked set may lack, and one more."""
-    return f"(2 * {100 - percent} * size(keys)) div 100 + 1"
-
-
-def _prefix(percent: int) -> Column:
-    m = F.expr(_pairs_apart(percent)).cast("int")
-    pairs = F.zip_with(F.slice("keys", F.lit(1), m), F.slice("keys", F.lit(2), m), lambda a, b: F.xxhash64(a, b))
-    return F.when(F.size("keys") > m, pairs).otherwise(F.expr(_NO_LONGS))
+def _with_prefix(keyed: DataFrame, percent: int, rare: int) -> DataFrame:
+    """Replace ``keys`` by their number ``n``, the hash ``set`` and ``prefix``, the hashes of the first runs."""
+    lack = 100 - percent
+    kept = [c for c in keyed.columns if c != "keys"]
+    sized = keyed.select(*kept, "keys", F.size("keys").alias("n"), F.xxhash64("keys").alias("set"))
+    if percent < LONG_RUNS_FROM:
+        short = F.col("n")
+    else:
+        # Words in rising classes: pairs come first, up to the last rare word; more of them than a prefix of pairs has do not matter.
+        first = F.slice("keys", F.lit(1), F.expr(f"cast((2 * {lack} * n) div 100 + 2 as int)"))
+        short = F.greatest(F.size(F.filter(first, lambda k: k < ((rare + 1) << 55))) - 1, F.lit(0))
+    counted = sized.withColumn("short", short)
+    starts = F.expr(f"cast(greatest((2 * {lack} * n) div 100, (6 * {lack} * n - 100 * short) div 200) + 1 as int)")
+    # A set without a possible partner of its size or the next needs no prefix.
+    meets = (F.col("n") * 100 >= percent * (F.col("n") + 1)) & (starts <= F.col("n"))
+    placed = counted.withColumn("starts", F.when(meets, starts).otherwise(0)).withColumn("short", F.least("short", "starts"))
+    ended = placed.withColumn("keys", F.concat("keys", F.array(F.lit(LAST_KEY), F.lit(LAST_KEY))))
+    paired = ended.withColumn("pairs", F.zip_with(F.slice("keys", F.lit(1), F.col("starts")), F.slice("keys", F.lit(2), F.col("starts")),
+                                                  lambda a, b: F.xxhash64(a, b)))
+    n_long = F.col("starts") - F.col("short")
+    longer = F.zip_with(F.slice("pairs", F.col("short") + 1, n_long), F.slice("keys", F.col("short") + 3, n_long), lambda a, b: F.xxhash64(a, b))
+    return paired.select(*kept, "n", "set", F.concat(F.slice("pairs", F.lit(1), F.col("short")), longer).alias("prefix"))
 
 
 def _possible(percent: int) -> Column:
-    """Length and positional filter for sets (n, pos) and (m, mpos) that share the pair at those places."""
+    """Length and positional filter for sets (n, pos) and (m, mpos) that share the run at those places."""
     enough = F.ceil((F.col("n") + F.col("m")) * percent / (100 + percent))
     before = F.least("pos", "mpos")
     after = F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("mpos"))
@@ -97,7 +122,8 @@ def _verified(spark: SparkSession, texts: DataFrame, firsts: DataFrame, pairs: D
     """The sets of ``pairs`` (set, earlier) that have the similarity; their words are read from the lines that first had them."""
     wanted = saved(pairs.select("set").unionByName(pairs.select(F.col("earlier").alias("set"))).distinct()
                    .join(firsts, "set").select("set", "first.*"), spark, "candidate-lines")
-    read = _lines(texts).filter(may_hold(bitmap(spark, wanted, *COORDINATE), *(F.col(c) for c in COORDINATE)))
+    holding = texts.filter(may_hold(bitmap(spark, wanted, "id", "copy"), F.col("id"), F.col("copy")))
+    read = _lines(holding).filter(may_hold(bitmap(spark, wanted, *COORDINATE), *(F.col(c) for c in COORDINATE)))
     keyed = _with_keys(read, classes).select(F.xxhash64("keys").alias("set"), "keys")
     words = saved(keyed.join(wanted.select("set"), "set", "left_semi").dropDuplicates(["set"]), spark, "candidate-words")
     other = words.select(F.col("set").alias("earlier"), F.col("keys").alias("other"))
@@ -108,19 +134,18 @@ def _verified(spark: SparkSession, texts: DataFrame, firsts: DataFrame, pairs: D
 
 def repeated_lines(spark: SparkSession, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(id, copy, removed): the numbers of the lines of a document that repeat an earlier line."""
-    classes = _classes(texts)
+    classes, rare = _classes(texts)
     path = fresh_dir(spark, "lines")
-    lines = saved(_with_keys(_lines(texts), classes).select(
-        *COORDINATE, F.size("keys").alias("n"), F.xxhash64("keys").alias("set"), _prefix(percent).alias("prefix")), spark, "lines", path)
-    firsts = saved(lines.groupBy("set").agg(F.min(F.struct(*COORDINATE)).alias("first")), spark, "line-classes")
+    lines = saved(_with_prefix(_with_keys(_lines(texts), classes), percent, rare), spark, "lines", path)
+    firsts = saved(lines.groupBy("set").agg(F.min(F.struct(*COORDINATE)).alias("first"), F.any_value("n").alias("n")), spark, "line-classes")
 
-    # First which pairs two sets or more hold, from the narrowest rows; then the places of those pairs only.
+    # First which runs two sets or more hold, from the narrowest rows; then the places of those runs only.
     held = saved(lines.select(F.explode("prefix").alias("key"), "set").repartition("key").groupBy("key").agg(
-        F.min("set").alias("a"), F.max("set").alias("b")).filter("a <> b").select("key"), spark, "held-pairs")
-    entries = lines.select(F.posexplode("prefix").alias("pos", "key"), "set", "n").filter(
-        may_hold(bitmap(spark, held, "key"), F.col("key")))
+        F.min("set").alias("a"), F.max("set").alias("b")).filter("a <> b").select("key"), spark, "held-runs")
+    entries = lines.select(F.posexplode("prefix").alias("pos", "key"), "set").filter(
+        may_hold(bitmap(spark, held, "key", words=HELD_WORDS), F.col("key"), words=HELD_WORDS))
     shared = entries.join(held.hint("shuffle_hash"), "key").distinct()
-    placed = saved(shared.join(firsts, "set"), spark, "shared-pairs")
+    placed = saved(shared.join(firsts, "set"), spark, "shared-runs")
     # The prefixes are the largest working table, and the verification needs room.
     numbered = saved(lines.select(*COORDINATE, "set"), spark, "line-sets")
     emptied(lines, path)
@@ -138,7 +163,7 @@ def repeated_lines(spark: SparkSession, texts: DataFrame, percent: int = PERCENT
                   .select("set", "earlier").distinct().join(pairs, ["set", "earlier"], "left_anti"), spark, "other-pairs")
     near = decided.unionByName(_verified(spark, texts, firsts, pairs, classes, percent)).withColumn("near", F.lit(True))
 
-    judged = numbered.join(firsts, "set").join(near, "set", "left")
+    judged = numbered.join(firsts.drop("n"), "set").join(near, "set", "left")
     later = (F.struct(*COORDINATE) > F.col("first")) | F.coalesce("near", F.lit(False))
     return saved(judged.filter(later).groupBy("id", "copy").agg(F.collect_set("at").alias("removed")), spark, "removed-lines")
 
