@@ -87,21 +87,20 @@ def _apply(records: DataFrame, key: str, events: DataFrame, outcome: Column, ter
     An event without a readable time decides only when no other does. Events are sorted once, by
     record for the join; the outcomes are folded in the order that the join leaves, so grouping by the record's key
     alone needs no further sort or shuffle. A record with very many events is split by the join and
-    combined after it.
+    combined after it. An event's columns are shuffled once each; what they are compared by is put together after the join.
     """
     about = ("event_time", "webhook_id", "detail", "bank_reference", "cf_payment_id")
+    named = events.filter(F.col(key).isNotNull()).select(F.col(key).alias("_record"), "event_type", *about)
     timed = F.col("event_time").isNotNull()
-    named = events.filter(F.col(key).isNotNull()).select(
-        F.col(key).alias("_record"), "event_type", F.struct((~timed).alias("untimed"), *about).alias("first"),
-        F.struct(timed.alias("timed"), *about).alias("last"))
+    first, last = F.struct((~timed).alias("untimed"), *about).alias("first"), F.struct(timed.alias("timed"), *about).alias("last")
     seen = records.join(named, F.col(key) == F.col("_record"), "left")
     asked = seen.withColumn("outcome", F.when(F.col("event_type").isNotNull(), outcome))
     ends = F.col("outcome").isin(*terminal)
     others = [c for c in records.columns if c != key]
     decided = asked.groupBy(key).agg(
         *[F.any_value(c).alias(c) for c in others],
-        F.min(F.when(ends, F.struct("first", "outcome", "event_type"))).alias("final"),
-        F.max(F.when(~ends, F.struct("last", "outcome", "event_type"))).alias("open"),
+        F.min(F.when(ends, F.struct(first, "outcome", "event_type"))).alias("final"),
+        F.max(F.when(~ends, F.struct(last, "outcome", "event_type"))).alias("open"),
         F.count("_record").alias("webhooks"))
     was_terminal = F.col("status").isin(*terminal)
     has_final, has_open = F.col("final").isNotNull(), F.col("open").isNotNull()

@@ -106,3 +106,14 @@ def test_first_request_of_a_key_wins(spark):
                                            "status string, amount decimal(15,2), initiated_at timestamp_ntz")
     got = {r.request_key: (r.transaction_id, r.requests) for r in wh.idempotent_requests(payments).collect()}
     assert got == {"K": ("P1", 2), "O3": ("P3", 1)}
+
+
+def test_events_are_shuffled_as_plain_columns(spark):
+    transfers = _transfers(spark, [("T1", "K1", None, "ACCOUNT_TO_WALLET", "PENDING_PAYMENT")])
+    pg = messages.pg_webhooks(spark.createDataFrame([_pg(1, "K1", "PAYMENT_SUCCESS_WEBHOOK", 3)], ARCHIVE))
+    payouts = messages.payout_webhooks(spark.createDataFrame([_payout(2, "T1", "TRANSFER_FAILED", 5)], ARCHIVE))
+    result = wh.apply_to_transfers(transfers, wh.match_pg_webhooks(pg, transfers), wh.match_payout_webhooks(payouts, transfers))
+    plan = result._jdf.queryExecution().optimizedPlan().toString()
+    before, joined = plan.split("Join LeftOuter", 1)
+    assert "struct(untimed" in before and "struct(untimed" not in joined
+    assert [(r.new_status, r.decided_by, r.webhooks) for r in result.collect()] == [("COMPLETED", "pg-w1", 2)]
