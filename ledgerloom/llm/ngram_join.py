@@ -41,6 +41,7 @@ SHINGLE = 5
 PERCENT = 80
 LEVELS = 3
 SAMPLE = 0.3  # share of the hash range that every set is sampled from; more than the share a linked set may lack
+SAMPLE_ROUNDS = 3  # the samples are dealt by shingle in so many parts, one after the other, as they are the largest shuffle
 BUCKET_BITS = 18
 BUCKETS = 1 << BUCKET_BITS
 LAST_ID = (1 << 63) - 1
@@ -210,9 +211,11 @@ def group(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_
     points = saved(filled.groupBy("point").agg(F.min("id").alias("id"), F.max("n").alias("n")), spark, "points")
 
     # A linked set holds all but a few of a point's shingles, so a point with more lonely ones in its sample has no link.
-    lonely = (filled.select("point", F.explode("sample").alias("key")).groupBy("key")
-              .agg(F.min("point").alias("point"), F.max("point").alias("other")).filter("point = other")
-              .groupBy("point").agg(F.count(F.lit(1)).alias("lonely")))
+    held = filled.select("point", F.explode("sample").alias("key"))
+    rounds = [saved(held.filter(F.pmod("key", F.lit(SAMPLE_ROUNDS)) == part).groupBy("key")
+                    .agg(F.min("point").alias("point"), F.max("point").alias("other")).filter("point = other")
+                    .groupBy("point").agg(F.count(F.lit(1)).alias("lonely")), spark, "lonely") for part in range(SAMPLE_ROUNDS)]
+    lonely = reduce(DataFrame.unionByName, rounds).groupBy("point").agg(F.sum("lonely").alias("lonely"))
     may_miss = F.col("n") - F.ceil(F.col("n") * percent / 100)
     alive = saved(points.join(lonely, "point", "left").filter(F.coalesce("lonely", F.lit(0)) <= may_miss)
                   .select("point", "id"), spark, "alive-points")

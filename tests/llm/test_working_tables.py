@@ -6,7 +6,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import line_dedup
+from ledgerloom.llm import line_dedup, ngram_join
 from ledgerloom.llm.text import saved
 from ledgerloom.session import shared_dir
 
@@ -34,3 +34,14 @@ def test_line_dedup_empties_its_table_of_prefixes(spark):
     assert [(r["id"], r["removed"]) for r in removed.collect()] == [(2, [0])]
     (path,) = set(glob.glob(f"{shared_dir(spark)}/lines-*")) - known
     assert spark.read.parquet(path).count() == 0
+
+
+def test_samples_of_the_join_are_dealt_in_rounds(spark):
+    known = set(glob.glob(f"{shared_dir(spark)}/lonely-*"))
+    texts = [" ".join(f"{a}{i}" for i in range(60)) for a in "abc"]
+    docs = spark.createDataFrame([(1, texts[0]), (2, texts[0] + " more"), (3, texts[1]), (4, texts[2])], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.group(spark, docs).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
+    found = [spark.read.parquet(p) for p in set(glob.glob(f"{shared_dir(spark)}/lonely-*")) - known]
+    assert len(found) == ngram_join.SAMPLE_ROUNDS > 1
+    assert sum(t.filter("lonely > 0").count() > 0 for t in found) > 1
