@@ -1,18 +1,22 @@
 """Remove lines that repeat an earlier line, exactly or nearly: an exact set-similarity join over line words.
 
-A line is the set of its distinct words, ordered by rarity (classes of word counts over the whole corpus, then the hash; any order
-is right, rarity keeps common words out of the prefixes). Equal sets are one class. Two sets with
+A line is the set of its distinct words, longest first and then by hash. (Any order is right. Long words are seldom
+the common ones, and the length needs no count over the corpus.) Equal sets are one class. Two sets with
 Jaccard similarity of at least ``percent`` differ so little that they share one of the first runs of neighbouring words
-in this order. A run is two words where the second is rare and three elsewhere (two ends that no word equals follow the
+in this order. A run is two words where both are long and three elsewhere (two ends that no word equals follow the
 last word), so that unrelated lines seldom share one, however many there are. To break all runs that begin before a place, a linked
 set must lack a word for every two short or three long ones, and (100 - percent)% of n words is all it may lack; a word that
 it has more breaks fewer runs and uses up ``percent`` hundredths of one that it lacks. The runs up to one more are a prefix in which
 linked sets always meet. Below 80 percent all runs are pairs. Sets of a prefix run first meet the earliest of them
-only; sets that this does not decide meet all earlier ones. Length and positional filters come before the words
-of candidate lines are fetched and their similarity is counted.
+only; sets that this does not decide meet the other earlier ones.
+
+Most sets that meet are not linked. Every set therefore has parities: its words are dealt to 64 places by hash, twice, and each place says
+whether its number of words is odd. Two sets differ in at least as many words as their parities do in places, so a pair whose
+parities differ in more places than linked sets of these sizes have different words is no link. This holds for every pair and is tested
+in the join, with the length and positional filters, before the words of the pairs left are fetched and their similarity is counted.
 
 A line goes if any earlier line of the input matches it; lines are ordered by document id, then by their place.
-Equality of words and sets is that of 64-bit hashes (words within one set: 55 bits and the class).
+Equality of words and sets is that of 64-bit hashes (words within one set: 57 bits and the length).
 
 Defined results: null text stays null; lines without words always stay and match nothing; lines of fewer than four
 different words match only equal sets; a null id counts as larger than any other; rows with the same id and text are
@@ -22,18 +26,15 @@ whatever their names.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.bitmap import bitmap, may_hold
-from ledgerloom.llm.text import BLANKS, NO_WORDS, emptied, saved
-from ledgerloom.session import fresh_dir
+from ledgerloom.llm.text import BLANKS, NO_WORDS, Tables
 
 PERCENT = 80
-BUCKETS = 1 << 17
-MOST_LEVEL = 126
+LONGEST = 63  # bytes; longer words count as of this length
+RARE_FROM = 7  # bytes of a word that is taken as rare
 LONG_RUNS_FROM = 80  # percent; below, the runs of three would need more of them than a line has
 HELD_WORDS = 1 << 18  # of the bitmap of shared runs
 LAST_ID = (1 << 63) - 1
@@ -59,43 +60,34 @@ def _lines(texts: DataFrame) -> DataFrame:
             .select("id", "copy", "at", _trimmed(F.col("line")).alias("line")).filter("line <> ''"))
 
 
-def _classes(texts: DataFrame) -> tuple[Column, int]:
-    """The class of each bucket of words, a quarter of a doubling wide: a constant array of fixed size; and the last class of rare words.
-
-    Two rare words are expected together in less than one line of the corpus. The constant is short text, as each plan that uses it is kept with it.
-    """
-    word = texts.select(F.explode(F.split("text", "\n")).alias("line")).select(F.explode(_words(_trimmed(F.col("line")))).alias("word"))
-    counts = word.groupBy(F.xxhash64("word").bitwiseAND(BUCKETS - 1).alias("bucket")).agg(F.count(F.lit(1)).alias("n")).toArrow()
-    levels, n_words = ["0"] * BUCKETS, 0
-    for bucket, n in zip(counts["bucket"].to_pylist(), counts["n"].to_pylist(), strict=True):
-        levels[bucket] = str(min(int(4 * math.log2(n)), MOST_LEVEL))
-        n_words += n
-    rare = int(2 * math.log2(max(n_words / 64, 1)))
-    return F.split(F.lit(",".join(levels)), ",").cast("array<tinyint>"), min(rare, MOST_LEVEL)
-
-
-def _with_keys(lines: DataFrame, classes: Column) -> DataFrame:
+def _with_keys(lines: DataFrame) -> DataFrame:
     """Add ``keys``, the line's distinct words as numbers in the common order."""
     def key(word: Column) -> Column:
-        hashed = F.xxhash64(word)
-        # Never null, so that the array is sorted as plain numbers.
-        level = F.coalesce(F.get(classes, hashed.bitwiseAND(BUCKETS - 1).cast("int")).cast("long"), F.lit(0).cast("long"))
-        return F.shiftleft(level, 55).bitwiseOR(F.shiftrightunsigned(hashed, 9))
+        length = F.least(F.octet_length(word), F.lit(LONGEST)).cast("long")
+        return F.shiftrightunsigned(F.xxhash64(word), 7) - F.shiftleft(length, 57)
 
     return lines.withColumn("keys", F.sort_array(F.array_distinct(F.transform(_words(F.col("line")), key)))).drop("line")
 
 
-def _with_prefix(keyed: DataFrame, percent: int, rare: int) -> DataFrame:
-    """Replace ``keys`` by their number ``n``, the hash ``set`` and ``prefix``, the hashes of the first runs."""
+def _parity(keys: Column, *more: Column) -> Column:
+    """A number whose bits say of each of 64 places whether an odd number of keys falls into it; ``more`` gives other places."""
+    one = F.lit(1).cast("long")
+    # A shift takes the lowest six bits of the number of places.
+    return F.aggregate(keys, F.lit(0).cast("long"), lambda bits, k: bits.bitwiseXOR(F.call_function("shiftleft", one, F.hash(k, *more))))
+
+
+def _with_prefix(keyed: DataFrame, percent: int) -> DataFrame:
+    """Replace ``keys`` by their number ``n``, the hash ``set``, the parities and ``prefix``, the hashes of the first runs."""
     lack = 100 - percent
     kept = [c for c in keyed.columns if c != "keys"]
-    sized = keyed.select(*kept, "keys", F.size("keys").alias("n"), F.xxhash64("keys").alias("set"))
+    sized = keyed.select(*kept, "keys", F.size("keys").alias("n"), F.xxhash64("keys").alias("set"),
+                         _parity(F.col("keys")).alias("odd"), _parity(F.col("keys"), F.lit(1)).alias("odd2"))
     if percent < LONG_RUNS_FROM:
         short = F.col("n")
     else:
-        # Words in rising classes: pairs come first, up to the last rare word; more of them than a prefix of pairs has do not matter.
+        # Long words first: pairs come first, up to the last rare word; more of them than a prefix of pairs has do not matter.
         first = F.slice("keys", F.lit(1), F.expr(f"cast((2 * {lack} * n) div 100 + 2 as int)"))
-        short = F.greatest(F.size(F.filter(first, lambda k: k < ((rare + 1) << 55))) - 1, F.lit(0))
+        short = F.greatest(F.size(F.filter(first, lambda k: k < ((1 - RARE_FROM) << 57))) - 1, F.lit(0))
     counted = sized.withColumn("short", short)
     starts = F.expr(f"cast(greatest((2 * {lack} * n) div 100, (6 * {lack} * n - 100 * short) div 200) + 1 as int)")
     # A set without a possible partner of its size or the next needs no prefix.
@@ -106,66 +98,77 @@ def _with_prefix(keyed: DataFrame, percent: int, rare: int) -> DataFrame:
                                                   lambda a, b: F.xxhash64(a, b)))
     n_long = F.col("starts") - F.col("short")
     longer = F.zip_with(F.slice("pairs", F.col("short") + 1, n_long), F.slice("keys", F.col("short") + 3, n_long), lambda a, b: F.xxhash64(a, b))
-    return paired.select(*kept, "n", "set", F.concat(F.slice("pairs", F.lit(1), F.col("short")), longer).alias("prefix"))
+    return paired.select(*kept, "n", "set", "odd", "odd2", F.concat(F.slice("pairs", F.lit(1), F.col("short")), longer).alias("prefix"))
 
 
 def _possible(percent: int) -> Column:
-    """Length and positional filter for sets (n, pos) and (m, mpos) that share the run at those places."""
+    """Length, parity and positional filter for sets (n, pos) and (m, mpos) that share the run at those places."""
     enough = F.ceil((F.col("n") + F.col("m")) * percent / (100 + percent))
     before = F.least("pos", "mpos")
     after = F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("mpos"))
+    places = F.greatest(*(F.bit_count(F.col(c).bitwiseXOR(F.col(f"e{c}"))) for c in ("odd", "odd2")))
     return ((F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
-            & (before + after >= enough))
+            & (places <= F.col("n") + F.col("m") - 2 * enough) & (before + after >= enough))
 
 
-def _verified(spark: SparkSession, texts: DataFrame, firsts: DataFrame, pairs: DataFrame, classes: Column, percent: int) -> DataFrame:
+def _verified(tables: Tables, texts: DataFrame, firsts: DataFrame, pairs: DataFrame, percent: int, purpose: str) -> DataFrame:
     """The sets of ``pairs`` (set, earlier) that have the similarity; their words are read from the lines that first had them."""
-    wanted = saved(pairs.select("set").unionByName(pairs.select(F.col("earlier").alias("set"))).distinct()
-                   .join(firsts, "set").select("set", "first.*"), spark, "candidate-lines")
+    spark = tables.spark
+    wanted = tables.saved(pairs.select("set").unionByName(pairs.select(F.col("earlier").alias("set"))).distinct()
+                          .join(firsts, "set").select("set", "first.*"), "candidate-lines")
     holding = texts.filter(may_hold(bitmap(spark, wanted, "id", "copy"), F.col("id"), F.col("copy")))
     read = _lines(holding).filter(may_hold(bitmap(spark, wanted, *COORDINATE), *(F.col(c) for c in COORDINATE)))
-    keyed = _with_keys(read, classes).select(F.xxhash64("keys").alias("set"), "keys")
-    words = saved(keyed.join(wanted.select("set"), "set", "left_semi").dropDuplicates(["set"]), spark, "candidate-words")
+    keyed = _with_keys(read).select(F.xxhash64("keys").alias("set"), "keys")
+    words = tables.saved(keyed.join(wanted.select("set"), "set", "left_semi").dropDuplicates(["set"]), "candidate-words")
     other = words.select(F.col("set").alias("earlier"), F.col("keys").alias("other"))
     shared = F.size(F.array_intersect("keys", "other"))
     union = F.size("keys") + F.size("other") - shared
-    return pairs.join(words, "set").join(other, "earlier").filter(shared * 100 >= union * percent).select("set").distinct()
+    near = tables.saved(pairs.join(words, "set").join(other, "earlier").filter(shared * 100 >= union * percent).select("set").distinct(), purpose)
+    tables.empty(wanted, words)
+    return near
 
 
 def repeated_lines(spark: SparkSession, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(id, copy, removed): the numbers of the lines of a document that repeat an earlier line."""
-    classes, rare = _classes(texts)
-    path = fresh_dir(spark, "lines")
-    lines = saved(_with_prefix(_with_keys(_lines(texts), classes), percent, rare), spark, "lines", path)
-    firsts = saved(lines.groupBy("set").agg(F.min(F.struct(*COORDINATE)).alias("first"), F.any_value("n").alias("n")), spark, "line-classes")
+    tables = Tables(spark)
+    lines = tables.saved(_with_prefix(_with_keys(_lines(texts)), percent), "lines")
+    firsts = tables.saved(lines.groupBy("set").agg(F.min(F.struct(*COORDINATE)).alias("first"),
+                                                   *(F.any_value(c).alias(c) for c in ("n", "odd", "odd2"))), "line-classes")
 
     # First which runs two sets or more hold, from the narrowest rows; then the places of those runs only.
-    held = saved(lines.select(F.explode("prefix").alias("key"), "set").repartition("key").groupBy("key").agg(
-        F.min("set").alias("a"), F.max("set").alias("b")).filter("a <> b").select("key"), spark, "held-runs")
+    held = tables.saved(lines.select(F.explode("prefix").alias("key"), "set").repartition("key").groupBy("key").agg(
+        F.min("set").alias("a"), F.max("set").alias("b")).filter("a <> b").select("key"), "held-runs")
     entries = lines.select(F.posexplode("prefix").alias("pos", "key"), "set").filter(
         may_hold(bitmap(spark, held, "key", words=HELD_WORDS), F.col("key"), words=HELD_WORDS))
     shared = entries.join(held.hint("shuffle_hash"), "key").distinct()
-    placed = saved(shared.join(firsts, "set"), spark, "shared-runs")
+    placed = tables.saved(shared.join(firsts, "set"), "shared-runs")
     # The prefixes are the largest working table, and the verification needs room.
-    numbered = saved(lines.select(*COORDINATE, "set"), spark, "line-sets")
-    emptied(lines, path)
+    numbered = tables.saved(lines.select(*COORDINATE, "set"), "line-sets")
+    tables.empty(lines, held)
 
     def earlier(columns: DataFrame) -> DataFrame:
         return columns.select("key", F.col("set").alias("earlier"), F.col("n").alias("m"), F.col("pos").alias("mpos"),
-                              F.col("first").alias("efirst"))
-
-    leaders = placed.groupBy("key").agg(F.min(F.struct("first", "set", "n", "pos")).alias("l")).select("key", "l.*")
-    pairs = saved(placed.join(earlier(leaders), "key").filter((F.col("set") != F.col("earlier")) & _possible(percent))
-                  .select("set", "earlier").distinct(), spark, "leader-pairs")
-    decided = saved(_verified(spark, texts, firsts, pairs, classes, percent), spark, "decided")
-    open_sets = placed.join(decided, "set", "left_anti")
-    pairs = saved(open_sets.join(earlier(placed), "key").filter((F.col("efirst") < F.col("first")) & _possible(percent))
-                  .select("set", "earlier").distinct().join(pairs, ["set", "earlier"], "left_anti"), spark, "other-pairs")
-    near = decided.unionByName(_verified(spark, texts, firsts, pairs, classes, percent)).withColumn("near", F.lit(True))
-
-    judged = numbered.join(firsts.drop("n"), "set").join(near, "set", "left")
+                              F.col("odd").alias("eodd"), F.col("odd2").alias("eodd2"), F.col("first").alias("efirst"))
+
+    leaders = tables.saved(placed.groupBy("key").agg(F.min(F.struct("first", "set", "n", "pos", "odd", "odd2")).alias("l"), F.count(F.lit(1)).alias("holders"))
+                           .select("key", "l.*", "holders"), "run-leaders")
+    pairs = tables.saved(placed.join(earlier(leaders), "key").filter((F.col("set") != F.col("earlier")) & _possible(percent))
+                         .select("set", "earlier").distinct(), "leader-pairs")
+    decided = _verified(tables, texts, firsts, pairs, percent, "decided")
+    # All but the earliest of a run, which they have met; runs of two sets have no others.
+    met = leaders.filter("holders > 2").select("key", F.col("first").alias("met"))
+    open_sets = placed.join(decided, "set", "left_anti").join(met, "key").filter(F.col("first") > F.col("met"))
+    others = tables.saved(open_sets.join(earlier(placed), "key")
+                          .filter((F.col("met") < F.col("efirst")) & (F.col("efirst") < F.col("first")) & _possible(percent))
+                          .select("set", "earlier").distinct().join(pairs, ["set", "earlier"], "left_anti"), "other-pairs")
+    tables.empty(placed, leaders)
+    near = decided.unionByName(_verified(tables, texts, firsts, others, percent, "decided")).withColumn("near", F.lit(True))
+
+    judged = numbered.join(firsts.select("set", "first"), "set").join(near, "set", "left")
     later = (F.struct(*COORDINATE) > F.col("first")) | F.coalesce("near", F.lit(False))
-    return saved(judged.filter(later).groupBy("id", "copy").agg(F.collect_set("at").alias("removed")), spark, "removed-lines")
+    removed = tables.saved(judged.filter(later).groupBy("id", "copy").agg(F.collect_set("at").alias("removed")), "removed-lines")
+    tables.empty(numbered, firsts)
+    return removed
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",

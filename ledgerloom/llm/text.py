@@ -51,6 +51,29 @@ def emptied(table: DataFrame, path: str) -> None:
     table.sparkSession.createDataFrame([], table.schema).write.mode("overwrite").parquet(path)
 
 
+class Tables:
+    """The working tables of one run, so that each can be emptied after its last reader."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self._paths: list[tuple[DataFrame, str]] = []
+
+    def saved(self, df: DataFrame, purpose: str) -> DataFrame:
+        path = fresh_dir(self.spark, purpose)
+        table = saved(df, self.spark, purpose, path)
+        self._paths.append((table, path))
+        return table
+
+    def empty(self, *tables: DataFrame) -> None:
+        for table, path in self._paths:
+            if any(table is t for t in tables):
+                emptied(table, path)
+        self._paths = [(table, path) for table, path in self._paths if not any(table is t for t in tables)]
+
+    def empty_all(self) -> None:
+        self.empty(*(table for table, _ in self._paths))
+
+
 def lower_az(text: Column) -> Column:
     """Lower-case A-Z and nothing else. ASCII texts take the fast built-in."""
     ascii_only = F.octet_length(text) == F.length(text)

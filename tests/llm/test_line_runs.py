@@ -40,3 +40,16 @@ def test_unrelated_lines_are_hardly_compared(spark):
     assert line_dedup.repeated_lines(spark, texts).count() == 0
     pairs = sum(spark.read.parquet(p).count() for p in set(glob.glob(f"{shared_dir(spark)}/*-pairs-*")) - known if "held" not in p and "shared" not in p)
     assert pairs < 2000
+
+
+def test_lines_just_below_the_similarity_are_not_paired(spark):
+    """Variants of one line share most runs with each other; hardly any two are similar enough."""
+    rnd = random.Random(5)
+    base = [f"word{i}" for i in range(60)]
+    lines = [" ".join(f"new{v}x{i}" if i in gone else w for i, w in enumerate(base))
+             for v in range(250) for gone in [set(rnd.sample(range(60), 14))]]
+    known = set(glob.glob(f"{shared_dir(spark)}/*-pairs-*"))
+    texts = spark.createDataFrame([(i, i, line) for i, line in enumerate(lines)], "id long, copy long, text string")
+    assert line_dedup.repeated_lines(spark, texts).count() == 0
+    pairs = sum(spark.read.parquet(p).count() for p in set(glob.glob(f"{shared_dir(spark)}/*-pairs-*")) - known if "held" not in p and "shared" not in p)
+    assert pairs < 500
