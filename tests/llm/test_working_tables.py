@@ -45,3 +45,16 @@ def test_samples_of_the_join_are_dealt_in_rounds(spark):
     found = [spark.read.parquet(p) for p in set(glob.glob(f"{shared_dir(spark)}/lonely-*")) - known]
     assert len(found) == ngram_join.SAMPLE_ROUNDS > 1
     assert sum(t.filter("lonely > 0").count() > 0 for t in found) > 1
+
+
+def test_the_join_empties_its_sets_and_leaves_few_pairs(spark):
+    """Variants of one text that are not similar enough: their parities keep them apart, and the large tables go."""
+    known = set(glob.glob(f"{shared_dir(spark)}/*"))
+    base = [f"w{i}" for i in range(200)]
+    docs = [(v, " ".join(f"new{v}" if i % 50 == 10 + 5 * v else w for i, w in enumerate(base))) for v in range(8)]
+    got = ngram_join.group(spark, spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in got.collect()} == {v: v for v in range(8)}
+    made = set(glob.glob(f"{shared_dir(spark)}/*")) - known
+    for purpose in ("set-samples", "whole-sets", "prefixes", "regions", "distances"):
+        found = [p for p in made if f"/{purpose}-" in p]
+        assert found and all(spark.read.parquet(p).count() == 0 for p in found), purpose
