@@ -38,11 +38,14 @@ def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(_CLEANUP, before)
 
 
-def saved(df: DataFrame, spark: SparkSession, purpose: str, path: str | None = None) -> DataFrame:
-    """Write to the shared folder and read back: lineage ends here, the planner knows the size, and the shuffles before it are gone."""
+def saved(df: DataFrame, spark: SparkSession, purpose: str, path: str | None = None, narrow: bool = False) -> DataFrame:
+    """Write to the shared folder and read back: lineage ends here, the planner knows the size, and the shuffles before it are gone.
+
+    ``narrow`` packs numbers of few bits (Parquet's second version does).
+    """
     path = path or fresh_dir(spark, purpose)
     with _shuffles_removed(spark):
-        df.write.parquet(path)
+        df.write.options(**({"parquet.writer.version": "v2"} if narrow else {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -58,9 +61,9 @@ class Tables:
         self.spark = spark
         self._paths: list[tuple[DataFrame, str]] = []
 
-    def saved(self, df: DataFrame, purpose: str) -> DataFrame:
+    def saved(self, df: DataFrame, purpose: str, narrow: bool = False) -> DataFrame:
         path = fresh_dir(self.spark, purpose)
-        table = saved(df, self.spark, purpose, path)
+        table = saved(df, self.spark, purpose, path, narrow)
         self._paths.append((table, path))
         return table
 

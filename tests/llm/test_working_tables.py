@@ -7,7 +7,7 @@ import time
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import line_dedup, ngram_join
-from ledgerloom.llm.text import saved
+from ledgerloom.llm.text import Tables, saved
 from ledgerloom.session import shared_dir
 
 
@@ -36,6 +36,22 @@ def test_line_dedup_empties_its_table_of_prefixes(spark):
     assert spark.read.parquet(path).count() == 0
 
 
+def test_line_dedup_deals_runs_in_rounds_of_narrow_hashes(spark, monkeypatch):
+    """No shuffle has all runs: each round has its part of the hashes, and its shared runs go when its pairs are known."""
+    kept = []
+    monkeypatch.setattr(Tables, "empty", lambda self, *tables: kept.append(len(tables)))
+    known = set(glob.glob(f"{shared_dir(spark)}/*"))
+    texts = [(d, d, "\n".join(f"{' '.join(f'word{line}x{i}' for i in range(30))} end{d}" for line in range(40))) for d in range(3)]
+    removed = line_dedup.repeated_lines(spark, spark.createDataFrame(texts, "id long, copy long, text string"))
+    assert [(r["id"], len(r["removed"])) for r in removed.orderBy("id").collect()] == [(1, 40), (2, 40)]
+    made = set(glob.glob(f"{shared_dir(spark)}/*")) - known
+    rounds = [spark.read.parquet(p).select("key").distinct() for p in made if "/shared-runs-" in p]
+    assert len(rounds) == line_dedup.ROUNDS > 1 and all(r.count() for r in rounds) and kept
+    parts = [{r["key"] % line_dedup.ROUNDS for r in keys.collect()} for keys in rounds]
+    assert sorted(parts, key=min) == [{part} for part in range(line_dedup.ROUNDS)]
+    assert max(r["key"] for keys in rounds for r in keys.collect()) < 1 << 40
+
+
 def test_samples_of_the_join_are_dealt_in_rounds(spark):
     known = set(glob.glob(f"{shared_dir(spark)}/lonely-*"))
     texts = [" ".join(f"{a}{i}" for i in range(60)) for a in "abc"]
